@@ -9,6 +9,8 @@ feed rules need (Python truthiness, ``int()`` versus ``float()`` coercion).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,36 @@ def field(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}" if key.isidentifier() else f"$['{key}']", "variant")
 
 
+_STAGED = re.compile(r"^Column<'_f_(\w+)'>$")
+
+
+def _staged(x: Column, prefix: str) -> Column | None:
+    """The precomputed column for a staged field (see ``stage_fields``), if any."""
+    m = _STAGED.match(str(x))
+    return F.col(f"_{prefix}_{m.group(1)}") if m else None
+
+
+def stage_fields(df, raw_col: str, keys: list[str], keep: list[str]):
+    """Parse a JSON record once and stage, per key, its value, type, truthiness and text.
+
+    Each stage is its own projection; the optimizer keeps them apart because
+    their expressions are expensive and referenced several times, so every
+    lookup runs once per record and the rules downstream stay small enough for
+    whole-stage code generation. Returns ``(df, getter)``; ``getter(key)`` is
+    the staged VARIANT column, which the functions of this module recognise.
+    """
+    parsed = df.select(*keep, F.col(raw_col).alias("_raw"), parse(raw_col).alias("_v"))
+    vals = parsed.select(*keep, "_raw", *[field(F.col("_v"), k).alias(f"_f_{k}") for k in keys])
+    typed = vals.select("*", *[F.schema_of_variant(F.col(f"_f_{k}")).alias(f"_t_{k}") for k in keys])
+    done = typed.select("*", *[_truthy(F.col(f"_f_{k}"), F.col(f"_t_{k}")).alias(f"_b_{k}") for k in keys],
+                        *[F.try_variant_get(F.col(f"_f_{k}"), "$", "string").alias(f"_s_{k}") for k in keys])
+    return done, (lambda k: F.col(f"_f_{k}"))
+
+
 def vtype(x: Column) -> Column:
     """JSON type name of a VARIANT value: BIGINT, STRING, VOID, ARRAY<..>, ..."""
-    return F.schema_of_variant(x)
+    st = _staged(x, "t")
+    return st if st is not None else F.schema_of_variant(x)
 
 
 def is_null_or_absent(x: Column) -> Column:
@@ -33,7 +62,8 @@ def is_null_or_absent(x: Column) -> Column:
 
 
 def as_string(x: Column) -> Column:
-    return F.try_variant_get(x, "$", "string")
+    st = _staged(x, "s")
+    return st if st is not None else F.try_variant_get(x, "$", "string")
 
 
 def as_double(x: Column) -> Column:
@@ -55,11 +85,15 @@ def is_array(x: Column) -> Column:
 
 def truthy(x: Column) -> Column:
     """Python truthiness of a JSON value (``bool(d.get(k))``); never NULL."""
-    t = vtype(x)
+    st = _staged(x, "b")
+    return st if st is not None else _truthy(x, vtype(x))
+
+
+def _truthy(x: Column, t: Column) -> Column:
     return (
-        F.when(is_null_or_absent(x), F.lit(False))
+        F.when((x.isNull() | F.is_variant_null(x)), F.lit(False))
         .when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
-        .when(t == "STRING", F.length(as_string(x)) > 0)
+        .when(t == "STRING", F.length(F.try_variant_get(x, "$", "string")) > 0)
         .when(t.startswith("ARRAY"), F.array_size(F.try_variant_get(x, "$", "array<variant>")) > 0)
         .when(t.startswith("OBJECT"), t != F.lit("OBJECT<>"))
         .otherwise(F.coalesce(as_double(x) != 0, F.lit(True)))

@@ -55,8 +55,8 @@ def python_int(x: Column) -> Column:
     return (
         F.when(J.is_null_or_absent(x), F.lit(None).cast("bigint"))
         .when(t == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), 1).otherwise(0).cast("bigint"))
-        .when(t == "STRING", F.when(s.rlike(_INT_TEXT), F.try_cast(F.trim(s), "bigint")))
-        .when(J.is_numeric(x), F.try_cast(F.try_variant_get(x, "$", "double"), "bigint"))
+        .when(t == "STRING", F.when(s.rlike(_INT_TEXT), F.trim(s).try_cast("bigint")))
+        .when(J.is_numeric(x), F.try_variant_get(x, "$", "double").try_cast("bigint"))
     )
 
 
@@ -66,11 +66,11 @@ def python_int_of_float(x: Column) -> Column:
     s = J.as_string(x)
     d = (
         F.when(t == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), 1.0).otherwise(0.0))
-        .when(t == "STRING", F.when(s.rlike(_FLOAT_TEXT), F.try_cast(F.trim(s), "double")))
+        .when(t == "STRING", F.when(s.rlike(_FLOAT_TEXT), F.trim(s).try_cast("double")))
         .when(J.is_numeric(x), F.try_variant_get(x, "$", "double"))
     )
     # nan and inf cannot become an int: NULL (Python: None for nan text, error for inf)
-    return F.when(~F.isnan(d) & (F.abs(d) < F.lit(9.2e18)), F.try_cast(d, "bigint"))
+    return F.when(~F.isnan(d) & (F.abs(d) < F.lit(9.2e18)), d.try_cast("bigint"))
 
 
 def salary_a(x: Column) -> Column:

@@ -22,6 +22,10 @@ _NULL_BOOL = F.lit(None).cast("boolean")
 _NULL_LONG = F.lit(None).cast("bigint")
 
 
+def _fields(df: DataFrame, raw_col: str, keys: list[str], keep: list[str]):
+    return J.stage_fields(df, raw_col, keys, keep)
+
+
 def _finish(df: DataFrame, cols: dict[str, Column], keep: list[str]) -> DataFrame:
     out = df.select(*keep, *[cols[n].cast(CANONICAL[n].dataType).alias(n) for n in CANONICAL_FIELDS])
     return out.where(F.col("external_id").isNotNull() & (F.col("external_id") != ""))
@@ -30,8 +34,9 @@ def _finish(df: DataFrame, cols: dict[str, Column], keep: list[str]) -> DataFram
 def normalise_flat(df: DataFrame, source: str = "feed_a", raw_col: str = "raw",
                    keep: list[str] | None = None) -> DataFrame:
     """NRM-A: flat-array feed (id, position, company, url, slug, epoch/date, salaries, tags)."""
-    v = J.parse(raw_col)
-    g = lambda k: J.field(v, k)
+    keep = keep or []
+    df, g = _fields(df, raw_col, ["id", "position", "company", "location", "slug", "url", "apply_url", "tags",
+                                  "salary_min", "salary_max", "epoch", "date"], keep)
     # Documented deviation: a JSON null id drops the record, as in the other feeds.
     ext = F.when(~J.is_null_or_absent(g("id")), J.as_string(g("id")))
     cols = {
@@ -48,16 +53,20 @@ def normalise_flat(df: DataFrame, source: str = "feed_a", raw_col: str = "raw",
         "four_day_week": _NULL_BOOL,
         "remote": F.lit(True),
         "posted_at": R.posted_from_epoch(g("epoch"), g("date")),
-        "raw": F.col(raw_col),
+        "raw": F.col("_raw"),
     }
-    return _finish(df, cols, keep or [])
+    return _finish(df, cols, keep)
 
 
 def normalise_cursor(df: DataFrame, source: str = "feed_b", raw_col: str = "raw",
                      keep: list[str] | None = None) -> DataFrame:
     """NRM-B: cursor-paged search feed (job_* keys)."""
-    v = J.parse(raw_col)
-    g = lambda k: J.field(v, k)
+    keep = keep or []
+    df, g = _fields(df, raw_col, ["job_id", "job_title", "employer_name", "job_location", "job_city", "job_state",
+                                  "job_country", "job_apply_link", "required_technologies",
+                                  "preferred_technologies", "job_required_skills", "job_function",
+                                  "job_employment_type", "job_min_salary", "job_max_salary", "job_is_remote",
+                                  "work_arrangement", "job_posted_at_datetime_utc", "job_posted_at_timestamp"], keep)
     cols = {
         "source": F.lit(source),
         "external_id": J.text_or(g("job_id"), ""),
@@ -73,16 +82,17 @@ def normalise_cursor(df: DataFrame, source: str = "feed_b", raw_col: str = "raw"
         "four_day_week": _NULL_BOOL,
         "remote": R.remote_b(g("job_is_remote"), g("work_arrangement")),
         "posted_at": R.posted_iso_first(g("job_posted_at_datetime_utc"), g("job_posted_at_timestamp")),
-        "raw": F.col(raw_col),
+        "raw": F.col("_raw"),
     }
-    return _finish(df, cols, keep or [])
+    return _finish(df, cols, keep)
 
 
 def normalise_paged(df: DataFrame, source: str = "feed_c", raw_col: str = "raw",
                     keep: list[str] | None = None) -> DataFrame:
     """NRM-C: page-numbered board feed (slug, title, company_name, booleans, created_at)."""
-    v = J.parse(raw_col)
-    g = lambda k: J.field(v, k)
+    keep = keep or []
+    df, g = _fields(df, raw_col, ["slug", "title", "company_name", "location", "url", "tags", "visa_sponsorship",
+                                  "four_day_week", "remote", "created_at"], keep)
     cols = {
         "source": F.lit(source),
         "external_id": J.text_or(g("slug"), ""),
@@ -97,9 +107,9 @@ def normalise_paged(df: DataFrame, source: str = "feed_c", raw_col: str = "raw",
         "four_day_week": J.truthy(g("four_day_week")),
         "remote": J.truthy(g("remote")),
         "posted_at": R.posted_from_epoch(g("created_at")),
-        "raw": F.col(raw_col),
+        "raw": F.col("_raw"),
     }
-    return _finish(df, cols, keep or [])
+    return _finish(df, cols, keep)
 
 
 def parse_counts(raw: DataFrame, normalised: DataFrame, by: list[str]) -> DataFrame:
