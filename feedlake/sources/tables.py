@@ -199,3 +199,40 @@ def raw_feed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return d.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
                     i.alias("doc_id"), raw.alias("raw"))
+
+
+# ------------------------------------------------------------ landed payloads
+# A landed payload is one JSON document per (source, batch). Batches are
+# fixed-size chunks of 50 consecutive event ids, so every batch is bounded
+# whatever the table size.
+
+GATE_BATCH = 50
+
+
+def gate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed-A style records from ``events`` with planted absent keys and drift."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    i = F.col("event_id")
+    b = F.floor(i / GATE_BATCH).cast("bigint")
+    raw = J.json_object(
+        ("id", J.jstr(i.cast("string"))),
+        ("position", J.jstr(F.col("event_type"))),
+        ("company", F.when(i % 307 != 0, J.jstr(F.concat(F.lit("company_"), F.col("user_id").cast("string"))))),
+        ("url", F.when(i % 211 != 0, J.jstr(F.concat(F.lit("https://feed-a.example/jobs/"), i.cast("string"))))),
+        ("epoch", F.when(b % 23 != 4, J.jnum(R.ntz_to_seconds(F.col("ts"))))),
+    )
+    return e.select(F.lit("feed_a").alias("source"), b.alias("batch_id"), i.alias("event_id"), raw.alias("rec"))
+
+
+def gate_payloads(spark: SparkSession, sf_dir: str, attempt: int = 1) -> DataFrame:
+    """One payload per batch: a JSON array led by a metadata object; some batches
+    are planted as an object envelope (first attempt only) or an empty array."""
+    r = gate_records(spark, sf_dir)
+    g = r.groupBy("source", "batch_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "rec"))), lambda x: x["rec"]),
+                     ",").alias("body"))
+    b = F.col("batch_id")
+    payload = (F.when(b % 19 == 7, F.lit("[]"))
+               .when((b % 17 == 5) & F.lit(attempt == 1), F.concat(F.lit('{"data":['), "body", F.lit("]}")))
+               .otherwise(F.concat(F.lit('[{"legal":"terms"},'), "body", F.lit("]"))))
+    return g.select("source", "batch_id", F.lit(attempt).cast("bigint").alias("attempt"), payload.alias("payload"))
