@@ -1,4 +1,4 @@
 """Registered queries over the driver tables (see ``registry``)."""
 
-from feedlake.plans import feeds, listings, quality  # noqa: F401
+from feedlake.plans import feeds, ingest, listings, quality  # noqa: F401
 from feedlake.plans.registry import ORACLE, QUERIES  # noqa: F401
