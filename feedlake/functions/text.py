@@ -89,7 +89,8 @@ def country_code(name: Column) -> Column:
     return F.try_element_at(country_map(), F.lower(name))
 
 
-def _strip_prefix(text: Column) -> Column:
+def strip_prefix(text: Column) -> Column:
+    """Remove the first matching search-intent prefix (case-insensitive), then strip."""
     low = F.lower(text)
     out = text
     for p in reversed(PROMPT_PREFIXES):
@@ -97,49 +98,24 @@ def _strip_prefix(text: Column) -> Column:
     return out
 
 
-def _strip_suffixes(role: Column) -> Column:
-    for s in PROMPT_SUFFIXES:
-        role = F.when(F.lower(role).endswith(s), pystrip(F.left(role, F.length(role) - F.lit(len(s))))).otherwise(role)
-    return role
+def strip_suffix(role: Column, suffix: str) -> Column:
+    """One suffix step: drop ``suffix`` (case-insensitive) from a non-empty role, then strip."""
+    hit = F.coalesce(F.length(role) > 0, F.lit(False)) & F.lower(role).endswith(suffix)
+    return F.when(hit, pystrip(F.left(role, F.length(role) - F.lit(len(suffix))))).otherwise(role)
 
 
-def parse_prompt(prompt: Column) -> Column:
-    """REQ-3: free-text search prompt -> struct(role, country, location, remote_only).
+def remove_remote(role: Column) -> Column:
+    """Drop the case variants of 'remote' from a non-empty role; empty -> NULL."""
+    out = role
+    for v in REMOTE_VARIANTS:
+        out = F.replace(out, F.lit(v), F.lit(""))
+    out = pystrip(out)
+    return F.when(role.isNull() | (role == ""), role).otherwise(F.when(out != "", out))
+
 
-    A prompt whose only `` in `` is in another letter case (``' IN '``) is read
-    as having no place (the sequential rule fails there).
-    """
-    blank = prompt.isNull() | (pystrip(prompt) == "")
-    text = pystrip(prompt)
+def is_remote_prompt(text: Column) -> Column:
     low = F.lower(text)
-    remote_only = F.lit(False)
+    out = F.lit(False)
     for m in REMOTE_MARKERS:
-        remote_only = remote_only | F.contains(low, F.lit(m))
-
-    cleaned = _strip_prefix(text)
-    has_in = F.contains(cleaned, F.lit(" in "))
-    role_cand = pystrip(F.substring_index(cleaned, " in ", 1))
-    # text after the first " in "
-    place = pystrip(F.regexp_extract(cleaned, r"^[\s\S]*? in ([\s\S]*)$", 1))
-    place_code = country_code(place)
-    has_comma = F.contains(place, F.lit(","))
-    loc_head = pystrip(F.substring_index(place, ",", 1))
-    loc_tail = pystrip(F.regexp_extract(place, r"^[^,]*,([\s\S]*)$", 1))
-
-    country = F.when(has_in, F.when(place_code.isNotNull(), place_code).when(has_comma, country_code(loc_tail)))
-    location = F.when(has_in & place_code.isNull(), F.when(has_comma, loc_head).otherwise(place))
-    role = F.when(has_in, F.when(role_cand != "", role_cand)).otherwise(cleaned)
-
-    stripped = _strip_suffixes(role)
-    role = F.when(role.isNull() | (role == ""), role).otherwise(stripped)
-    no_remote = role
-    for v in REMOTE_VARIANTS:
-        no_remote = F.replace(no_remote, F.lit(v), F.lit(""))
-    no_remote = pystrip(no_remote)
-    role = F.when(role.isNull() | (role == ""), role).otherwise(F.when(no_remote != "", no_remote))
-
-    null_s = F.lit(None).cast("string")
-    return F.when(blank, F.struct(null_s.alias("role"), null_s.alias("country"), null_s.alias("location"),
-                                  F.lit(False).alias("remote_only"))).otherwise(
-        F.struct(role.alias("role"), country.alias("country"), location.alias("location"),
-                 remote_only.alias("remote_only")))
+        out = out | F.contains(low, F.lit(m))
+    return out
