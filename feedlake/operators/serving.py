@@ -140,3 +140,34 @@ def cards(df: DataFrame, as_of: Column, primary_source: str = "feed_a", primary_
         F.when(is_primary, F.lit(f"View on {primary_label}"))
         .otherwise(F.concat(F.lit("Apply at "), F.col("company"))).alias("apply_label"),
     )
+
+
+# ------------------------------------------------------------ fail-over reads
+
+def failover_union(feeds: list[tuple[int, DataFrame, str]], limit: int, source: str | None = None) -> DataFrame:
+    """SRC-10: feeds read directly in priority order, concatenated (arrival order
+    within a feed), optionally one source only, head ``limit``.
+
+    ``feeds``: (priority, frame, arrival-order column). A bounded top-k over
+    (priority, arrival position), no full sort.
+    """
+    check_limit(limit)
+    parts = None
+    for prio, df, pos in feeds:
+        part = served(df).withColumn("_prio", F.lit(prio)).withColumn("_pos", F.col(pos))
+        parts = part if parts is None else parts.unionByName(part)
+    if source is not None:
+        parts = parts.where(F.col("source") == F.lit(source))
+    return parts.orderBy("_prio", "_pos").limit(limit).drop("_prio", "_pos")
+
+
+def fallback_if_empty(primary: DataFrame, backup: DataFrame) -> DataFrame:
+    """SRC-11: ``primary`` when it has rows, otherwise ``backup``.
+
+    Decided inside the plan: the backup is anti-joined on a constant key with
+    at most one row of the primary (``limit(1)``), so no count reaches the
+    driver and nothing is cross-joined.
+    """
+    probe = primary.select(F.lit(1).alias("_k")).limit(1)
+    gated = backup.withColumn("_k", F.lit(1)).join(probe, "_k", "left_anti").drop("_k")
+    return primary.unionByName(gated)

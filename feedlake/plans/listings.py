@@ -143,3 +143,40 @@ def salary_label(spark, d):
     """F-9: listings per salary text."""
     c = S.cards(listings(spark, d), as_of_col())
     return c.groupBy("salary_text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_pos(df, pos_expr):
+    return df.withColumn("_arrival", pos_expr)
+
+
+@query("failover_union", LISTINGS_CTE + """
+select * exclude (prio, pos) from (
+  select *, 1 as prio, cast(external_id as bigint) as pos from feed_a
+  union all select *, 2, cast(external_id as bigint) from feed_b)
+order by prio, pos limit 200""")
+def failover_union(spark, d):
+    """SRC-10: direct read of feed A then feed B in arrival order, head 200."""
+    from feedlake.sources.tables import listings_feed_a, listings_feed_b
+
+    a = _with_pos(listings_feed_a(spark, d), F.col("external_id").cast("bigint"))
+    b = _with_pos(listings_feed_b(spark, d), F.col("external_id").cast("bigint"))
+    return S.failover_union([(1, a, "_arrival"), (2, b, "_arrival")], 200).drop("_arrival")
+
+
+@query("fallback_if_empty", LISTINGS_CTE + """
+select 'feed_x' as requested, * from feed_c
+  where not exists (select 1 from listings where source = 'feed_x')
+union all select 'feed_x', * from listings where source = 'feed_x'
+union all select 'feed_b', * from listings where source = 'feed_b'
+union all select 'feed_b', * from feed_c where not exists (select 1 from listings where source = 'feed_b')""")
+def fallback_if_empty(spark, d):
+    """SRC-11: an empty filtered read ('feed_x') falls back to the backup feed (C);
+    a non-empty one ('feed_b') does not."""
+    from feedlake.sources.tables import listings_feed_c
+
+    out = None
+    for req in ("feed_x", "feed_b"):
+        primary = S.by_source(listings(spark, d), req)
+        part = S.fallback_if_empty(primary, listings_feed_c(spark, d)).select(F.lit(req).alias("requested"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
