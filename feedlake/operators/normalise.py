@@ -18,8 +18,14 @@ from feedlake.functions import json as J
 from feedlake.functions import rules as R
 from feedlake.schema import CANONICAL, CANONICAL_FIELDS
 
-_NULL_BOOL = F.lit(None).cast("boolean")
-_NULL_LONG = F.lit(None).cast("bigint")
+
+
+def _null_bool() -> Column:
+    return F.lit(None).cast("boolean")
+
+
+def _null_long() -> Column:
+    return F.lit(None).cast("bigint")
 
 
 def _fields(df: DataFrame, raw_col: str, keys: list[str], keep: list[str]):
@@ -49,8 +55,8 @@ def normalise_flat(df: DataFrame, source: str = "feed_a", raw_col: str = "raw",
         "tags": F.coalesce(F.when(J.truthy(g("tags")), J.string_list(g("tags"))), F.array().cast("array<string>")),
         "salary_min": R.salary_a(g("salary_min")),
         "salary_max": R.salary_a(g("salary_max")),
-        "visa_sponsorship": _NULL_BOOL,
-        "four_day_week": _NULL_BOOL,
+        "visa_sponsorship": _null_bool(),
+        "four_day_week": _null_bool(),
         "remote": F.lit(True),
         "posted_at": R.posted_from_epoch(g("epoch"), g("date")),
         "raw": F.col("_raw"),
@@ -78,8 +84,8 @@ def normalise_cursor(df: DataFrame, source: str = "feed_b", raw_col: str = "raw"
                             [g("job_function"), g("job_employment_type")]),
         "salary_min": R.salary_b(g("job_min_salary")),
         "salary_max": R.salary_b(g("job_max_salary")),
-        "visa_sponsorship": _NULL_BOOL,
-        "four_day_week": _NULL_BOOL,
+        "visa_sponsorship": _null_bool(),
+        "four_day_week": _null_bool(),
         "remote": R.remote_b(g("job_is_remote"), g("work_arrangement")),
         "posted_at": R.posted_iso_first(g("job_posted_at_datetime_utc"), g("job_posted_at_timestamp")),
         "raw": F.col("_raw"),
@@ -101,8 +107,8 @@ def normalise_paged(df: DataFrame, source: str = "feed_c", raw_col: str = "raw",
         "location": J.text_or(g("location"), ""),
         "url": J.text_or(g("url"), ""),
         "tags": F.coalesce(F.when(J.truthy(g("tags")), J.string_list(g("tags"))), F.array().cast("array<string>")),
-        "salary_min": _NULL_LONG,
-        "salary_max": _NULL_LONG,
+        "salary_min": _null_long(),
+        "salary_max": _null_long(),
         "visa_sponsorship": J.truthy(g("visa_sponsorship")),
         "four_day_week": J.truthy(g("four_day_week")),
         "remote": J.truthy(g("remote")),
@@ -156,7 +162,8 @@ def register(spec: FeedSpec) -> FeedSpec:
     return spec
 
 
-register(FeedSpec("feed_a", FLAT_REQUIRED, normalise_flat, priority=1, enabled=True, label="Feed A"))
+register(FeedSpec("feed_a", FLAT_REQUIRED, normalise_flat, priority=1, enabled=True, label="Feed A",
+                  extra={"scan_key": "id"}))
 register(FeedSpec("feed_b", CURSOR_REQUIRED, normalise_cursor, priority=2, enabled=True, label="Feed B"))
 register(FeedSpec("feed_c", PAGED_REQUIRED, normalise_paged, priority=3, enabled=False, label="Feed C"))
 

@@ -62,39 +62,49 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def publish_snapshot(spark: SparkSession, df: DataFrame, root: str, version: int,
                      partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as version ``version`` under ``root`` and then flip the pointer.
+    """Write ``df`` as version ``version`` under ``root``, then commit it.
 
-    Readers follow the pointer, so a half-written version is never visible;
-    re-running the same version overwrites it, which makes replays idempotent.
+    The commit marker ``_versions/<version>`` is written after the data, so a
+    half-written version is never read; re-running the same version rewrites
+    it (replays are idempotent). Readers take the newest committed version.
     """
-    path = f"{root.rstrip('/')}/v={version:012d}"
+    root = root.rstrip("/")
+    path = f"{root}/v={version:012d}"
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     spark.createDataFrame([(version, path)], "version bigint, path string").coalesce(1).write.mode(
-        "overwrite").json(f"{root.rstrip('/')}/_current")
+        "overwrite").json(f"{root}/_versions/{version:012d}")
     return path
 
 
-def current_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The published snapshot under ``root`` (None before the first publish)."""
-    ptr = f"{root.rstrip('/')}/_current"
-    if root.startswith("/") and not os.path.exists(ptr):
+def _versions(spark: SparkSession, root: str) -> DataFrame | None:
+    root = root.rstrip("/")
+    if root.startswith("/") and not os.path.exists(f"{root}/_versions"):
         return None
     try:
-        row = spark.read.json(ptr).orderBy(F.desc("version")).first()
-    except Exception:  # noqa: BLE001 - no pointer yet
+        return spark.read.schema("version bigint, path string").json(f"{root}/_versions/*")
+    except Exception:  # noqa: BLE001 - nothing committed yet
         return None
+
+
+def current_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
+    """The newest committed version under ``root`` (older than ``before`` if given).
+
+    A replayed batch ``n`` passes ``before=n`` so it reads the state it was
+    first applied to, never the version it is about to rewrite.
+    """
+    v = _versions(spark, root)
+    if v is None:
+        return None
+    if before is not None:
+        v = v.where(F.col("version") < before)
+    row = v.orderBy(F.desc("version")).first()
     return spark.read.parquet(row["path"]) if row else None
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    ptr = f"{root.rstrip('/')}/_current"
-    if root.startswith("/") and not os.path.exists(ptr):
-        return 0
-    try:
-        row = spark.read.json(ptr).first()
-    except Exception:  # noqa: BLE001
-        return 0
-    return int(row["version"]) if row else 0
+    v = _versions(spark, root)
+    row = v.agg(F.max("version")).first() if v is not None else None
+    return int(row[0]) if row and row[0] is not None else -1
