@@ -61,9 +61,11 @@ def landing_stream(spark: SparkSession, landing: str, max_files_per_trigger: int
                      F.col("value").alias("payload"))
 
 
-def _latest_snapshot_fields(spark: SparkSession, paths: Paths) -> DataFrame:
+def _latest_snapshot_fields(spark: SparkSession, paths: Paths, before: int) -> DataFrame:
+    """Newest saved field set per source from micro-batches before ``before``
+    (a replayed batch never reads what it is about to rewrite)."""
     try:
-        snaps = spark.read.parquet(paths.snapshots)
+        snaps = spark.read.parquet(paths.snapshots).where(F.col("batch") < before)
     except Exception:  # noqa: BLE001 - nothing saved yet
         return spark.createDataFrame([], "source string, fields array<string>")
     return snaps.groupBy("source").agg(F.max_by("fields", "batch").alias("fields"))
@@ -100,7 +102,7 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Pa
 
     # drift of the raw record keys against the last good snapshot (VAL-6, STR-4)
     docs = Q.record_keys(normalised)
-    drifted = Q.schema_drift(docs, _latest_snapshot_fields(spark, paths)).select(*Q.KEY).distinct()
+    drifted = Q.schema_drift(docs, _latest_snapshot_fields(spark, paths, batch)).select(*Q.KEY).distinct()
     good = normalised.join(drifted, Q.KEY, "left_anti")
 
     # upsert into the listing snapshot, published as version `batch` (UPS-1, STR-3)
