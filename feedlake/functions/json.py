@@ -45,16 +45,23 @@ def stage_fields(df, raw_col: str, keys: list[str], keep: list[str]):
     """
     parsed = df.select(*keep, F.col(raw_col).alias("_raw"), parse(raw_col).alias("_v"))
     vals = parsed.select(*keep, "_raw", *[field(F.col("_v"), k).alias(f"_f_{k}") for k in keys])
-    typed = vals.select("*", *[F.schema_of_variant(F.col(f"_f_{k}")).alias(f"_t_{k}") for k in keys])
+    typed = vals.select("*", *[kind_of(F.col(f"_f_{k}")).alias(f"_t_{k}") for k in keys])
     done = typed.select("*", *[_truthy(F.col(f"_f_{k}"), F.col(f"_t_{k}")).alias(f"_b_{k}") for k in keys],
                         *[F.try_variant_get(F.col(f"_f_{k}"), "$", "string").alias(f"_s_{k}") for k in keys])
     return done, (lambda k: F.col(f"_f_{k}"))
 
 
+def kind_of(x: Column) -> Column:
+    """JSON type of a VARIANT value: STRING, NUMBER, BOOLEAN, VOID, ARRAY<..> or OBJECT<..>."""
+    t = F.schema_of_variant(x)
+    return F.when(t.startswith("DECIMAL") | t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"),
+                  F.lit("NUMBER")).otherwise(t)
+
+
 def vtype(x: Column) -> Column:
-    """JSON type name of a VARIANT value: BIGINT, STRING, VOID, ARRAY<..>, ..."""
+    """JSON type of a VARIANT value (see ``kind_of``); staged fields reuse their column."""
     st = _staged(x, "t")
-    return st if st is not None else F.schema_of_variant(x)
+    return st if st is not None else kind_of(x)
 
 
 def is_null_or_absent(x: Column) -> Column:
@@ -71,8 +78,7 @@ def as_double(x: Column) -> Column:
 
 
 def is_numeric(x: Column) -> Column:
-    t = vtype(x)
-    return t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
+    return vtype(x) == F.lit("NUMBER")
 
 
 def is_string(x: Column) -> Column:
@@ -139,3 +145,19 @@ def jnum(c: Column) -> Column:
 def jarr(c: Column) -> Column:
     """JSON text of an array column; NULL stays NULL (key omitted)."""
     return F.when(c.isNotNull(), F.to_json(c))
+
+
+def json_record(fields: list[tuple[str, Column]], nulls: list[tuple[str, Column]] | None = None) -> Column:
+    """JSON object text from typed columns in one ``to_json`` call.
+
+    A NULL value leaves its key out. A key may be listed several times with
+    different types (e.g. a number for some rows, text for others) as long as
+    at most one of them is non-NULL per row. ``nulls`` lists (key, condition)
+    pairs that write an explicit JSON ``null`` when the condition holds.
+    """
+    text = F.to_json(F.struct(*[c.alias(k) for k, c in fields]))
+    for k, cond in nulls or []:
+        body = F.substr(text, F.lit(1), F.length(text) - 1)
+        text = F.when(cond, F.when(text == "{}", F.lit(f'{{"{k}":null}}'))
+                      .otherwise(F.concat(body, F.lit(f',"{k}":null}}')))).otherwise(text)
+    return text

@@ -56,7 +56,7 @@ def python_int(x: Column) -> Column:
         F.when(J.is_null_or_absent(x), F.lit(None).cast("bigint"))
         .when(t == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), 1).otherwise(0).cast("bigint"))
         .when(t == "STRING", F.when(s.rlike(_INT_TEXT), F.trim(s).try_cast("bigint")))
-        .when(J.is_numeric(x), F.try_variant_get(x, "$", "double").try_cast("bigint"))
+        .when(J.is_numeric(x), F.try_variant_get(x, "$", "bigint"))
     )
 
 

@@ -18,16 +18,16 @@ from feedlake.functions import text as TX
 
 KEY = ["source", "batch_id"]
 
-# Python type names of JSON values, for the "Expected list, got <type>" reason.
-_PY_TYPE = [("OBJECT", "dict"), ("ARRAY", "list"), ("STRING", "str"), ("BOOLEAN", "bool"), ("VOID", "NoneType")]
 
-
-def python_type_name(v: Column) -> Column:
-    t = F.schema_of_variant(v)
-    out = F.when(v.isNull(), F.lit("str"))  # unparsable body: a text response
-    for prefix, name in _PY_TYPE:
-        out = out.when(t.startswith(prefix), F.lit(name))
-    return out.when(t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"), F.lit("float")).otherwise(F.lit("int"))
+def python_type_name(payload: Column, parsed: Column) -> Column:
+    """Python type name of a JSON body ('list', 'dict', 'str', 'int', ...), read
+    from the body's first character (no re-serialisation of large bodies)."""
+    t = F.ltrim(payload)
+    c = F.substr(t, F.lit(1), F.lit(1))
+    return (F.when(parsed.isNull(), F.lit("str"))  # unparsable body: a text response
+            .when(c == "[", F.lit("list")).when(c == "{", F.lit("dict")).when(c == '"', F.lit("str"))
+            .when(c.isin("t", "f"), F.lit("bool")).when(c == "n", F.lit("NoneType"))
+            .when(F.rtrim(t).rlike("[.eE]"), F.lit("float")).otherwise(F.lit("int")))
 
 
 # ------------------------------------------------------------ SRC-1 scan
@@ -46,13 +46,13 @@ def scan_payloads(payloads: DataFrame, key_field: str | None = "id", payload_col
     v = J.parse(payload_col)
 
     def keyed(e):
-        is_obj = F.schema_of_variant(e).startswith("OBJECT")
         if key_field is None:
-            return is_obj
-        return is_obj & F.try_variant_get(e, f"$.{key_field}", "variant").isNotNull()
+            return J.kind_of(e).startswith("OBJECT")
+        # a key lookup only succeeds on an object
+        return F.try_variant_get(e, f"$.{key_field}", "variant").isNotNull()
 
-    staged = payloads.select(*KEY, *keep, v.alias("_v"))
-    staged = staged.select(*KEY, *keep, python_type_name(F.col("_v")).alias("payload_type"),
+    staged = payloads.select(*KEY, *keep, F.col(payload_col).alias("_p"), v.alias("_v"))
+    staged = staged.select(*KEY, *keep, python_type_name(F.col("_p"), F.col("_v")).alias("payload_type"),
                            F.filter(F.try_variant_get("_v", "$", "array<variant>"), keyed).alias("_items"))
     manifest = staged.select(*KEY, *keep, "payload_type",
                              F.coalesce(F.array_size("_items"), F.lit(0)).cast("bigint").alias("n_items"))

@@ -130,7 +130,7 @@ def page_prefix_merge(spark, d):
     stop after a page without ``links.next``."""
     p = page_bodies(spark, d).where(F.col("page_no") <= FT.MAX_PAGES)
     v = J.parse("body")
-    staged = p.select("conv_id", "page_no", F.schema_of_variant(v).startswith("OBJECT").alias("is_obj"),
+    staged = p.select("conv_id", "page_no", J.kind_of(v).startswith("OBJECT").alias("is_obj"),
                       F.try_variant_get(v, "$.data", "array<string>").alias("data"),
                       F.try_variant_get(v, "$.links.next", "string").alias("next"))
     kept = FT.take_while(staged, "conv_id", "page_no",

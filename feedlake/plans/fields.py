@@ -14,13 +14,13 @@ from feedlake.sources.tables import raw_feed_b, table
 def _page_records(spark, d):
     p = table(spark, d, "pages").select("page_id", "url")
     i = F.col("page_id")
-    raw = J.json_object(
-        ("id", J.jstr(i.cast("string"))),
-        ("slug", F.when(i % 3 == 0, J.jstr(F.concat(F.lit("p"), i.cast("string"))))),
-        ("url", F.when(i % 3 == 1, J.jstr(F.concat(F.lit("https://remoteOK.com/"), i.cast("string"))))
-         .when(i % 6 == 5, J.jstr(F.lit("")))),
-        ("apply_url", F.when(i % 6 == 2, J.jstr(F.col("url")))),
-    )
+    raw = J.json_record([
+        ("id", i.cast("string")),
+        ("slug", F.when(i % 3 == 0, F.concat(F.lit("p"), i.cast("string")))),
+        ("url", F.when(i % 3 == 1, F.concat(F.lit("https://remoteOK.com/"), i.cast("string")))
+         .when(i % 6 == 5, F.lit(""))),
+        ("apply_url", F.when(i % 6 == 2, F.col("url"))),
+    ])
     return p.select("page_id", raw.alias("raw"))
 
 
@@ -55,14 +55,14 @@ def location_compose(spark, d):
 
 def _part_records(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    raw = J.json_object(
-        ("required_technologies", J.jarr(F.split("p_type", " "))),
-        ("preferred_technologies", J.jarr(F.array("p_brand", F.lit("")))),
-        ("job_required_skills", F.when(F.col("p_partkey") % 5 == 0, J.jstr(F.col("p_name")))
-         .otherwise(J.jarr(F.split("p_name", " ")))),
-        ("job_function", J.jstr(F.col("p_type"))),
-        ("job_employment_type", F.when(F.col("p_size") % 2 == 0, J.jstr(F.lit("FULLTIME")))),
-    )
+    raw = J.json_record([
+        ("required_technologies", F.split("p_type", " ")),
+        ("preferred_technologies", F.array("p_brand", F.lit(""))),
+        ("job_required_skills", F.when(F.col("p_partkey") % 5 == 0, F.col("p_name"))),
+        ("job_required_skills", F.when(F.col("p_partkey") % 5 != 0, F.split("p_name", " "))),
+        ("job_function", F.col("p_type")),
+        ("job_employment_type", F.when(F.col("p_size") % 2 == 0, F.lit("FULLTIME"))),
+    ])
     return p.select("p_partkey", raw.alias("raw"))
 
 

@@ -40,9 +40,9 @@ def unwrap_envelope(payload: Column) -> Column:
     whole with no cursor; anything else gives no jobs.
     """
     v = J.parse(payload)
-    t = F.schema_of_variant(v)
+    t = J.kind_of(v)
     data = F.try_variant_get(v, "$.data", "variant")
-    dt = F.schema_of_variant(data)
+    dt = J.kind_of(data)
     arr = lambda x: F.try_variant_get(x, "$", "array<variant>")
     jobs = (F.when(t.startswith("ARRAY"), arr(v))
             .when(t.startswith("OBJECT") & dt.startswith("OBJECT"), F.try_variant_get(data, "$.jobs", "array<variant>"))

@@ -21,6 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster's task slots when it has fewer splits.
+
+    A large input is already read in many splits and is returned unchanged;
+    only an input with fewer splits than ``defaultParallelism`` (e.g. one
+    small file with a single row group) is round-robin repartitioned, so that
+    CPU-heavy per-row work (JSON parsing) does not run in a handful of tasks.
+    The check uses the planned splits only; no data is read.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 # Feed B is moved forward by this many days so that the three feeds overlap in time.
 FEED_B_SHIFT_DAYS = 8217
 FEED_C_BASE_EPOCH = 1704067200
@@ -116,87 +129,85 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat-array feed records from ``events``: (batch_id, pos, event_id, raw)."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     i = F.col("event_id")
+    s = lambda c: c.cast("string")
     secs = R.ntz_to_seconds(F.col("ts"))
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    raw = J.json_object(
-        ("id", F.when(i % 97 != 0, J.jstr(i.cast("string")))),
-        ("position", J.jstr(F.col("event_type"))),
-        ("company", F.when(i % 13 == 0, F.lit("null")).otherwise(
-            J.jstr(F.concat(F.lit("company_"), F.col("user_id").cast("string"))))),
-        ("url", F.when(i % 3 != 2, J.jstr(F.concat(F.lit("https://remoteOK.com/jobs/"), i.cast("string"))))),
-        ("slug", F.when(i % 3 == 0, J.jstr(F.concat(F.col("event_type"), F.lit("-"), i.cast("string"))))),
-        ("apply_url", F.when(i % 3 == 2, J.jstr(F.concat(F.lit("https://apply.example/"), i.cast("string"))))),
-        ("epoch", F.when(i % 4 == 0, J.jnum(secs)).when(i % 4 == 1, J.jstr(secs.cast("string")))
-         .when(i % 4 == 3, F.lit("0"))),
-        ("date", F.when(i % 4 == 2, J.jstr(iso)).when(i % 4 == 3, J.jstr(secs.cast("string")))),
-        ("location", F.when(i % 7 == 0, J.jstr(F.lit(""))).when(i % 7 == 1, J.jstr(F.lit("Remote EU")))),
-        ("tags", F.when(i % 6 != 0, J.jarr(F.array("event_type", F.concat(F.lit("u"), F.col("user_id").cast("string")))))),
-        ("salary_min", F.when(i % 5 == 0, F.lit("null"))
-         .when(i % 5 == 1, J.jstr(F.floor(F.col("value") * 1000).cast("bigint").cast("string")))
-         .when(i % 5 == 2, J.jnum(F.floor(F.col("value") * 1000).cast("bigint")))
-         .when(i % 5 == 3, J.jnum(F.col("value") * 1000))
-         .otherwise(J.jstr(F.col("value").cast("string")))),
-        ("salary_max", J.jnum(F.floor(F.col("value") * 1500).cast("bigint"))),
-    )
+    floor_k = F.floor(F.col("value") * 1000).cast("bigint")
+    raw = J.json_record([
+        ("id", F.when(i % 97 != 0, s(i))),
+        ("position", F.col("event_type")),
+        ("company", F.when(i % 13 != 0, F.concat(F.lit("company_"), s(F.col("user_id"))))),
+        ("url", F.when(i % 3 != 2, F.concat(F.lit("https://remoteOK.com/jobs/"), s(i)))),
+        ("slug", F.when(i % 3 == 0, F.concat(F.col("event_type"), F.lit("-"), s(i)))),
+        ("apply_url", F.when(i % 3 == 2, F.concat(F.lit("https://apply.example/"), s(i)))),
+        ("epoch", F.when(i % 4 == 0, secs).when(i % 4 == 3, F.lit(0).cast("bigint"))),
+        ("epoch", F.when(i % 4 == 1, s(secs))),
+        ("date", F.when(i % 4 == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(i % 4 == 3, s(secs))),
+        ("location", F.when(i % 7 == 0, F.lit("")).when(i % 7 == 1, F.lit("Remote EU"))),
+        ("tags", F.when(i % 6 != 0, F.array("event_type", F.concat(F.lit("u"), s(F.col("user_id")))))),
+        ("salary_min", F.when(i % 5 == 1, s(floor_k)).when(i % 5 == 4, s(F.col("value")))),
+        ("salary_min", F.when(i % 5 == 2, floor_k)),
+        ("salary_min", F.when(i % 5 == 3, F.col("value") * 1000)),
+        ("salary_max", F.floor(F.col("value") * 1500).cast("bigint")),
+    ], nulls=[("company", i % 13 == 0), ("salary_min", i % 5 == 0)])
     return e.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
                     i.alias("event_id"), raw.alias("raw"))
 
 
 def raw_feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursor-feed records from orders ⋈ customer ⋈ nation ⋈ region."""
-    j = orders_enriched(spark, sf_dir)
+    j = spread(orders_enriched(spark, sf_dir))
     k = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
     posted = F.timestamp_add("DAY", F.lit(FEED_B_SHIFT_DAYS), F.col("o_orderdate"))
     secs = R.ntz_to_seconds(posted)
-    raw = J.json_object(
-        ("job_id", F.when(k % 101 == 0, J.jstr(F.lit(""))).otherwise(J.jstr(k.cast("string")))),
-        ("job_title", J.jstr(F.col("c_mktsegment"))),
-        ("employer_name", F.when(k % 11 == 0, F.lit("null")).otherwise(J.jstr(F.col("c_name")))),
-        ("job_apply_link", J.jstr(F.concat(F.lit("https://feed-b.example/"), k.cast("string")))),
-        ("job_location", F.when(k % 4 == 0, J.jstr(F.concat_ws(", ", "n_name", "r_name")))
-         .when(k % 4 == 3, J.jstr(F.lit("")))),
-        ("job_city", F.when(k % 4 == 1, J.jstr(F.col("n_name")))),
-        ("job_state", F.when(k % 4 == 1, J.jstr(F.lit("")))),
-        ("job_country", F.when((k % 4 == 1) | (k % 4 == 3), J.jstr(F.col("r_name")))),
-        ("job_is_remote", J.jnum(F.col("o_orderpriority") == "1-URGENT")),
-        ("work_arrangement", J.jstr(F.when(F.col("o_orderpriority") == "2-HIGH", "remote").otherwise("onsite"))),
-        ("job_posted_at_datetime_utc", F.when(k % 3 == 0, J.jstr(F.concat(
-            F.date_format(posted, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))))
-         .when(k % 3 == 2, J.jstr(F.lit("not-a-date")))),
-        ("job_posted_at_timestamp", F.when(k % 3 != 0, J.jnum(secs))),
-        ("job_min_salary", F.when(F.col("o_orderstatus") == "P", F.lit("null"))
-         .when(F.col("o_orderstatus") == "F", J.jnum(F.floor("o_totalprice").cast("bigint")))
-         .otherwise(J.jstr(F.col("o_totalprice").cast("string")))),
-        ("job_max_salary", F.when(k % 2 == 0, F.lit("0")).otherwise(
-            J.jnum(F.floor(F.col("o_totalprice") * 1.2).cast("bigint")))),
-        ("required_technologies", J.jarr(F.array("o_orderpriority"))),
-        ("preferred_technologies", J.jarr(F.array("c_mktsegment", F.lit("")))),
-        ("job_function", J.jstr(F.col("c_mktsegment"))),
-        ("job_employment_type", J.jstr(F.col("o_orderstatus"))),
-    )
+    raw = J.json_record([
+        ("job_id", F.when(k % 101 == 0, F.lit("")).otherwise(s(k))),
+        ("job_title", F.col("c_mktsegment")),
+        ("employer_name", F.when(k % 11 != 0, F.col("c_name"))),
+        ("job_apply_link", F.concat(F.lit("https://feed-b.example/"), s(k))),
+        ("job_location", F.when(k % 4 == 0, F.concat_ws(", ", "n_name", "r_name")).when(k % 4 == 3, F.lit(""))),
+        ("job_city", F.when(k % 4 == 1, F.col("n_name"))),
+        ("job_state", F.when(k % 4 == 1, F.lit(""))),
+        ("job_country", F.when((k % 4 == 1) | (k % 4 == 3), F.col("r_name"))),
+        ("job_is_remote", F.col("o_orderpriority") == "1-URGENT"),
+        ("work_arrangement", F.when(F.col("o_orderpriority") == "2-HIGH", "remote").otherwise("onsite")),
+        ("job_posted_at_datetime_utc", F.when(k % 3 == 0, F.concat(
+            F.date_format(posted, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(k % 3 == 2, F.lit("not-a-date"))),
+        ("job_posted_at_timestamp", F.when(k % 3 != 0, secs)),
+        ("job_min_salary", F.when(F.col("o_orderstatus") == "F", F.floor("o_totalprice").cast("bigint"))),
+        ("job_min_salary", F.when(~F.col("o_orderstatus").isin("F", "P"), s(F.col("o_totalprice")))),
+        ("job_max_salary", F.when(k % 2 == 0, F.lit(0).cast("bigint")).otherwise(
+            F.floor(F.col("o_totalprice") * 1.2).cast("bigint"))),
+        ("required_technologies", F.array("o_orderpriority")),
+        ("preferred_technologies", F.array("c_mktsegment", F.lit(""))),
+        ("job_function", F.col("c_mktsegment")),
+        ("job_employment_type", F.col("o_orderstatus")),
+    ], nulls=[("employer_name", k % 11 == 0), ("job_min_salary", F.col("o_orderstatus") == "P")])
     return j.select(F.floor(k / 50).cast("bigint").alias("batch_id"), (k % 50).cast("bigint").alias("pos"),
                     k.alias("o_orderkey"), raw.alias("raw"))
 
 
 def raw_feed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-feed records from ``documents``."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"))
     i = F.col("doc_id")
-    raw = J.json_object(
-        ("slug", F.when(i % 50 != 7, J.jstr(F.concat("source", F.lit("-"), i.cast("string"))))),
-        ("title", J.jstr(F.concat(F.lit("doc "), i.cast("string")))),
-        ("company_name", J.jstr(F.col("source"))),
-        ("url", J.jstr(F.concat(F.lit("https://feed-c.example/"), i.cast("string")))),
-        ("location", F.when(i % 2 == 0, J.jstr(F.col("lang")))),
-        ("tags", J.jarr(F.array("lang"))),
-        ("visa_sponsorship", J.jnum(F.col("lang") == "de")),
-        ("four_day_week", F.when(i % 3 != 0, J.jnum(F.col("n_chars") % 2 == 0))),
-        ("remote", F.when(i % 5 == 0, J.jstr(F.lit("yes"))).when(i % 5 == 1, F.lit("0"))
-         .otherwise(J.jnum(F.col("n_chars") % 3 == 0))),
-        ("created_at", J.jnum(F.lit(FEED_C_BASE_EPOCH) + (i % 1000) * FEED_C_STEP_SECONDS)),
-    )
+    s = lambda c: c.cast("string")
+    raw = J.json_record([
+        ("slug", F.when(i % 50 != 7, F.concat("source", F.lit("-"), s(i)))),
+        ("title", F.concat(F.lit("doc "), s(i))),
+        ("company_name", F.col("source")),
+        ("url", F.concat(F.lit("https://feed-c.example/"), s(i))),
+        ("location", F.when(i % 2 == 0, F.col("lang"))),
+        ("tags", F.array("lang")),
+        ("visa_sponsorship", F.col("lang") == "de"),
+        ("four_day_week", F.when(i % 3 != 0, F.col("n_chars") % 2 == 0)),
+        ("remote", F.when(i % 5 == 0, F.lit("yes"))),
+        ("remote", F.when(i % 5 == 1, F.lit(0).cast("bigint"))),
+        ("remote", F.when(i % 5 >= 2, F.col("n_chars") % 3 == 0)),
+        ("created_at", F.lit(FEED_C_BASE_EPOCH).cast("bigint") + (i % 1000) * FEED_C_STEP_SECONDS),
+    ])
     return d.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
                     i.alias("doc_id"), raw.alias("raw"))
 
@@ -211,16 +222,16 @@ GATE_BATCH = 50
 
 def gate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed-A style records from ``events`` with planted absent keys and drift."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
     i = F.col("event_id")
     b = F.floor(i / GATE_BATCH).cast("bigint")
-    raw = J.json_object(
-        ("id", J.jstr(i.cast("string"))),
-        ("position", J.jstr(F.col("event_type"))),
-        ("company", F.when(i % 307 != 0, J.jstr(F.concat(F.lit("company_"), F.col("user_id").cast("string"))))),
-        ("url", F.when(i % 211 != 0, J.jstr(F.concat(F.lit("https://feed-a.example/jobs/"), i.cast("string"))))),
-        ("epoch", F.when(b % 23 != 4, J.jnum(R.ntz_to_seconds(F.col("ts"))))),
-    )
+    raw = J.json_record([
+        ("id", i.cast("string")),
+        ("position", F.col("event_type")),
+        ("company", F.when(i % 307 != 0, F.concat(F.lit("company_"), F.col("user_id").cast("string")))),
+        ("url", F.when(i % 211 != 0, F.concat(F.lit("https://feed-a.example/jobs/"), i.cast("string")))),
+        ("epoch", F.when(b % 23 != 4, R.ntz_to_seconds(F.col("ts")))),
+    ])
     return e.select(F.lit("feed_a").alias("source"), b.alias("batch_id"), i.alias("event_id"), raw.alias("rec"))
 
 
