@@ -156,8 +156,9 @@ def json_record(fields: list[tuple[str, Column]], nulls: list[tuple[str, Column]
     pairs that write an explicit JSON ``null`` when the condition holds.
     """
     text = F.to_json(F.struct(*[c.alias(k) for k, c in fields]))
-    for k, cond in nulls or []:
-        body = F.substr(text, F.lit(1), F.length(text) - 1)
-        text = F.when(cond, F.when(text == "{}", F.lit(f'{{"{k}":null}}'))
-                      .otherwise(F.concat(body, F.lit(f',"{k}":null}}')))).otherwise(text)
-    return text
+    if not nulls:
+        return text
+    extra = F.concat_ws("", *[F.when(cond, F.lit(f',"{k}":null')) for k, cond in nulls])
+    # the serialised text is referenced once: splice before the closing brace
+    spliced = F.regexp_replace(text, r"\}$", F.concat(extra, F.lit("}")))
+    return F.regexp_replace(spliced, r"^\{,", F.lit("{"))

@@ -143,15 +143,17 @@ def location_compose(job_location: Column, city: Column, state: Column, country:
 
 def tag_merge(lists: list[Column], extras: list[Column], cap: int = 8) -> Column:
     """F-6: concat list fields (non-lists skipped), drop falsy, lower; append extra
-    values when truthy and absent; order-preserving distinct; first ``cap``."""
+    values when truthy and absent; order-preserving distinct; first ``cap``.
+
+    "Append when absent, then distinct" equals "append, then distinct", since
+    an order-preserving distinct keeps the first occurrence.
+    """
     arrays = [F.coalesce(F.when(J.is_array(c), F.try_variant_get(c, "$", "array<variant>")),
                          F.array().cast("array<variant>")) for c in lists]
-    merged = F.filter(F.concat(*arrays), lambda e: J.truthy(e))
-    merged = F.transform(merged, lambda e: F.lower(J.as_string(e)))
-    for x in extras:
-        v = F.lower(J.as_string(x))
-        merged = F.when(J.truthy(x) & ~F.array_contains(merged, v), F.array_append(merged, v)).otherwise(merged)
-    return F.slice(F.array_distinct(merged), 1, cap)
+    base = F.transform(F.filter(F.concat(*arrays), lambda e: J.truthy(e)), lambda e: F.lower(J.as_string(e)))
+    more = F.filter(F.array(*[F.when(J.truthy(x), F.lower(J.as_string(x))) for x in extras]),
+                    lambda e: e.isNotNull())
+    return F.slice(F.array_distinct(F.concat(base, more)), 1, cap)
 
 
 def remote_b(is_remote: Column, arrangement: Column) -> Column:

@@ -129,7 +129,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat-array feed records from ``events``: (batch_id, pos, event_id, raw)."""
-    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     i = F.col("event_id")
     s = lambda c: c.cast("string")
     secs = R.ntz_to_seconds(F.col("ts"))
@@ -151,13 +151,13 @@ def raw_feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("salary_min", F.when(i % 5 == 3, F.col("value") * 1000)),
         ("salary_max", F.floor(F.col("value") * 1500).cast("bigint")),
     ], nulls=[("company", i % 13 == 0), ("salary_min", i % 5 == 0)])
-    return e.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
-                    i.alias("event_id"), raw.alias("raw"))
+    return spread(e.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
+                           i.alias("event_id"), raw.alias("raw")))
 
 
 def raw_feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursor-feed records from orders ⋈ customer ⋈ nation ⋈ region."""
-    j = spread(orders_enriched(spark, sf_dir))
+    j = orders_enriched(spark, sf_dir)
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
     posted = F.timestamp_add("DAY", F.lit(FEED_B_SHIFT_DAYS), F.col("o_orderdate"))
@@ -185,13 +185,13 @@ def raw_feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("job_function", F.col("c_mktsegment")),
         ("job_employment_type", F.col("o_orderstatus")),
     ], nulls=[("employer_name", k % 11 == 0), ("job_min_salary", F.col("o_orderstatus") == "P")])
-    return j.select(F.floor(k / 50).cast("bigint").alias("batch_id"), (k % 50).cast("bigint").alias("pos"),
-                    k.alias("o_orderkey"), raw.alias("raw"))
+    return spread(j.select(F.floor(k / 50).cast("bigint").alias("batch_id"), (k % 50).cast("bigint").alias("pos"),
+                           k.alias("o_orderkey"), raw.alias("raw")))
 
 
 def raw_feed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-feed records from ``documents``."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     i = F.col("doc_id")
     s = lambda c: c.cast("string")
     raw = J.json_record([
@@ -208,8 +208,8 @@ def raw_feed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("remote", F.when(i % 5 >= 2, F.col("n_chars") % 3 == 0)),
         ("created_at", F.lit(FEED_C_BASE_EPOCH).cast("bigint") + (i % 1000) * FEED_C_STEP_SECONDS),
     ])
-    return d.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
-                    i.alias("doc_id"), raw.alias("raw"))
+    return spread(d.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
+                           i.alias("doc_id"), raw.alias("raw")))
 
 
 # ------------------------------------------------------------ landed payloads
@@ -222,7 +222,7 @@ GATE_BATCH = 50
 
 def gate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed-A style records from ``events`` with planted absent keys and drift."""
-    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     i = F.col("event_id")
     b = F.floor(i / GATE_BATCH).cast("bigint")
     raw = J.json_record([
