@@ -33,8 +33,18 @@ def _fields(df: DataFrame, raw_col: str, keys: list[str], keep: list[str]):
 
 
 def _finish(df: DataFrame, cols: dict[str, Column], keep: list[str]) -> DataFrame:
+    """Project the canonical columns and drop records without an id (FLT-1).
+
+    The drop is a generator of zero or one row per record rather than a
+    filter: the optimizer would push a filter on ``external_id`` below the
+    staged projections and evaluate the JSON parse a second time (and, for a
+    spread input, before the shuffle in the scan stage).
+    """
     out = df.select(*keep, *[cols[n].cast(CANONICAL[n].dataType).alias(n) for n in CANONICAL_FIELDS])
-    return out.where(F.col("external_id").isNotNull() & (F.col("external_id") != ""))
+    names = keep + CANONICAL_FIELDS
+    has_id = F.coalesce(F.length("external_id") > 0, F.lit(False))
+    row = F.struct(*[F.col(c) for c in names])
+    return out.select(F.inline(F.filter(F.array(row), lambda _: has_id)))
 
 
 def normalise_flat(df: DataFrame, source: str = "feed_a", raw_col: str = "raw",
