@@ -3,8 +3,8 @@
 All per-batch work is an aggregation keyed by ``(source, batch_id)`` with
 map-side partial aggregation, so a huge batch is reduced in parallel before
 its single row per batch is shuffled. Per-batch samples ("first n records")
-use ``row_number() <= n``, which the planner turns into a partial top-n
-(WindowGroupLimit) before the shuffle, so a batch never travels whole.
+use the records' dense position in the batch (``pos < n``), so a batch never
+travels whole.
 Verdict tables hold one row per batch and are joined back to the records.
 """
 
@@ -111,8 +111,16 @@ def gate_quarantine(records: DataFrame, verdicts: DataFrame) -> DataFrame:
     return records.join(verdicts.where(~F.col("ok")).select(*KEY, "reason"), KEY, "inner")
 
 
-def first_n(records: DataFrame, n: int, order: str = "pos") -> DataFrame:
-    """WIN-4: first ``n`` records per batch (partial top-n before the shuffle)."""
+def first_n(records: DataFrame, n: int, order: str = "pos", dense: bool = True) -> DataFrame:
+    """WIN-4: first ``n`` records per batch.
+
+    Records from ``scan_payloads`` carry their 0-based index in the batch, so
+    the first ``n`` are simply ``pos < n``: a filter, no shuffle and no window,
+    however large a batch is. For other orderings (``dense=False``) a
+    ``row_number() <= n`` window is used.
+    """
+    if dense:
+        return records.where(F.col(order) < n)
     w = Window.partitionBy(*KEY).orderBy(order)
     return records.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 

@@ -45,6 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: configure a shared folder for checkpoints")
+        # local mode only (tests, bench): a scratch folder on this machine
         d = tempfile.mkdtemp(prefix="feedlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
