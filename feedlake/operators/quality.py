@@ -74,17 +74,20 @@ def missing_keys(raw: Column, required: list[str]) -> Column:
     return F.array_sort(F.array_except(F.array(*[F.lit(k) for k in required]), keys))
 
 
-def batch_verdicts(manifest: DataFrame, records: DataFrame, required: list[str], min_items: int = 1) -> DataFrame:
+def batch_verdicts(manifest: DataFrame, records: DataFrame, required: list[str], min_items: int = 1,
+                   key: list[str] | None = None) -> DataFrame:
     """VAL-1..4: one verdict per batch; checks in order type -> count -> keys.
 
     ``manifest``: (source, batch_id, payload_type); ``records``: (source,
     batch_id, pos, raw). The first record (lowest pos) missing a key decides.
+    ``key`` (default (source, batch_id)) may add columns, e.g. an attempt number.
     """
-    rec = records.select(*KEY, "pos", missing_keys(F.col("raw"), required).alias("missing"))
-    agg = rec.groupBy(*KEY).agg(
+    key = key or KEY
+    rec = records.select(*key, "pos", missing_keys(F.col("raw"), required).alias("missing"))
+    agg = rec.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.array_size("missing") > 0, F.struct("pos", "missing"))).alias("first_bad"))
-    j = manifest.select(*KEY, "payload_type").join(agg, KEY, "left")
+    j = manifest.select(*key, "payload_type").join(agg, key, "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     reason = (
         F.when(F.col("payload_type") != "list", F.concat(F.lit("Expected list, got "), F.col("payload_type")))
@@ -94,7 +97,7 @@ def batch_verdicts(manifest: DataFrame, records: DataFrame, required: list[str],
               F.concat(F.lit("Item "), F.col("first_bad.pos").cast("string"), F.lit(" missing required keys: "),
                        _set_repr(F.col("first_bad.missing"))))
     )
-    return j.select(*KEY, reason.isNull().alias("ok"), reason.alias("reason"),
+    return j.select(*key, reason.isNull().alias("ok"), reason.alias("reason"),
                     F.when((F.col("payload_type") == "list") & (n >= min_items), F.col("first_bad.missing"))
                     .alias("missing"), n.cast("bigint").alias("n_items"))
 

@@ -94,24 +94,34 @@ def key_uniqueness_audit(spark, d):
 # ------------------------------------------------------------ run log over the gate batches
 
 def run_logs(spark, d):
-    """The run log of one cycle over all gate batches (attempts, drift, upsert)."""
+    """The run log of one cycle over all gate batches (attempts, drift, upsert).
+
+    The records of both attempts are scanned once and checkpointed (reliable
+    checkpoint in the shared folder); verdicts, acceptance, drift and counters
+    all read that copy instead of re-parsing the payloads.
+    """
+    from feedlake.operators.dedup import _checkpoint
     from feedlake.plans.quality import _scan
 
     e = table(spark, d, "events").select("event_id", "ts")
     batches = e.groupBy(F.floor(F.col("event_id") / GATE_BATCH).cast("bigint").alias("batch_id")).agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("finished_at")).withColumn("source", F.lit("feed_a"))
-    vs, recs = [], []
+    ms, rs = [], []
     for attempt in (1, 2):
         m, r = _scan(spark, d, attempt)
-        vs.append(Q.batch_verdicts(m, r, REQUIRED).withColumn("attempt", F.lit(attempt)))
-        recs.append(r.withColumn("attempt", F.lit(attempt)))
-    res = Q.resolve_attempts(vs[0].unionByName(vs[1]))
-    accepted = (recs[0].unionByName(recs[1])
-                .join(res.select(*Q.KEY, F.col("accepted_attempt").cast("int").alias("attempt")),
-                      Q.KEY + ["attempt"], "left_semi"))
+        ms.append(m.withColumn("attempt", F.lit(attempt)))
+        rs.append(r.withColumn("attempt", F.lit(attempt)))
+    manifests = ms[0].unionByName(ms[1])
+    records = _checkpoint(rs[0].unionByName(rs[1]))
+    ka = Q.KEY + ["attempt"]
+    verdicts = Q.batch_verdicts(manifests, records, REQUIRED, key=ka)
+    res = Q.resolve_attempts(verdicts)
+    accepted = records.join(res.select(*Q.KEY, F.col("accepted_attempt").cast("int").alias("attempt")), ka,
+                            "left_semi")
     keyed = Q.record_keys(accepted)
-    _, r1, v1 = _verdicts(spark, d)
-    known = _known_snapshot(Q.record_keys(Q.gate_pass(r1, v1)))
+    first_pass = records.where(F.col("attempt") == 1).join(
+        verdicts.where((F.col("attempt") == 1) & F.col("ok")).select(*Q.KEY), Q.KEY, "left_semi")
+    known = _known_snapshot(Q.record_keys(first_pass))
     drift = Q.schema_drift(keyed, known)
     written = (accepted.join(drift.select(*Q.KEY).distinct(), Q.KEY, "left_anti")
                .select(*Q.KEY, F.get_json_object("raw", "$.id").alias("external_id")))
