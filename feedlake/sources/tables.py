@@ -21,17 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def is_small(df: DataFrame) -> bool:
+    """Fewer planned splits than the cluster's task slots (no data is read)."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame, force: bool = False) -> DataFrame:
     """Spread a scan over the cluster's task slots when it has fewer splits.
 
     A large input is already read in many splits and is returned unchanged;
     only an input with fewer splits than ``defaultParallelism`` (e.g. one
     small file with a single row group) is round-robin repartitioned, so that
     CPU-heavy per-row work (JSON parsing) does not run in a handful of tasks.
-    The check uses the planned splits only; no data is read.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    return df.repartition(slots) if force or is_small(df) else df
+
+
+def landed(base: DataFrame, build) -> DataFrame:
+    """Derive landed raw records from ``base`` with ``build`` (a DataFrame -> DataFrame).
+
+    For a small input the rows are spread before the build and again after
+    it; the second exchange stands where bronze storage stands in production
+    (records are built in one stage and parsed in the next).
+    """
+    if is_small(base):
+        return spread(build(spread(base, force=True)), force=True)
+    return build(base)
 
 
 # Feed B is moved forward by this many days so that the three feeds overlap in time.
@@ -130,6 +146,10 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat-array feed records from ``events``: (batch_id, pos, event_id, raw)."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return landed(e, _build_a)
+
+
+def _build_a(e: DataFrame) -> DataFrame:
     i = F.col("event_id")
     s = lambda c: c.cast("string")
     secs = R.ntz_to_seconds(F.col("ts"))
@@ -151,13 +171,16 @@ def raw_feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("salary_min", F.when(i % 5 == 3, F.col("value") * 1000)),
         ("salary_max", F.floor(F.col("value") * 1500).cast("bigint")),
     ], nulls=[("company", i % 13 == 0), ("salary_min", i % 5 == 0)])
-    return spread(e.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
-                           i.alias("event_id"), raw.alias("raw")))
+    return e.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
+                    i.alias("event_id"), raw.alias("raw"))
 
 
 def raw_feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursor-feed records from orders ⋈ customer ⋈ nation ⋈ region."""
-    j = orders_enriched(spark, sf_dir)
+    return landed(orders_enriched(spark, sf_dir), _build_b)
+
+
+def _build_b(j: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
     posted = F.timestamp_add("DAY", F.lit(FEED_B_SHIFT_DAYS), F.col("o_orderdate"))
@@ -185,13 +208,17 @@ def raw_feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("job_function", F.col("c_mktsegment")),
         ("job_employment_type", F.col("o_orderstatus")),
     ], nulls=[("employer_name", k % 11 == 0), ("job_min_salary", F.col("o_orderstatus") == "P")])
-    return spread(j.select(F.floor(k / 50).cast("bigint").alias("batch_id"), (k % 50).cast("bigint").alias("pos"),
-                           k.alias("o_orderkey"), raw.alias("raw")))
+    return j.select(F.floor(k / 50).cast("bigint").alias("batch_id"), (k % 50).cast("bigint").alias("pos"),
+                    k.alias("o_orderkey"), raw.alias("raw"))
 
 
 def raw_feed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-feed records from ``documents``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    return landed(d, _build_c)
+
+
+def _build_c(d: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     s = lambda c: c.cast("string")
     raw = J.json_record([
@@ -208,8 +235,8 @@ def raw_feed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("remote", F.when(i % 5 >= 2, F.col("n_chars") % 3 == 0)),
         ("created_at", F.lit(FEED_C_BASE_EPOCH).cast("bigint") + (i % 1000) * FEED_C_STEP_SECONDS),
     ])
-    return spread(d.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
-                           i.alias("doc_id"), raw.alias("raw")))
+    return d.select(F.floor(i / 50).cast("bigint").alias("batch_id"), (i % 50).cast("bigint").alias("pos"),
+                    i.alias("doc_id"), raw.alias("raw"))
 
 
 # ------------------------------------------------------------ landed payloads
