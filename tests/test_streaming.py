@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from feedlake.streaming import pipeline as P
+from feedlake.streaming import landing as P
 
 
 _CLOCK = [1_700_000_000]
