@@ -8,7 +8,7 @@ spread over many tasks; only one row per (key, bucket) crosses buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions import rules as R
