@@ -22,7 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Fewer planned splits than the cluster's task slots (no data is read)."""
+    """Fewer planned splits than the cluster's task slots.
+
+    Call it on a plain scan (no exchange below): the split count is then read
+    from the file listing and nothing is executed.
+    """
     return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
 
@@ -35,17 +39,18 @@ def spread(df: DataFrame, force: bool = False) -> DataFrame:
     CPU-heavy per-row work (JSON parsing) does not run in a handful of tasks.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if force or is_small(df) else df
+    return df.repartition(slots) if force or is_small(df) else df  # is_small only on plain scans
 
 
-def landed(base: DataFrame, build) -> DataFrame:
+def landed(base: DataFrame, build, probe: DataFrame | None = None) -> DataFrame:
     """Derive landed raw records from ``base`` with ``build`` (a DataFrame -> DataFrame).
 
-    For a small input the rows are spread before the build and again after
-    it; the second exchange stands where bronze storage stands in production
-    (records are built in one stage and parsed in the next).
+    For a small input (judged on ``probe``, the plain scan under ``base``) the
+    rows are spread before the build and again after it; the second exchange
+    stands where bronze storage stands in production (records are built in one
+    stage and parsed in the next). A large input is built where it is read.
     """
-    if is_small(base):
+    if is_small(base if probe is None else probe):
         return spread(build(spread(base, force=True)), force=True)
     return build(base)
 
@@ -177,7 +182,7 @@ def _build_a(e: DataFrame) -> DataFrame:
 
 def raw_feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursor-feed records from orders ⋈ customer ⋈ nation ⋈ region."""
-    return landed(orders_enriched(spark, sf_dir), _build_b)
+    return landed(orders_enriched(spark, sf_dir), _build_b, probe=table(spark, sf_dir, "orders"))
 
 
 def _build_b(j: DataFrame) -> DataFrame:
