@@ -58,7 +58,8 @@ def cursor_merge(records: DataFrame, fetch: str, seq: str, pos: str, job_id: str
 
     First-occurrence is a keyed aggregation (map-side combined), so a popular id
     is reduced before the shuffle; the cap is ``row_number() <= total_jobs`` per
-    fetch, planned as a partial top-k before the shuffle (WindowGroupLimit).
+    fetch (planned as a WindowGroupLimit). One fetch is bounded by the request
+    cap times the page size, so its window partition is bounded too.
     """
     has_id = F.coalesce(F.length(F.col(job_id)) > 0, F.lit(False))
     ided = records.where(has_id)
