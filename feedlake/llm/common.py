@@ -48,11 +48,6 @@ def scrambled(v: Column) -> Column:
     return v.bitwiseXOR(F.shiftleft(v, 17))
 
 
-def unscrambled_min(labels: DataFrame, node: str, label: str, out: str) -> DataFrame:
-    """Per component label, the smallest node."""
-    return labels.groupBy(label).agg(F.min(node).alias(out))
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges(a long, b long)``: ``(node, component)``, the smallest node of each.
 
@@ -80,3 +75,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
                       .select("v", "node", F.coalesce("q", "label").alias("label")), f"{name}-nodes")
     least = nodes.groupBy("label").agg(F.min("node").alias("component"))
     return nodes.join(least, "label").select("node", "component")
+
+
+#: Rows, of a few longs each, up to which a counted table is broadcast.
+SMALL_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it has ``rows`` rows at most; else it is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
