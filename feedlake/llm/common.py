@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 
@@ -84,3 +85,10 @@ SMALL_ROWS = 1_000_000
 def sized(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """``df`` (a written table) marked for broadcast if it has ``rows`` rows at most; else it is shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` if it reads files as they lie, else a written copy: row numbers must come out alike each time."""
+    plan = docs._jdf.queryExecution().sparkPlan().toString()
+    plain = "FileScan" in plan and not re.search(r"Exchange|Join|Aggregate|Window|Sample|Limit|Union|Generate|Python|Pandas|Arrow", plan)
+    return docs if plain else stash(docs, "input")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from feedlake.llm import language, toxicity
 from feedlake.llm.common import table
 from feedlake.llm.exact_dedup import OP3_SQL, exact_dedup
 from feedlake.llm.ngram_join import ngram_join
@@ -12,13 +13,23 @@ def op3_exact_dedup(spark, d):
     return exact_dedup(table(spark, d, "documents"))
 
 
+def op4_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, d, "labels")))
+
+
 def op7_ngram_join(spark, d):
     return ngram_join(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op8_language(spark, d):
+    docs = table(spark, d, "documents")
+    return language.language(docs, language.train(docs))
+
+
 def op9_sharding(spark, d):
     return shard(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_ngram_join, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_toxicity, op7_ngram_join, op8_language, op9_sharding)}
 ORACLE = {"op3_exact_dedup": OP3_SQL}
