@@ -8,7 +8,8 @@ mistaken words of clean ones, span the Nystrom space. The machine is trained on
 labelled sentences: a toxic document's sentences are a bag, whose witnesses are
 the words of several toxic and of no clean document (found anew in ROUNDS rounds); words of clean sentences that
 look most toxic are added as hard negatives. A document's score is a logistic
-curve of its two highest word margins, fitted on the sample's documents.
+curve of the mean of its two highest word margins; THRESHOLD lies where it best
+parts clean and toxic documents of a quarter of the sample that the machine never saw.
 
 The machine's weights are folded into one value per hashed subsequence, so whole
 texts are scored at a lookup per word. Runs of single characters parted by
@@ -38,7 +39,7 @@ from feedlake.llm.shingles import STEP, mixed
 
 #: Most labelled documents, about, that are sampled for training, by label.
 SAMPLE = {1: 1500, 0: 6000}
-LANDMARKS, ROUNDS, DECAY, THRESHOLD = 512, 3, 0.6, 0.7
+LANDMARKS, ROUNDS, DECAY, THRESHOLD = 384, 3, 0.6, 0.7
 BITS = 15
 LONG, WINDOW = 24, 16
 #: Words whose margins a task keeps.
@@ -110,19 +111,30 @@ def landmark_table(words: list[str]) -> np.ndarray:
     return table
 
 
+def cut(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The value that parts the two with the least sum of error rates, a clean one counting double; amid its range."""
+    at = np.unique(np.concatenate([clean, toxic]))
+    between = np.concatenate([[at[0] - 0.1], (at[1:] + at[:-1]) / 2, [at[-1] + 0.1]])
+    wrong = (2 * (1 - np.searchsorted(np.sort(clean), between) / max(1, len(clean)))
+             + np.searchsorted(np.sort(toxic), between) / max(1, len(toxic)))
+    return float(np.mean(between[wrong <= wrong.min() + 1e-12][[0, -1]]))
+
+
 class Model:
-    """``values``: one per hashed subsequence; ``bias``; ``curve``: three numbers of the logistic curve."""
+    """``values``: one per hashed subsequence; ``bias``; ``steep`` and ``middle`` of the logistic curve."""
 
     def __init__(self, texts: list[str], toxic: list[int]):
         own: dict[str, list[str]] = {}
         bags = [[p for t in tokens(x) for p in own.get(t) or own.setdefault(t, pieces(t))] for x in texts]
-        toxic = np.array(toxic)
-        seen = {c: Counter(w for b, y in zip(bags, toxic) if y == c for w in set(b)) for c in (0, 1)}
-        n1, n0 = (toxic == 1).sum(), (toxic == 0).sum()
+        toxic, apart = np.array(toxic), np.arange(len(toxic)) % 4 == 3
+        if set(toxic[~apart]) != {0, 1} or set(toxic[apart]) != {0, 1}:
+            apart[:] = False
+        seen = {c: Counter(w for b, y in zip(bags, np.where(apart, -1, toxic)) if y == c for w in set(b)) for c in (0, 1)}
+        n1, n0 = (toxic[~apart] == 1).sum(), (toxic[~apart] == 0).sum()
         telling = sorted(seen[1], key=lambda w: (-(seen[1][w] / n1 - 2 * seen[0][w] / n0) * (1 + (seen[0][w] == 0)), w))
         common = sorted(seen[0], key=lambda w: (-seen[0][w], w))
         clean = sorted(seen[0], key=lambda w: (-seen[0][w], w))
-        against = clean[:1000] + clean[1000::max(1, len(clean) // 2000)]
+        against = clean[:1000] + clean[1000::max(1, len(clean) // 3000)]
         only = [w for w in telling if seen[1][w] >= max(2, SURE / 3 * n1) and not seen[0][w]]
         witnesses = [w for w in only if seen[1][w] >= SURE * n1] or only[:10] or telling[:1]
         both = [*seen[0], *(w for w in seen[1] if w not in seen[0])]
@@ -137,26 +149,26 @@ class Model:
             w, self.bias = fit(sums(table, names) @ root, np.where(np.arange(len(names)) < len(witnesses), 1, -1), penalty=1e-4, weight=weight)
             self.values = (table @ (root @ w)).astype(np.float32)
             margin = dict(zip(both, self.margins(both).tolist()))
-            hard = sorted(seen[0], key=lambda v: (-margin[v], v))[:1000]
+            hard = sorted(seen[0], key=lambda v: (-margin[v], v))[:1500]
             against = list(dict.fromkeys(against + hard))
             witnesses = list(dict.fromkeys(witnesses + [v for v in only if margin[v] > 0.5]))
-        top = np.array([self.top([margin[v] for v in b]) for b in bags])
-        center, scale = top.mean(0), top.std(0) + 1e-9
-        w, b = fit((top - center) / scale, np.where(toxic == 1, 1, -1), penalty=1e-3)
-        steep = 4.0
-        self.curve = (steep * w / scale, steep * (b - (w / scale) @ center))
+        check = np.flatnonzero(apart) if apart.any() else np.arange(len(toxic))
+        more = list({w for i in check for w in bags[i]} - margin.keys())
+        margin.update(zip(more, self.margins(more).tolist()))
+        top = np.array([self.top([margin[v] for v in bags[i]]) for i in check])
+        self.steep, self.middle = 4.0, cut(top[toxic[check] == 0], top[toxic[check] == 1]) - np.log(THRESHOLD / (1 - THRESHOLD)) / 4
 
     def margins(self, words: list[str]) -> np.ndarray:
         return sums(self.values, words) + self.bias
 
     @staticmethod
-    def top(margins: list[float]) -> tuple[float, float]:
+    def top(margins: list[float]) -> float:
+        """The mean of the two highest margins, each within -1.5 and 1.5."""
         best = sorted(margins)[-2:] if len(margins) < 64 else np.partition(np.array(margins), -2)[-2:].tolist()
-        best = [-1.5] * (2 - len(best)) + best
-        return tuple(np.clip(best, -1.5, 1.5).tolist())
+        return float(np.mean(np.clip([-1.5] * (2 - len(best)) + best, -1.5, 1.5)))
 
-    def score(self, top: tuple[float, float]) -> float:
-        return float(squash(self.curve[0] @ np.array(top) + self.curve[1]))
+    def score(self, top: float) -> float:
+        return float(squash(self.steep * (top - self.middle)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model | None:
