@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedlake.llm.common import BLANKS, ship, stash
+from feedlake.llm.common import BLANKS, scanned, ship, sized, stash
 
 #: Counters of a Misra-Gries summary, and so the most rows that are broadcast.
 COUNTERS = 1024
@@ -66,8 +66,8 @@ def winners(table: DataFrame, k: int = COUNTERS) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = COUNTERS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    table = stash(digests(docs, doc_id, text), "digests")
+    """One row per document: row, doc_id, keep_id, group_size, kept, text_sha256."""
+    table = stash(digests(scanned(docs), doc_id, text), "digests")
     frequent = stash(winners(table, k).coalesce(1), "frequent")
     marked = table.join(F.broadcast(frequent), "digest", "left")
     here = marked.where("first IS NOT NULL")
@@ -75,17 +75,15 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     there = (marked.where("first IS NULL").select("digest", "doc_id", "row")
              .withColumn("first", first_row().over(w)).withColumn("group_size", F.count("*").over(w)))
     return here.unionByName(there.select(*here.columns)).select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
+        "row", "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
         (F.col("first.row") == F.col("row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Copies of one row (same id, same text) leave one."""
-    keys = (exact_dedup(docs, doc_id, text, k).where("kept")
-            .select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(normalised(text), 256))).alias("d")
-    kept = marked.join(keys.alias("k"), (F.col(f"d.{doc_id}").eqNullSafe(F.col("k._id"))) & (F.col("d._digest") == F.col("k._digest")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_digest"]).drop("_digest")
+    """The rows of ``docs`` that stay, all columns."""
+    docs = scanned(docs)
+    gone = stash(exact_dedup(docs, doc_id, text, k).where(~F.col("kept")).select(F.col("row").alias("_row")), "copies")
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(sized(gone), "_row", "left_anti").drop("_row")
 
 
 ship(__name__)

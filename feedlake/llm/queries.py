@@ -18,7 +18,7 @@ def op1_topk(spark, d):
 
 
 def op3_exact_dedup(spark, d):
-    return exact_dedup(table(spark, d, "documents"))
+    return exact_dedup(table(spark, d, "documents")).drop("row")
 
 
 def op4_toxicity(spark, d):

@@ -185,24 +185,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     return Model(rows.column("text").to_pylist(), toxic) if set(toxic) == {0, 1} else None
 
 
+def scorer(model: Model | None):
+    """Scores of a batch of texts; margins of words are kept from batch to batch."""
+    known: dict[str, float] = {}
+
+    def run(column: pa.Array) -> list[float]:
+        if model is None:
+            return [0.0] * len(column)
+        scores = []
+        for text in column:
+            own = tokens(text.as_py())
+            if new := [w for w in set(own) if w not in known]:
+                if len(known) + len(new) > KEPT:
+                    known.clear()
+                    new = list(set(own))
+                parts = [pieces(w) for w in new]
+                flat = model.margins([p for x in parts for p in x])
+                known.update(zip(new, np.maximum.reduceat(flat, np.cumsum([0, *(len(x) for x in parts[:-1])])).tolist()))
+            scores.append(model.score(model.top([known[w] for w in own])))
+        return scores
+    return run
+
+
 def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        score = scorer(model)
         for b in batches:
-            scores = []
-            for text in b.column("text"):
-                if model is None:
-                    scores.append(0.0)
-                    continue
-                own = tokens(text.as_py())
-                if new := [w for w in set(own) if w not in known]:
-                    if len(known) + len(new) > KEPT:
-                        known, new = {}, list(set(own))
-                    parts = [pieces(w) for w in new]
-                    flat = model.margins([p for x in parts for p in x])
-                    known.update(zip(new, np.maximum.reduceat(flat, np.cumsum([0, *(len(x) for x in parts[:-1])])).tolist()))
-                scores.append(model.score(model.top([known[w] for w in own])))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64())],
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score(b.column("text")), pa.float64())],
                                              names=["doc_id", "held_out", "score"])
     return run
 
@@ -215,4 +224,13 @@ def toxicity(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))
 
 
+def clean(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, all columns; they are judged where they lie."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(model)
+        for b in batches:
+            yield b.filter(pa.array(s < THRESHOLD for s in score(b.column(text))))
+    return docs.mapInArrow(run, docs.schema)
+
+
 ship(__name__)
