@@ -8,6 +8,7 @@ from feedlake.llm import language, toxicity
 from feedlake.llm.common import table
 from feedlake.llm.exact_dedup import OP3_SQL, exact_dedup
 from feedlake.llm.ngram_join import ngram_join
+from feedlake.llm.repeats import without_repeats
 from feedlake.llm.secrets import secrets
 from feedlake.llm.sharding import shard
 from feedlake.llm.topk import OP1_SQL, top_k
@@ -17,6 +18,10 @@ def op1_topk(spark, d):
     return top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_suffix_dedup(spark, d):
+    return without_repeats(table(spark, d, "documents"))
+
+
 def op3_exact_dedup(spark, d):
     return exact_dedup(table(spark, d, "documents")).drop("row")
 
@@ -43,5 +48,5 @@ def op10_secrets(spark, d):
     return secrets(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op3_exact_dedup, op4_toxicity, op7_ngram_join, op8_language, op9_sharding, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_toxicity, op7_ngram_join, op8_language, op9_sharding, op10_secrets)}
 ORACLE = {"op1_topk": OP1_SQL, "op3_exact_dedup": OP3_SQL}
