@@ -92,3 +92,17 @@ def scanned(docs: DataFrame) -> DataFrame:
     plan = docs._jdf.queryExecution().sparkPlan().toString()
     plain = "FileScan" in plan and not re.search(r"Exchange|Join|Aggregate|Window|Sample|Limit|Union|Generate|Python|Pandas|Arrow", plan)
     return docs if plain else stash(docs, "input")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores behind it, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` (scanned) less the rows whose numbers ``gone(row)``, a written table, lists."""
+    n = fresh(docs, "_row")
+    return docs.withColumn(n, F.monotonically_increasing_id()).join(sized(gone.withColumnRenamed("row", n)), n, "left_anti").drop(n)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedlake.llm.common import BLANKS, scanned, ship, sized, stash
+from feedlake.llm.common import BLANKS, scanned, ship, stash, without
 
 #: Counters of a Misra-Gries summary, and so the most rows that are broadcast.
 COUNTERS = 1024
@@ -82,8 +82,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that stay, all columns."""
     docs = scanned(docs)
-    gone = stash(exact_dedup(docs, doc_id, text, k).where(~F.col("kept")).select(F.col("row").alias("_row")), "copies")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(sized(gone), "_row", "left_anti").drop("_row")
+    return without(docs, stash(exact_dedup(docs, doc_id, text, k).where(~F.col("kept")).select("row"), "copies"))
 
 
 ship(__name__)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedlake.llm.common import scanned, sized, stash
+from feedlake.llm.common import fresh, scanned, sized, stash
 
 #: Slots of a period, and documents of a block.
 SLOTS, BLOCK = 1000, 16
@@ -105,6 +105,6 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
         block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """``docs`` in mixed order, columns unchanged; written out, its files in name order hold the mix."""
     docs = scanned(docs)
-    plan = stash(schedule(docs, weights, source, doc_id, block, slots), "mix-plan").withColumnRenamed("row", "_row")
-    return (docs.withColumn("_row", F.monotonically_increasing_id()).join(sized(plan), "_row")
-            .orderBy("mix_slot", "mix_at").select(*docs.columns))
+    row, slot, at = (fresh(docs, n) for n in ("_row", "_slot", "_at"))
+    plan = stash(schedule(docs, weights, source, doc_id, block, slots).toDF(row, slot, at), "mix-plan")
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(sized(plan), row).orderBy(slot, at).select(*docs.columns)
