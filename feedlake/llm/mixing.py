@@ -35,14 +35,12 @@ NO_SOURCE = "\u0000none"
 
 
 def shares(weights: Mapping[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Whole shares of ``slots``, one at least, by largest remainder; ties to the lesser name."""
-    slots = max(slots, len(weights))
+    """Whole shares of ``slots`` by largest remainder, ties to the lesser name; one at least, for which the period may grow."""
     total = sum(weights.values())
-    spare = slots - len(weights)
-    ideal = {s: Fraction(w / total) * spare for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in ideal.items()}
-    for s in sorted(ideal, key=lambda s: (int(ideal[s]) - ideal[s], s))[:slots - sum(out.values())]:
-        out[s] += 1
+    ideal = {s: Fraction(w) * slots / Fraction(total) for s, w in weights.items()}
+    out = {s: max(1, int(x)) for s, x in ideal.items()}
+    for s in sorted(ideal, key=lambda s: (int(ideal[s]) - ideal[s], s))[:max(0, slots - sum(out.values()))]:
+        out[s] += ideal[s] >= 1
     return out
 
 

@@ -51,7 +51,7 @@ def _matches(text: str):
         p, body = F.lit(pattern), F.col(text)
         sizes = F.transform(F.regexp_extract_all(body, p, F.lit(0)), F.length)
         gaps = F.slice(F.transform(F.split(body, pattern, -1), F.length), 1, F.size(sizes))
-        holds = F.transform(F.regexp_extract_all(body, p, F.lit(group)), lambda x, least=least: F.length(x) >= least)
+        holds = F.transform(F.transform(F.regexp_extract_all(body, p, F.lit(group)), F.length), F.lit(least).__le__)
         zipped = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), holds.alias("holds"))
         none = F.array().cast("array<struct<gap:int,size:int,holds:boolean>>")
         found.append(F.struct(F.lit(i).alias("kind"), F.when(body.rlike(pattern), zipped).otherwise(none).cast(
