@@ -24,6 +24,7 @@ scored alike; further columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -44,8 +45,8 @@ BITS = 15
 LONG, WINDOW = 24, 16
 #: Words whose margins a task keeps.
 KEPT = 500_000
-#: Share of the toxic documents that have a word which starts as a witness, if no clean one has it.
-SURE = 0.015
+#: Share and least number of the toxic texts that have a word which starts as a witness, if no clean one has it.
+SURE, FEW = 0.015, 3
 #: Places of the further characters of a subsequence: three or four within a span of five.
 GAPS = [p for n in (2, 3) for p in combinations(range(1, 5), n)]
 EDGES = " \t\n\r\v\f.,;:!?\"'()[]{}<>|*#$%&@/\\-_=+~`^"
@@ -126,17 +127,17 @@ class Model:
     def __init__(self, texts: list[str], toxic: list[int]):
         own: dict[str, list[str]] = {}
         bags = [[p for t in tokens(x) for p in own.get(t) or own.setdefault(t, pieces(t))] for x in texts]
-        toxic, apart = np.array(toxic), np.arange(len(toxic)) % 4 == 3
+        toxic, apart = np.array(toxic), np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % 4 == 3 for x in map(str, texts)])
         if set(toxic[~apart]) != {0, 1} or set(toxic[apart]) != {0, 1}:
             apart[:] = False
-        seen = {c: Counter(w for b, y in zip(bags, np.where(apart, -1, toxic)) if y == c for w in set(b)) for c in (0, 1)}
+        seen = {c: Counter(w for b, y in {tuple(b): y for b, y in zip(bags, np.where(apart, -1, toxic))}.items() if y == c for w in set(b)) for c in (0, 1)}
         n1, n0 = (toxic[~apart] == 1).sum(), (toxic[~apart] == 0).sum()
         telling = sorted(seen[1], key=lambda w: (-(seen[1][w] / n1 - 2 * seen[0][w] / n0) * (1 + (seen[0][w] == 0)), w))
         common = sorted(seen[0], key=lambda w: (-seen[0][w], w))
         clean = sorted(seen[0], key=lambda w: (-seen[0][w], w))
         against = clean[:1000] + clean[1000::max(1, len(clean) // 3000)]
         only = [w for w in telling if seen[1][w] >= max(2, SURE / 3 * n1) and not seen[0][w]]
-        witnesses = [w for w in only if seen[1][w] >= SURE * n1] or only[:10] or telling[:1]
+        witnesses = [w for w in only if seen[1][w] >= max(FEW, SURE * n1)] or only[:10] or telling[:1]
         both = [*seen[0], *(w for w in seen[1] if w not in seen[0])]
         hard: list[str] = []
         for _ in range(ROUNDS):
