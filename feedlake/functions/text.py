@@ -63,8 +63,8 @@ REMOTE_VARIANTS = ["remote", "Remote", "REMOTE"]
 
 
 def pystrip(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading and trailing whitespace of any kind (Unicode blanks, file to unit separators)."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def block_phrase_array() -> Column:

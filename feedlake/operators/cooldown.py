@@ -90,18 +90,18 @@ def chain(events: DataFrame, key: str, ts: str, eid: str, delta_s: float, bucket
         return succ.select(key, eid, "us").limit(0)
     longest = int(span // int(delta_s * US)) + 1
     levels = max(1, math.ceil(math.log2(longest + 1)))
-    jumps = [succ.select(F.col(eid).alias("_id"), F.col("nxt").alias("_to"))]
+    jumps = [succ.select(key, F.col(eid).alias("_id"), F.col("nxt").alias("_to"))]
     for _ in range(1, levels):
         j = jumps[-1]
-        nxt = (j.join(j.select(F.col("_id").alias("_to"), F.col("_to").alias("_to2")), "_to", "left")
-               .select("_id", F.col("_to2").alias("_to")))
+        nxt = (j.join(j.select(key, F.col("_id").alias("_to"), F.col("_to").alias("_to2")), [key, "_to"], "left")
+               .select(key, "_id", F.col("_to2").alias("_to")))
         jumps.append(_checkpoint(nxt))
-    start = succ.groupBy(key).agg(F.min(F.struct("us", eid)).alias("_s")).select(F.col(f"_s.{eid}").alias("_id"))
+    start = succ.groupBy(key).agg(F.min(F.struct("us", eid)).alias("_s")).select(key, F.col(f"_s.{eid}").alias("_id"))
     reach = _checkpoint(start)
     for j in jumps:
-        step = reach.join(j, "_id").where(F.col("_to").isNotNull()).select(F.col("_to").alias("_id"))
+        step = reach.join(j, [key, "_id"]).where(F.col("_to").isNotNull()).select(key, F.col("_to").alias("_id"))
         reach = _checkpoint(reach.unionByName(step).distinct())
-    return succ.join(reach.select(F.col("_id").alias(eid)), eid, "left_semi").select(key, eid, "us")
+    return succ.join(reach.select(key, F.col("_id").alias(eid)), [key, eid], "left_semi").select(key, eid, "us")
 
 
 def cooldown_state(chained: DataFrame, key: str, delta_s: float) -> DataFrame:
@@ -114,12 +114,20 @@ def cooldown_state(chained: DataFrame, key: str, delta_s: float) -> DataFrame:
                       R.micros_to_ntz(F.col("_l") + d).alias("cooldown_until"))
 
 
-def availability(identities: DataFrame, state: DataFrame, key: str, as_of) -> DataFrame:
-    """STR-6: per identity at ``as_of``: cooling or available (never blocked = available)."""
-    j = identities.join(state, key, "left")
-    return j.select(key, F.coalesce("block_count", F.lit(0)).cast("bigint").alias("block_count"),
-                    "cooldown_until",
-                    F.coalesce(F.col("cooldown_until") <= as_of, F.lit(True)).alias("available"))
+def availability(identities: DataFrame, state: DataFrame, key: str, as_of, pool: str | None = None) -> DataFrame:
+    """STR-6: per identity at ``as_of``: cooling or available (never blocked = available).
+
+    With ``pool``, also whether it is its pool's first available one in key
+    order, and whether all of the pool are cooling (an aggregate per pool).
+    """
+    j = identities.join(state, key, "left").withColumn("_free", F.coalesce(F.col("cooldown_until") <= as_of, F.lit(True)))
+    cols = [key, F.coalesce("block_count", F.lit(0)).cast("bigint").alias("block_count"), "cooldown_until",
+            F.col("_free").alias("available")]
+    if pool is None:
+        return j.select(*cols)
+    firsts = j.groupBy(pool).agg(F.min(F.when(F.col("_free"), F.col(key))).alias("_first"))
+    return j.join(firsts, pool).select(pool, *cols, F.coalesce(F.col("_first") == F.col(key), F.lit(False)).alias("first_available"),
+                                       F.col("_first").isNull().alias("all_cooling"))
 
 
 def prefix_counts(points: DataFrame, queries: DataFrame, key: str, bucket_us: int) -> DataFrame:

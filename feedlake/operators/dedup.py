@@ -1,4 +1,4 @@
-"""De-duplication: first-seen per key (WIN-2) and the greedy two-key rule (DED-3).
+"""De-duplication by the greedy two-key rule (DED-3).
 
 DED-3, sequential definition: walk the rows in order; keep a row unless its
 pair key or its url key was already registered by a *kept* row; a kept row
@@ -30,13 +30,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """WIN-2/DED-1: the first row per key in arrival order (map-side combined)."""
-    payload = [c for c in df.columns if c not in keys]
-    agg = df.groupBy(*keys).agg(F.min_by(F.struct(*payload), F.struct(*order)).alias("_row"))
-    return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload])
-
-
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint (folder from ``spark.checkpoint.dir``)."""
     from feedlake.session import ensure_checkpoint_dir
@@ -49,11 +42,12 @@ def greedy_two_key(df: DataFrame, order: Column, pair: Column, url: Column,
                    max_rounds: int | None = None, stats: dict | None = None) -> DataFrame:
     """DED-3: rows of ``df`` kept by the sequential two-key rule, in any order.
 
-    ``order`` must be unique per row (a struct is fine: it compares
-    field by field). ``pair``/``url`` are the two dedup keys (NULL keys are
-    not expected; apply FLT-6 first). ``stats`` receives the round count.
+    ``order`` may be a struct (it compares field by field); rows of equal order
+    are walked by their keys, and of wholly equal ones one counts. A NULL key
+    counts as the empty text. ``stats`` receives the round count.
     """
-    rows = df.withColumn("_ord", order).withColumn("_p", pair).withColumn("_u", url)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = df.withColumn("_p", text(pair)).withColumn("_u", text(url)).withColumn("_ord", F.struct(order, "_p", "_u"))
     cand = (rows.groupBy("_p", "_u").agg(F.min("_ord").alias("_ord")))
     remaining = _checkpoint(cand)
     kept_parts = []
@@ -80,20 +74,8 @@ def greedy_two_key(df: DataFrame, order: Column, pair: Column, url: Column,
     kept_all = kept_parts[0]
     for k in kept_parts[1:]:
         kept_all = kept_all.unionByName(k)
-    # the kept orders are unique row identities: join back for the full rows
-    return rows.join(kept_all.select("_ord"), "_ord", "left_semi").drop("_ord", "_p", "_u")
-
-
-def sequential_two_key(rows: list[tuple]) -> list:
-    """Reference restatement of DED-3 for tests: rows are (order, pair, url)."""
-    seen_p, seen_u, out = set(), set(), []
-    for o, p, u in sorted(rows):
-        if p in seen_p or u in seen_u:
-            continue
-        seen_p.add(p)
-        seen_u.add(u)
-        out.append(o)
-    return out
+    # the kept orders (with both keys) identify rows: join back for the full rows
+    return rows.join(kept_all.select("_ord"), "_ord", "left_semi").dropDuplicates(["_ord"]).drop("_ord", "_p", "_u")
 
 
 def newest_first_order() -> Column:

@@ -1,7 +1,8 @@
 """Listing extraction from raw HTML (NRM-H): structured data first, then markup.
 
-JSON-LD blocks (``<script type="application/ld+json">``) are read as JSON and
-their ``title``/``name`` used; pages without one fall back to ``<title>``,
+JSON-LD blocks (``<script type="application/ld+json">``; lists and ``@graph`` are
+taken apart) are read as JSON and ``title``/``name`` of the first JobPosting, or
+else of the first item, used; pages without one fall back to ``<title>``,
 then to the first ``<h1>``. All regular-expression work stays in the JVM.
 """
 
@@ -10,14 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LD = r'<script[^>]*type="application/ld\+json"[^>]*>([\s\S]*?)</script>'
+_LD = r"""(?i)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>([\s\S]*?)</script>"""
 _TITLE = r"<title[^>]*>([\s\S]*?)</title>"
 _H1 = r"<h1[^>]*>([\s\S]*?)</h1>"
 
 
 def extract_listing(df: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
-    ld = F.try_parse_json(F.regexp_extract(F.col(html_col), _LD, 1))
-    staged = df.select(*keep, F.col(html_col).alias("_h"), ld.alias("_ld"))
+    whole = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    graph = lambda v: F.try_variant_get(v, "$[\"@graph\"]", "array<variant>")
+    blocks = F.transform(F.regexp_extract_all(F.col(html_col), F.lit(_LD), F.lit(1)), F.try_parse_json)
+    items = F.flatten(F.transform(F.filter(blocks, lambda v: v.isNotNull()), lambda v: F.coalesce(whole(v), graph(v), F.array(v))))
+    kind = lambda v: F.lower(F.coalesce(F.try_variant_get(v, "$[\"@type\"]", "string"), F.lit("")))
+    staged = df.select(*keep, F.col(html_col).alias("_h"), items.alias("_items"))
+    posting = F.filter("_items", lambda v: kind(v).contains("jobposting"))
+    staged = staged.withColumn("_ld", F.coalesce(F.get(posting, F.lit(0)), F.get("_items", F.lit(0))))
     ld_title = F.coalesce(F.try_variant_get("_ld", "$.title", "string"), F.try_variant_get("_ld", "$.name", "string"))
     title_tag = F.nullif(F.trim(F.regexp_extract("_h", _TITLE, 1)), F.lit(""))
     h1 = F.nullif(F.trim(F.regexp_replace(F.regexp_extract("_h", _H1, 1), "<[^>]*>", "")), F.lit(""))

@@ -150,6 +150,7 @@ class FeedSpec:
     enabled: bool = True
     label: str = ""
     extra: dict = field(default_factory=dict)
+    stable_keys: tuple[str, ...] = ()
 
     def normalise(self, df: DataFrame, raw_col: str = "raw", keep: list[str] | None = None) -> DataFrame:
         return self.normaliser(df, source=self.source_id, raw_col=raw_col, keep=keep)
@@ -174,8 +175,10 @@ def register(spec: FeedSpec) -> FeedSpec:
 
 register(FeedSpec("feed_a", FLAT_REQUIRED, normalise_flat, priority=1, enabled=True, label="Feed A",
                   extra={"scan_key": "id"}))
-register(FeedSpec("feed_b", CURSOR_REQUIRED, normalise_cursor, priority=2, enabled=True, label="Feed B"))
-register(FeedSpec("feed_c", PAGED_REQUIRED, normalise_paged, priority=3, enabled=False, label="Feed C"))
+register(FeedSpec("feed_b", CURSOR_REQUIRED, normalise_cursor, priority=2, enabled=True, label="Feed B",
+                  extra={"envelope": True}))
+register(FeedSpec("feed_c", PAGED_REQUIRED, normalise_paged, priority=3, enabled=False, label="Feed C",
+                  extra={"envelope": True}))
 
 
 def unify(*frames: DataFrame) -> DataFrame:

@@ -19,12 +19,12 @@ from feedlake.functions import text as TX
 KEY = ["source", "batch_id"]
 
 
-def python_type_name(payload: Column, parsed: Column) -> Column:
+def python_type_name(payload: Column, readable: Column) -> Column:
     """Python type name of a JSON body ('list', 'dict', 'str', 'int', ...), read
     from the body's first character (no re-serialisation of large bodies)."""
     t = F.ltrim(payload)
     c = F.substr(t, F.lit(1), F.lit(1))
-    return (F.when(parsed.isNull(), F.lit("str"))  # unparsable body: a text response
+    return (F.when(~F.coalesce(readable, F.lit(False)), F.lit("str"))  # unparsable body: a text response
             .when(c == "[", F.lit("list")).when(c == "{", F.lit("dict")).when(c == '"', F.lit("str"))
             .when(c.isin("t", "f"), F.lit("bool")).when(c == "n", F.lit("NoneType"))
             .when(F.rtrim(t).rlike("[.eE]"), F.lit("float")).otherwise(F.lit("int")))
@@ -33,31 +33,41 @@ def python_type_name(payload: Column, parsed: Column) -> Column:
 # ------------------------------------------------------------ SRC-1 scan
 
 def scan_payloads(payloads: DataFrame, key_field: str | None = "id", payload_col: str = "payload",
-                  keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                  keep: list[str] | None = None, unwrap: bool = False) -> tuple[DataFrame, DataFrame]:
     """SRC-1: JSON array payloads -> (manifest, records).
 
     The manifest has one row per payload (so empty batches stay visible) with
     the payload's JSON type; records are the array elements that are objects
     holding ``key_field`` (all objects when it is None), with their index in
-    the kept list. Filtering inside the array before exploding keeps indices
-    dense without a window.
+    the kept list. The array is read as texts, one per element in its own key
+    order, so its size is not bounded by that of a VARIANT; each element is
+    parsed on its own. Filtering inside the array before exploding keeps indices
+    dense without a window. ``unwrap`` takes ``data`` (or ``data.jobs``) of an
+    object body first (SRC-4).
     """
     keep = keep or []
-    v = J.parse(payload_col)
 
     def keyed(e):
+        v = J.parse(e)
         if key_field is None:
-            return J.kind_of(e).startswith("OBJECT")
+            return J.kind_of(v).startswith("OBJECT")
         # a key lookup only succeeds on an object
-        return F.try_variant_get(e, f"$.{key_field}", "variant").isNotNull()
-
-    staged = payloads.select(*KEY, *keep, F.col(payload_col).alias("_p"), v.alias("_v"))
-    staged = staged.select(*KEY, *keep, python_type_name(F.col("_p"), F.col("_v")).alias("payload_type"),
-                           F.filter(F.try_variant_get("_v", "$", "array<variant>"), keyed).alias("_items"))
+        return F.try_variant_get(v, f"$.{key_field}", "variant").isNotNull()
+
+    body = F.col(payload_col)
+    if unwrap:
+        inner = F.coalesce(F.get_json_object(body, "$.data.jobs"), F.get_json_object(body, "$.data"))
+        body = F.when(F.ltrim(body).startswith("{"), F.coalesce(inner, body)).otherwise(body)
+    staged = payloads.select(*KEY, *keep, body.alias("_p"))
+    array = F.ltrim("_p").startswith("[")
+    staged = staged.select(*KEY, *keep, "_p", F.when(array, F.from_json("_p", "array<string>")).alias("_all"))
+    readable = F.when(array, F.col("_all").isNotNull()).otherwise(J.parse("_p").isNotNull())
+    staged = staged.select(*KEY, *keep, python_type_name(F.col("_p"), readable).alias("payload_type"),
+                           F.filter("_all", lambda e: F.coalesce(F.ltrim(e).startswith("{") & keyed(e), F.lit(False))).alias("_items"))
     manifest = staged.select(*KEY, *keep, "payload_type",
                              F.coalesce(F.array_size("_items"), F.lit(0)).cast("bigint").alias("n_items"))
-    records = staged.select(*KEY, *keep, F.posexplode("_items").alias("pos", "_e")).select(
-        *KEY, *keep, F.col("pos").cast("bigint").alias("pos"), F.to_json("_e").alias("raw"))
+    records = staged.select(*KEY, *keep, F.posexplode("_items").alias("pos", "raw")).select(
+        *KEY, *keep, F.col("pos").cast("bigint").alias("pos"), "raw")
     return manifest, records
 
 
@@ -170,14 +180,16 @@ def record_keys(records: DataFrame, raw_col: str = "raw") -> DataFrame:
     return records.withColumn("keys", F.coalesce(F.json_object_keys(raw_col), F.array().cast("array<string>")))
 
 
-def schema_drift(records: DataFrame, snapshots: DataFrame, sample_size: int = 5) -> DataFrame:
-    """VAL-6: per batch, known fields absent from more than half of its first
-    ``sample_size`` records. Batches without records or without a snapshot
+def schema_drift(records: DataFrame, snapshots: DataFrame, sample_size: int | None = None) -> DataFrame:
+    """VAL-6: per batch, known fields absent from more than half of its records
+    (of its first ``sample_size`` if given). Batches without records or without a snapshot
     are skipped. ``records`` needs a ``keys`` array; ``snapshots`` is
     (source, fields). Output: (source, batch_id, field, missing, sample_n)."""
-    sample = first_n(records.select(*KEY, "pos", "keys"), sample_size)
+    sample = records.select(*KEY, "pos", "keys")
+    if sample_size is not None:
+        sample = first_n(sample, sample_size)
     known = snapshots.where(F.array_size("fields") > 0).select("source", F.explode("fields").alias("field"))
-    per_doc = sample.join(known, "source")  # sample_size x |fields| rows per batch, bounded
+    per_doc = sample.join(known, "source")  # |fields| rows per record, aggregated before the shuffle
     agg = per_doc.groupBy(*KEY, "field").agg(
         F.count_if(~F.array_contains("keys", F.col("field"))).alias("missing"),
         F.count(F.lit(1)).alias("sample_n"))

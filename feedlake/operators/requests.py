@@ -8,6 +8,8 @@ a filter), never dropped silently.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,7 @@ def plan_requests(specs: DataFrame, keep: list[str]) -> DataFrame:
         F.when(_nonempty(location), location).alias("location"),
         F.when(F.col("remote_only"), F.lit("true")).alias("work_from_home"),
         F.when(error.isNull(), total).cast("bigint").alias("total_jobs"),
+        F.coalesce(error.isNull() & (tj > MAX_TOTAL_JOBS), F.lit(False)).alias("capped"),
         F.greatest(F.lit(1), F.coalesce(F.col("page"), F.lit(1))).cast("bigint").alias("page"),
     )
 
@@ -102,18 +105,24 @@ def parse_prompts(df: DataFrame, prompt_col: str, keep: list[str]) -> DataFrame:
                     F.when(F.col("_blank"), F.lit(False)).otherwise(F.col("_remote")).alias("remote_only"))
 
 
-def lognormal_delays(df: DataFrame, mu: float, sigma: float, seed: int) -> Column:
-    """F-13: delay ``exp(ln(mu) + sigma * z)`` with z standard normal; mu must be > 0."""
+def uniform(*parts: Column | str) -> Column:
+    """A number in (0, 1) drawn from a hash of the parts' texts, alike wherever it is computed."""
+    text = F.concat_ws(":", *parts)
+    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def lognormal_delays(mu: float, sigma: float, *parts: Column | str) -> Column:
+    """F-13: delay ``exp(ln(mu) + sigma * z)``, z a standard normal number drawn from a hash of
+    ``parts`` (Box and Muller); mu must be > 0."""
     if mu <= 0:
         raise ValueError(f"mu must be > 0, got {mu}")
-    import math
-
-    return F.exp(F.lit(math.log(mu)) + F.lit(sigma) * F.randn(seed))
+    z = F.sqrt(-2 * F.log(uniform(F.lit("a"), *parts))) * F.cos(2 * math.pi * uniform(F.lit("b"), *parts))
+    return F.exp(F.lit(math.log(mu)) + F.lit(sigma) * z)
 
 
-def request_offsets(requests: DataFrame, fetch: str, seq: str, mu: float, sigma: float, seed: int) -> DataFrame:
+def request_offsets(requests: DataFrame, fetch: str, seq: str, mu: float, sigma: float) -> DataFrame:
     """F-13 planning: a log-normal pause before each request and its offset from
-    the fetch start (running sum over the fetch's requests, a bounded window)."""
-    d = requests.withColumn("delay_s", lognormal_delays(requests, mu, sigma, seed))
+    the fetch start (running sum over the fetch's requests)."""
+    d = requests.withColumn("delay_s", lognormal_delays(mu, sigma, fetch, seq))
     w = Window.partitionBy(fetch).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return d.withColumn("offset_s", F.sum("delay_s").over(w))

@@ -1,40 +1,43 @@
 """Idempotent keyed upsert of a batch into a snapshot table, and its counters.
 
-No merge-capable table format is assumed: a snapshot is rewritten as
-``target ANTI JOIN batch UNION batch`` and published as a new version.
+No merge-capable table format is assumed. A snapshot is a set of key-hash
+buckets; a merge reads and rewrites only the buckets that the batch touches and
+commits a manifest that names the folder of every bucket.
 
-Scale notes: the batch is first reduced to one row per key with an
-aggregation (``max_by`` over the arrival order), which combines map-side, so a
-hot key costs one row per map partition, never a whole group in one task.
+Scale notes: the newest row of a key is found by an aggregation of keys and
+order alone, which combines map-side; the winners then pick their full rows.
 After that both join sides hold unique keys, so the anti join has no skew.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Buckets of a snapshot, and committed versions that are kept for replays.
+BUCKETS, KEEP = 64, 3
+
 
 def latest_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """WIN-7 / UPS-1: last write wins per key in arrival order (``order`` must be unique)."""
-    payload = [c for c in batch.columns if c not in keys]
-    agg = batch.groupBy(*keys).agg(F.max_by(F.struct(*payload), F.struct(*order)).alias("_row"))
-    return agg.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload])
+    last = batch.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
+    return batch.join(last, keys).where(F.struct(*order).eqNullSafe(F.col("_last"))).select(*batch.columns)
 
 
 def merge(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str],
           ingested_at: Column | None = None) -> DataFrame:
     """UPS-1/UPS-2: the snapshot after upserting ``batch`` into ``target``.
 
-    Every field of a matched key is replaced (the schema is fixed, so a
-    ``$set`` merge equals a replace); ``ingested_at`` is stamped on new rows.
+    Every field that the batch has is replaced on a matched key; fields that
+    only the target has survive. ``ingested_at`` is stamped on written rows.
     """
     new = latest_per_key(batch, keys, order)
     if ingested_at is not None:
         new = new.withColumn("ingested_at", ingested_at)
+    extra = [c for c in target.columns if c not in new.columns]
     kept = target.join(new.select(*keys), keys, "left_anti")
+    if extra:
+        new = new.join(target.select(*keys, *extra), keys, "left")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
@@ -60,51 +63,84 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------ versioned snapshots
 
-def publish_snapshot(spark: SparkSession, df: DataFrame, root: str, version: int,
-                     partition_by: list[str] | None = None) -> str:
-    """Write ``df`` as version ``version`` under ``root``, then commit it.
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-    The commit marker ``_versions/<version>`` is written after the data, so a
-    half-written version is never read; re-running the same version rewrites
-    it (replays are idempotent). Readers take the newest committed version.
-    """
-    root = root.rstrip("/")
-    path = f"{root}/v={version:012d}"
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    spark.createDataFrame([(version, path)], "version bigint, path string").coalesce(1).write.mode(
-        "overwrite").json(f"{root}/_versions/{version:012d}")
-    return path
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path's own file system has it; any other error is raised."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
 
-def _versions(spark: SparkSession, root: str) -> DataFrame | None:
-    root = root.rstrip("/")
-    if root.startswith("/") and not os.path.exists(f"{root}/_versions"):
-        return None
-    try:
-        return spark.read.schema("version bigint, path string").json(f"{root}/_versions/*")
-    except Exception:  # noqa: BLE001 - nothing committed yet
-        return None
+
+def _committed(spark: SparkSession, root: str) -> list[int]:
+    if not exists(spark, f"{root}/_versions"):
+        return []
+    fs, p = _fs(spark, f"{root}/_versions")
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n) for n in names if n.isdigit() and exists(spark, f"{root}/_versions/{n}/_SUCCESS"))
+
+
+def _manifest(spark: SparkSession, root: str, version: int) -> dict[int, str]:
+    """Folder of each bucket (BUCKETS rows at most)."""
+    rows = spark.read.schema("bucket int, path string").json(f"{root}/_versions/{version:012d}").collect()
+    return {r["bucket"]: r["path"] for r in rows}
+
+
+def _before(spark: SparkSession, root: str, before: int | None) -> dict[int, str]:
+    versions = [v for v in _committed(spark, root) if before is None or v < before]
+    return _manifest(spark, root, versions[-1]) if versions else {}
 
 
-def current_snapshot(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The newest committed version under ``root`` (older than ``before`` if given).
+def current_snapshot(spark: SparkSession, root: str, before: int | None = None,
+                     buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest committed version under ``root`` (older than ``before`` if given), or some of its buckets.
 
     A replayed batch ``n`` passes ``before=n`` so it reads the state it was
     first applied to, never the version it is about to rewrite.
     """
-    v = _versions(spark, root)
-    if v is None:
-        return None
-    if before is not None:
-        v = v.where(F.col("version") < before)
-    row = v.orderBy(F.desc("version")).first()
-    return spark.read.parquet(row["path"]) if row else None
-
-
-def current_version(spark: SparkSession, root: str) -> int:
-    v = _versions(spark, root)
-    row = v.agg(F.max("version")).first() if v is not None else None
-    return int(row[0]) if row and row[0] is not None else -1
+    held = _before(spark, root.rstrip("/"), before)
+    paths = sorted(p for b, p in held.items() if buckets is None or b in buckets)
+    return spark.read.parquet(*paths) if paths else None
+
+
+def bucket_of(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def touched_buckets(batch: DataFrame, keys: list[str]) -> list[int]:
+    return sorted(r[0] for r in batch.select(bucket_of(keys)).distinct().collect())
+
+
+def publish_snapshot(spark: SparkSession, df: DataFrame, root: str, version: int, keys: list[str],
+                     touched: list[int] | None = None) -> None:
+    """Write the touched buckets of ``df`` (all by default) as version ``version``, then commit the manifest.
+
+    Untouched buckets keep the folders of the version before. The manifest is
+    written last, so a half-written version is never read; running the same
+    version again rewrites it. Versions older than the newest KEEP are retired.
+    """
+    root = root.rstrip("/")
+    touched = list(range(BUCKETS)) if touched is None else touched
+    held = {b: p for b, p in _before(spark, root, version).items() if b not in touched}
+    path = f"{root}/v={version:012d}"
+    (df.withColumn("_bucket", bucket_of(keys)).repartition(max(1, len(touched)), "_bucket")
+     .write.mode("overwrite").partitionBy("_bucket").parquet(path))
+    held |= {b: f"{path}/_bucket={b}" for b in touched if exists(spark, f"{path}/_bucket={b}")}
+    spark.createDataFrame(sorted(held.items()), "bucket int, path string").coalesce(1).write.mode(
+        "overwrite").json(f"{root}/_versions/{version:012d}")
+    _retire(spark, root)
+
+
+def _retire(spark: SparkSession, root: str) -> None:
+    """Drop old manifests, then bucket folders that no kept manifest names."""
+    versions = _committed(spark, root)
+    named = {p for v in versions[-KEEP:] for p in _manifest(spark, root, v).values()}
+    for v in versions[:-KEEP]:
+        old = _manifest(spark, root, v)
+        fs, p = _fs(spark, f"{root}/_versions/{v:012d}")
+        fs.delete(p, True)
+        for path in set(old.values()) - named:
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)

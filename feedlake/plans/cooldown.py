@@ -46,15 +46,17 @@ def identity_cooldown(spark, d):
 @query("identity_availability", _chain_sql(f"and ts < timestamp '{AS_OF}'") + f"""
 , st as (select user_id, count(*) as block_count, max(ts) + interval 86400 second as cooldown_until
          from chain group by user_id)
-select u.user_id, cast(coalesce(block_count, 0) as bigint) as block_count, cooldown_until,
-  coalesce(cooldown_until <= timestamp '{AS_OF}', true) as available
-from (select distinct user_id from events) u left join st using (user_id)""")
+, av as (select u.user_id, u.user_id % {POOLS} as pool, cast(coalesce(block_count, 0) as bigint) as block_count, cooldown_until,
+    coalesce(cooldown_until <= timestamp '{AS_OF}', true) as available
+  from (select distinct user_id from events) u left join st using (user_id))
+select *, available and user_id = min(user_id) filter (where available) over (partition by pool) as first_available,
+  not bool_or(available) over (partition by pool) as all_cooling from av""")
 def identity_availability(spark, d):
     """STR-6: which identities are available at a fixed time (state from earlier blocks)."""
     ch = CD.chain(_errors(spark, d, AS_OF), "user_id", "ts", "event_id", COOLDOWN_S)
     st = CD.cooldown_state(ch, "user_id", COOLDOWN_S)
-    ids = table(spark, d, "events").select("user_id").distinct()
-    return CD.availability(ids, st, "user_id", F.lit(AS_OF).cast("timestamp_ntz"))
+    ids = table(spark, d, "events").select("user_id").distinct().withColumn("pool", F.col("user_id") % POOLS)
+    return CD.availability(ids, st, "user_id", F.lit(AS_OF).cast("timestamp_ntz"), "pool")
 
 
 @query("ladder_outcome", _chain_sql() + f"""

@@ -9,8 +9,6 @@ from feedlake.plans.registry import query
 from feedlake.sources import fetch as FT
 from feedlake.sources.tables import table
 
-TOTAL_JOBS = 40
-
 
 def _words():
     return F.split(F.col("text"), r"\s+")
@@ -29,14 +27,15 @@ def cursor_requests(spark, d):
 
 
 def _cursor_merge(spark, d):
-    req = cursor_requests(spark, d).where(F.col("request_no") < FT.MAX_CURSOR_REQUESTS)
+    req = cursor_requests(spark, d)
     req = FT.take_while(req, "conv_id", "request_no",
                         stop_before=(F.col("status") != 200) | (F.array_size("jobs") == 0),
                         stop_after=~F.col("has_cursor"))
     rec = req.select("conv_id", "request_no", F.posexplode("jobs").alias("pos", "w")).select(
         "conv_id", "request_no", F.col("pos").cast("bigint").alias("pos"),
-        F.when(F.length("w") > 2, F.col("w")).otherwise(F.lit("")).alias("job_id"))
-    kept = FT.cursor_merge(rec, "conv_id", "request_no", "pos", "job_id", TOTAL_JOBS)
+        F.when(F.length("w") > 2, F.col("w")).otherwise(F.lit("")).alias("job_id"),
+        F.concat("w", F.lit("!")).alias("title"))
+    kept = FT.cursor_merge(rec, "conv_id", "request_no", "pos", "job_id")
     return req, kept
 
 
@@ -46,7 +45,7 @@ with req as (
     case when turn = 6 and conv_id % 4 = 1 then []::varchar[] else string_split_regex(text, '\\s+') end as jobs,
     case when (conv_id + turn) % 9 = 8 then 500 else 200 end as status,
     (conv_id * 3 + turn) % 5 <> 0 as has_cursor
-  from conversations where turn < 20),
+  from conversations),
 flags as (
   select *,
     max(case when status <> 200 or len(jobs) = 0 then 1 else 0 end) over (
@@ -56,24 +55,23 @@ flags as (
   from req),
 kept_req as (select * from flags where msb = 0 and msa = 0),
 rec as (
-  select conv_id, request_no, pos, case when length(w) > 2 then w else '' end as job_id from (
+  select conv_id, request_no, pos, case when length(w) > 2 then w else '' end as job_id, w || '!' as title from (
     select conv_id, request_no, unnest(jobs) as w, unnest(range(len(jobs))) as pos from kept_req)),
 merged as (
   select * from rec where job_id <> ''
   qualify row_number() over (partition by conv_id, job_id order by request_no, pos) = 1
   union all select * from rec where job_id = ''),
-kept as (
-  select * from merged qualify row_number() over (partition by conv_id order by request_no, pos) <= 40)
+kept as (select * from merged)
 """
 
 
 @query("cursor_merge_unique", _CURSOR_SQL + """
-select conv_id, request_no, cast(pos as bigint) as pos, job_id from kept""")
+select conv_id, request_no, cast(pos as bigint) as pos, job_id, title from kept""")
 def cursor_merge_unique(spark, d):
     """SRC-3/WIN-2/WIN-3/SRT-4: cursor pages merged per fetch, first occurrence per
-    id, stop rules, capped at 40 records."""
+    id, stop rules, the records with their fields."""
     _, kept = _cursor_merge(spark, d)
-    return kept.select("conv_id", "request_no", "pos", "job_id")
+    return kept.select("conv_id", "request_no", "pos", "job_id", "title")
 
 
 @query("fetch_batch_stats", _CURSOR_SQL + """
@@ -84,13 +82,12 @@ def cursor_merge_unique(spark, d):
     using (conv_id, request_no)),
 run as (select *, cast(sum(new_added) over (partition by conv_id order by request_no
           rows between unbounded preceding and current row) as bigint) as total_accumulated from stats)
-select conv_id, request_no, received, new_added, total_accumulated, has_cursor from run
-where total_accumulated - new_added < 40""")
+select conv_id, request_no, received, new_added, total_accumulated, has_cursor from run""")
 def fetch_batch_stats(spark, d):
     """AGG-6/WIN-6: per request made: received, new, running total, cursor flag."""
     req, kept = _cursor_merge(spark, d)
     req = req.select("conv_id", "request_no", F.array_size("jobs").alias("received"), "has_cursor")
-    return FT.fetch_stats(req, kept, "conv_id", "request_no", TOTAL_JOBS)
+    return FT.fetch_stats(req, kept, "conv_id", "request_no")
 
 
 def page_bodies(spark, d):
@@ -108,13 +105,13 @@ def page_bodies(spark, d):
     return c.select("conv_id", page.alias("page_no"), body.alias("body"))
 
 
-@query("page_prefix_merge", f"""
+@query("page_prefix_merge", """
 with pg as (
   select conv_id, turn + 1 as page_no,
     (conv_id + turn) % 11 = 10 as nonobj,
     case when conv_id % 6 = 5 and turn = 3 then []::varchar[] else string_split_regex(text, '\\s+') end as data,
     (conv_id + 2 * turn) % 7 = 0 as last
-  from conversations where turn + 1 <= {FT.MAX_PAGES}),
+  from conversations),
 flags as (
   select *,
     max(case when nonobj or len(data) = 0 then 1 else 0 end) over (
@@ -126,9 +123,9 @@ select conv_id, page_no, cast(pos as bigint) as pos, item from (
   select conv_id, cast(page_no as bigint) as page_no, unnest(data) as item, unnest(range(len(data))) as pos
   from flags where msb = 0 and msa = 0)""")
 def page_prefix_merge(spark, d):
-    """SRC-2/WIN-3: pages 1..5 concatenated; stop before a non-object or empty page,
+    """SRC-2/WIN-3: a fetch's pages concatenated; stop before a non-object or empty page,
     stop after a page without ``links.next``."""
-    p = page_bodies(spark, d).where(F.col("page_no") <= FT.MAX_PAGES)
+    p = page_bodies(spark, d)
     v = J.parse("body")
     staged = p.select("conv_id", "page_no", J.kind_of(v).startswith("OBJECT").alias("is_obj"),
                       F.try_variant_get(v, "$.data", "array<string>").alias("data"),

@@ -45,6 +45,7 @@ select p_partkey,
   case when p_size % 2 = 0 then 'true' end as work_from_home,
   cast(case when p_partkey % 11 = 0 then 10 when p_size * 12 - 30 < 1 then null
             else least(p_size * 12 - 30, 500) end as bigint) as total_jobs,
+  coalesce(p_partkey % 11 <> 0 and p_size * 12 - 30 > 500, false) as capped,
   cast(1 as bigint) as page
 from part join nation on n_nationkey = p_partkey % 25""")
 def request_plan(spark, d):
@@ -128,9 +129,16 @@ def prompt_parse(spark, d):
     return RQ.parse_prompts(prompts(spark, d), "prompt", ["p_partkey"])
 
 
-@query("request_offsets")
+_U = "(('0x' || substr(md5('{}:' || conv_id || ':' || turn), 1, 12))::bigint + 0.5) / 281474976710656.0"
+
+
+@query("request_offsets", f"""
+with d as (select conv_id, turn as request_no,
+    exp(ln(3.0) + 0.4 * sqrt(-2 * ln({_U.format('a')})) * cos(2 * pi() * {_U.format('b')})) as delay_s from conversations)
+select conv_id, request_no, round(delay_s, 6) as delay_s,
+  round(sum(delay_s) over (partition by conv_id order by request_no), 6) as offset_s from d""")
 def request_offsets(spark, d):
-    """F-13: log-normal pauses (mu 3 s, sigma 0.4) and offsets per fetch request
-    (random draws: row-count check only)."""
+    """F-13: log-normal pauses (mu 3 s, sigma 0.4) drawn from (fetch, request), and offsets per request."""
     c = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("request_no"))
-    return RQ.request_offsets(c, "conv_id", "request_no", 3.0, 0.4, seed=42)
+    out = RQ.request_offsets(c, "conv_id", "request_no", 3.0, 0.4)
+    return out.select("conv_id", "request_no", F.round("delay_s", 6).alias("delay_s"), F.round("offset_s", 6).alias("offset_s"))

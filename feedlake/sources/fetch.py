@@ -2,11 +2,9 @@
 
 A fetch is an ordered sequence of requests; each landed response is one row.
 The sequential stop rules ("stop before a bad response", "stop after the last
-page") become a take-while prefix computed with running maxima over the
-requests of one fetch. The number of requests per fetch is capped by the
-protocol (``max_requests``), and the cap is applied before the window, so a
-window partition never holds more than that many rows. Records are exploded
-only from the requests that survive.
+page") become a take-while prefix: the first stop of each kind per fetch,
+an aggregate of request numbers that combines before the shuffle. Records are
+exploded only from the requests that survive.
 """
 
 from __future__ import annotations
@@ -16,20 +14,15 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import json as J
 
-MAX_CURSOR_REQUESTS = 20
-MAX_PAGES = 5
-
 
 def take_while(requests: DataFrame, fetch: str, seq: str, stop_before: Column, stop_after: Column) -> DataFrame:
     """WIN-3: keep requests up to (not including) the first ``stop_before`` and up
     to (including) the first ``stop_after``, in ``seq`` order per ``fetch``."""
-    w = Window.partitionBy(fetch).orderBy(seq)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    flagged = requests.withColumn("_sb", stop_before.cast("int")).withColumn("_sa", stop_after.cast("int"))
-    return (flagged.withColumn("_keep", (F.max("_sb").over(upto) == 0)
-                               & (F.coalesce(F.max("_sa").over(before), F.lit(0)) == 0))
-            .where("_keep").drop("_sb", "_sa", "_keep"))
+    stops = requests.select(fetch, seq, stop_before.alias("_sb"), stop_after.alias("_sa")).groupBy(fetch).agg(
+        F.min(F.when(F.col("_sb"), F.col(seq))).alias("_until"), F.min(F.when(F.col("_sa"), F.col(seq))).alias("_last"))
+    return (requests.join(stops, fetch).where((F.col("_until").isNull() | (F.col(seq) < F.col("_until")))
+                                              & (F.col("_last").isNull() | (F.col(seq) <= F.col("_last"))))
+            .drop("_until", "_last"))
 
 
 def unwrap_envelope(payload: Column) -> Column:
@@ -51,37 +44,35 @@ def unwrap_envelope(payload: Column) -> Column:
     return F.struct(F.coalesce(jobs, F.array().cast("array<variant>")).alias("jobs"), cursor.alias("cursor"))
 
 
-def cursor_merge(records: DataFrame, fetch: str, seq: str, pos: str, job_id: str, total_jobs: int) -> DataFrame:
+def cursor_merge(records: DataFrame, fetch: str, seq: str, pos: str, job_id: str, total_jobs: int | None = None) -> DataFrame:
     """SRC-3 (after ``take_while``): first occurrence per non-empty job id across the
-    fetch's batches, records without an id kept as they are, then the first
-    ``total_jobs`` in arrival order.
+    fetch's batches, records without an id kept as they are; the records come with
+    all their columns. A request's own ``total_jobs`` keeps that many, in arrival order.
 
-    First-occurrence is a keyed aggregation (map-side combined), so a popular id
-    is reduced before the shuffle; the cap is ``row_number() <= total_jobs`` per
-    fetch (planned as a WindowGroupLimit). One fetch is bounded by the request
-    cap times the page size, so its window partition is bounded too.
+    First-occurrence is a keyed aggregation of (request, position), map-side
+    combined, so a popular id is reduced before the shuffle; it then picks the rows.
     """
     has_id = F.coalesce(F.length(F.col(job_id)) > 0, F.lit(False))
-    ided = records.where(has_id)
-    first = ided.groupBy(fetch, job_id).agg(F.min(F.struct(seq, pos)).alias("_first"))
-    kept_ided = first.select(fetch, job_id, F.col(f"_first.{seq}").alias(seq), F.col(f"_first.{pos}").alias(pos))
-    blank = records.where(~has_id).select(fetch, job_id, seq, pos)
-    merged = kept_ided.unionByName(blank)
+    key = F.when(has_id, F.col(job_id)).otherwise(F.concat_ws(":", F.lit("\u0000"), F.col(seq), F.col(pos)))
+    rows = records.withColumn("_key", key)
+    first = rows.groupBy(fetch, "_key").agg(F.min(F.struct(seq, pos)).alias("_first"))
+    merged = rows.join(first, [fetch, "_key"]).where(F.struct(seq, pos) == F.col("_first")).select(*records.columns)
+    if total_jobs is None:
+        return merged
     w = Window.partitionBy(fetch).orderBy(seq, pos)
     return merged.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= total_jobs).drop("_rn")
 
 
-def fetch_stats(requests: DataFrame, kept: DataFrame, fetch: str, seq: str, total_jobs: int) -> DataFrame:
+def fetch_stats(requests: DataFrame, kept: DataFrame, fetch: str, seq: str, total_jobs: int | None = None) -> DataFrame:
     """AGG-6: per request made: received, new (kept) records, running total, has cursor.
 
     ``requests`` are the take-while survivors with ``received`` and
-    ``has_cursor``; a request is only made while the running total is below
-    ``total_jobs``. The running total is a window over the requests of one
-    fetch (bounded by the request cap).
+    ``has_cursor``; with ``total_jobs`` a request is only made while the running
+    total is below it. The running total is a window over one row per request.
     """
     new = kept.groupBy(fetch, seq).agg(F.count(F.lit(1)).alias("new_added"))
     j = requests.join(new, [fetch, seq], "left").withColumn("new_added", F.coalesce("new_added", F.lit(0)))
     w = Window.partitionBy(fetch).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = j.select(fetch, seq, F.col("received").cast("bigint"), F.col("new_added").cast("bigint"),
                    F.sum("new_added").over(w).cast("bigint").alias("total_accumulated"), "has_cursor")
-    return out.where(F.col("total_accumulated") - F.col("new_added") < total_jobs)
+    return out if total_jobs is None else out.where(F.col("total_accumulated") - F.col("new_added") < total_jobs)

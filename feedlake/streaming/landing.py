@@ -7,7 +7,7 @@ is a file source (``wholetext``), so each micro-batch picks up new files only
 and the checkpoint records which files were processed.
 
 Every output of a micro-batch is keyed by the micro-batch id: run logs,
-dead letters and snapshot fields are written to ``.../batch=<id>`` with
+dead letters, quarantined records and snapshot fields are written to ``.../batch=<id>`` with
 overwrite, and the listing snapshot is published as version ``<id>``. A
 replayed micro-batch (after a failure before the commit) therefore rewrites
 the same files, and the upsert of the same records is idempotent.
@@ -15,18 +15,22 @@ the same files, and the upsert of the same records is idempotent.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from feedlake.functions import rules as R
+from feedlake.operators import cooldown as CD
 from feedlake.operators import quality as Q
 from feedlake.operators import upsert as U
 from feedlake.operators.normalise import REGISTRY, FeedSpec
 
 KEY = ["source", "external_id"]
+KEY_OF_BATCH = Q.KEY
 
 
 @dataclass
@@ -45,101 +49,138 @@ class Paths:
     def dead_letters(self) -> str:
         return f"{self.root}/dead_letters"
 
+    @property
+    def quarantine(self) -> str:
+        return f"{self.root}/quarantine"
+
     @property
     def snapshots(self) -> str:
         return f"{self.root}/schema_snapshots"
 
 
 def landing_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """STR-1: file-source stream of landed payloads: (source, batch_key, payload)."""
+    """STR-1: file-source stream of landed payloads: (source, batch_key, arrived, payload)."""
     r = spark.readStream.format("text").option("wholetext", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = r.load(f"{landing.rstrip('/')}/*/")
     path = F.col("_metadata.file_path")
     return df.select(F.element_at(F.split(path, "/"), -2).alias("source"), path.alias("batch_key"),
-                     F.col("value").alias("payload"))
+                     F.col("_metadata.file_modification_time").alias("arrived"), F.col("value").alias("payload"))
 
 
 def _latest_snapshot_fields(spark: SparkSession, paths: Paths, before: int) -> DataFrame:
     """Newest saved field set per source from micro-batches before ``before``
     (a replayed batch never reads what it is about to rewrite)."""
-    try:
-        snaps = spark.read.parquet(paths.snapshots).where(F.col("batch") < before)
-    except Exception:  # noqa: BLE001 - nothing saved yet
+    if not U.exists(spark, paths.snapshots):
         return spark.createDataFrame([], "source string, fields array<string>")
-    return snaps.groupBy("source").agg(F.max_by("fields", "batch").alias("fields"))
+    snaps = spark.read.parquet(paths.snapshots).where(F.col("batch") < before)
+    return Q.latest_snapshot(snaps.withColumnRenamed("batch", "batch_id"), F.lit(None)).select("source", "fields")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Paths,
                  feeds: dict[str, FeedSpec] | None = None, now=None) -> DataFrame:
     """STR-2: one cycle over the payloads of a micro-batch; returns its run log.
 
-    ``payloads``: (source, batch_key, payload); each payload is one batch of
-    one registered feed (``source`` = feed id). Flat JSON arrays are expected
-    (envelopes are unwrapped upstream with ``sources.fetch.unwrap_envelope``).
-    Within a micro-batch, batches apply in ``batch_key`` order.
+    ``payloads``: (source, batch_key, payload[, arrived]); each payload is one
+    batch of one feed (``source`` = feed id), a flat array or, where the feed's
+    spec says so, an envelope. Batches apply in order of arrival, then key.
+
+    Nothing is dropped: a record ends in the listings (or is superseded there)
+    or in the quarantine table, with the reason of its batch. Bodies without
+    readable records, of unknown or of disabled sources are quarantined whole.
+    Every rejected batch, a drifted one too, has a dead letter with a sample.
+
+    Drift compares the fields that a feed's spec declares stable (its required
+    keys and ``stable_keys``) with the last good snapshot, by a vote of the
+    whole batch; other keys may come and go.
     """
     feeds = feeds or REGISTRY
     now = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
-    ids = payloads.select("source", "batch_key").distinct().withColumn(
-        "batch_id", F.xxhash64("source", "batch_key"))
-    p = payloads.join(ids, ["source", "batch_key"])
-    verdicts = records_all = normalised = None
-    for src, spec in feeds.items():
-        m, r = Q.scan_payloads(p.where(F.col("source") == src), key_field=spec.extra.get("scan_key"),
-                               keep=["batch_key"])
-        v = Q.batch_verdicts(m, r, list(spec.required_keys), spec.min_items)
-        n = spec.normalise(Q.gate_pass(r, v), keep=["batch_id", "batch_key", "pos"])
-        verdicts = v if verdicts is None else verdicts.unionByName(v)
-        records_all = r if records_all is None else records_all.unionByName(r)
-        normalised = n if normalised is None else normalised.unionByName(n)
-    verdicts = verdicts.cache()
-
-    # dead letters of failed batches (keyed by micro-batch id: replays overwrite)
-    dl = Q.dead_letters(records_all, verdicts, now)
-    dl.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{paths.dead_letters}/batch={batch}")
-
-    # drift of the raw record keys against the last good snapshot (VAL-6, STR-4)
+    if "arrived" not in payloads.columns:
+        payloads = payloads.withColumn("arrived", F.lit(None).cast("timestamp"))
+    p = payloads.withColumn("batch_id", F.xxhash64("source", "batch_key"))
+    ids = p.select("source", "batch_id", "batch_key", "arrived")
+    active = {k: v for k, v in feeds.items() if v.enabled}
+    scans = {src: Q.scan_payloads(p.where(F.col("source") == src), key_field=spec.extra.get("scan_key"),
+                                  keep=["batch_key", "arrived"], unwrap=spec.extra.get("envelope", False))
+             for src, spec in active.items()}
+    records = _union([r for _, r in scans.values()]).persist()
+    unknown = p.where(~F.col("source").isin(*active)).select(
+        "source", "batch_id", F.lit(False).alias("ok"),
+        F.when(F.col("source").isin(*feeds), F.lit("Source disabled")).otherwise(F.lit("Unregistered source")).alias("reason"),
+        F.lit(None).cast("array<string>").alias("missing"), F.lit(0).cast("bigint").alias("n_items"))
+    of = lambda src: records.where(F.col("source") == src)
+    verdicts = _union([unknown, *(Q.batch_verdicts(m, of(src), list(active[src].required_keys), active[src].min_items)
+                                  for src, (m, _) in scans.items())]).persist()
+    passed = Q.gate_pass(records, verdicts)
+    normalised = _union([spec.normalise(passed.where(F.col("source") == src), keep=["batch_id", "batch_key", "arrived", "pos"])
+                         for src, spec in active.items()]).persist()
+
+    # drift of the declared fields against the last good snapshot (VAL-6, STR-4)
     docs = Q.record_keys(normalised)
-    drifted = Q.schema_drift(docs, _latest_snapshot_fields(spark, paths, batch)).select(*Q.KEY).distinct()
-    good = normalised.join(drifted, Q.KEY, "left_anti")
-
-    # upsert into the listing snapshot, published as version `batch` (UPS-1, STR-3)
-    target = U.current_snapshot(spark, paths.listings, before=batch)
+    declared = _union([spark.createDataFrame([(src, k) for k in {*spec.required_keys, *spec.stable_keys}], "source string, field string")
+                       for src, spec in active.items()])
+    known = (_latest_snapshot_fields(spark, paths, batch).select("source", F.explode("fields").alias("field"))
+             .join(declared, ["source", "field"], "left_semi").groupBy("source").agg(F.collect_list("field").alias("fields")))
+    drifted = (Q.schema_drift(docs, known).groupBy(*KEY_OF_BATCH)
+               .agg(F.sort_array(F.collect_list("field")).alias("missing")).persist())
+    rejected = (verdicts.where(~F.col("ok")).select(*KEY_OF_BATCH, "ok", "reason", "missing", "n_items")
+                .unionByName(drifted.select(*KEY_OF_BATCH, F.lit(False).alias("ok"), F.lit("schema_drift").alias("reason"), "missing",
+                                            F.lit(None).cast("bigint").alias("n_items"))))
+    good = normalised.join(drifted.select(*KEY_OF_BATCH), KEY_OF_BATCH, "left_anti")
+
+    # all rejected records and unreadable bodies, and a dead letter with a sample for each rejected batch
+    body = (p.select("source", "batch_id", "batch_key", F.col("payload").alias("raw"))
+            .join(rejected.select(*KEY_OF_BATCH, "reason"), KEY_OF_BATCH)
+            .join(records.select(*KEY_OF_BATCH).distinct(), KEY_OF_BATCH, "left_anti").withColumn("pos", F.lit(None).cast("bigint")))
+    held = records.join(rejected.select(*KEY_OF_BATCH, "reason"), KEY_OF_BATCH).select(*KEY_OF_BATCH, "batch_key", "pos", "raw", "reason")
+    held = held.unionByName(body.select(*held.columns)).withColumn("recorded_at", now)
+    held.write.mode("overwrite").parquet(f"{paths.quarantine}/batch={batch}")
+    sample = held.select(*KEY_OF_BATCH, F.coalesce("pos", F.lit(0).cast("bigint")).alias("pos"), "raw")
+    Q.dead_letters(sample, rejected, now).write.mode("overwrite").parquet(f"{paths.dead_letters}/batch={batch}")
+
+    # upsert into the touched buckets of the listing snapshot, published as version `batch` (UPS-1, STR-3)
+    order = ["arrived", "batch_key", "pos"]
     rows = good.drop("batch_id")
+    touched = U.touched_buckets(rows, KEY)
+    target = U.current_snapshot(spark, paths.listings, before=batch, buckets=touched)
     if target is None:
-        target = spark.createDataFrame([], rows.drop("batch_key", "pos").schema).withColumn(
+        target = spark.createDataFrame([], rows.drop(*order).schema).withColumn(
             "ingested_at", F.lit(None).cast("timestamp_ntz"))
-    merged = U.merge(target, rows, KEY, ["batch_key", "pos"], ingested_at=now).drop("batch_key", "pos")
-    first = good.groupBy(*KEY).agg(F.min(F.struct("batch_key", "batch_id")).alias("_f"))
+    merged = U.merge(target, rows, KEY, order, ingested_at=now).drop(*order)
+    first = good.groupBy(*KEY).agg(F.min(F.struct("arrived", "batch_key", "batch_id")).alias("_f"))
     new_keys = first.join(target.select(*KEY), KEY, "left_anti").groupBy(
         F.col("_f.batch_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("insert_count"))
-    written = good.groupBy("source", "batch_id").agg(F.count(F.lit(1)).alias("success_count"))
-    U.publish_snapshot(spark, merged, paths.listings, batch)
+    written = good.groupBy(*KEY_OF_BATCH).agg(F.count(F.lit(1)).alias("success_count"))
+    U.publish_snapshot(spark, merged, paths.listings, batch, KEY, touched)
 
-    # schema snapshot: sorted raw fields of the first record of passing, drift-free batches (SNK-3)
-    snap = Q.snapshot_fields(docs.join(drifted, Q.KEY, "left_anti"))
-    snap.withColumn("batch", F.lit(batch)).withColumn("updated_at", now).write.mode("overwrite").parquet(
-        f"{paths.snapshots}/batch={batch}")
+    # schema snapshot: the newest passing, drift-free batch's fields per source (SNK-3)
+    fields = Q.snapshot_fields(docs.join(drifted.select(*KEY_OF_BATCH), KEY_OF_BATCH, "left_anti")).join(ids, KEY_OF_BATCH)
+    snap = fields.groupBy("source").agg(F.max_by("fields", F.struct("arrived", "batch_key")).alias("fields"))
+    snap.withColumn("updated_at", now).write.mode("overwrite").parquet(f"{paths.snapshots}/batch={batch}")
 
     # run log (AGG-1, SNK-1, STR-8)
     succ = F.coalesce("success_count", F.lit(0))
     ins = F.coalesce("insert_count", F.lit(0))
-    log = (verdicts.select(*Q.KEY, "ok", "reason").join(ids, Q.KEY)
-           .join(drifted.withColumn("_drift", F.lit(True)), Q.KEY, "left")
-           .join(written, Q.KEY, "left").join(new_keys, "batch_id", "left")
+    log = (verdicts.select(*KEY_OF_BATCH, "ok", "reason").join(ids, KEY_OF_BATCH)
+           .join(drifted.select(*KEY_OF_BATCH, F.lit(True).alias("_drift")), KEY_OF_BATCH, "left")
+           .join(written, KEY_OF_BATCH, "left").join(new_keys, "batch_id", "left")
            .select("source", "batch_id", "batch_key", now.alias("started_at"), now.alias("finished_at"),
                    succ.cast("bigint").alias("success_count"), ins.cast("bigint").alias("insert_count"),
                    (succ - ins).cast("bigint").alias("update_count"),
                    F.when(F.col("ok"), 0).otherwise(1).cast("bigint").alias("block_count"),
                    F.coalesce("_drift", F.lit(False)).alias("schema_drift"),
                    F.when(~F.col("ok"), F.col("reason")).when(F.col("_drift"), F.lit("schema_drift"))
-                   .alias("error"),
-                   F.lit(batch).cast("bigint").alias("batch")))
+                   .alias("error")))
     log.write.mode("overwrite").parquet(f"{paths.run_logs}/batch={batch}")
-    verdicts.unpersist()
-    return spark.read.parquet(f"{paths.run_logs}/batch={batch}")
+    for df in (records, verdicts, normalised, drifted):
+        df.unpersist()
+    return spark.read.parquet(f"{paths.run_logs}/batch={batch}").withColumn("batch", F.lit(batch).cast("bigint"))
 
 
 def start_ingest(spark: SparkSession, landing: str, out_root: str, checkpoint: str,
@@ -158,10 +199,10 @@ def start_ingest(spark: SparkSession, landing: str, out_root: str, checkpoint: s
 
 
 class RunMetrics(StreamingQueryListener):
-    """STR-8: keeps per-micro-batch progress (id, input rows, duration) on the driver."""
+    """STR-8: the last ``keep`` micro-batches' progress (id, input rows, duration) on the driver."""
 
-    def __init__(self):
-        self.rows: list[dict] = []
+    def __init__(self, keep: int = 1000):
+        self.rows: deque[dict] = deque(maxlen=keep)
 
     def onQueryStarted(self, event):  # noqa: N802
         pass
@@ -180,35 +221,41 @@ class RunMetrics(StreamingQueryListener):
 
 # ------------------------------------------------------------ streaming cooldown (STR-5)
 
-COOLDOWN_STATE = "cooldown_until_us long, blocks long"
-COOLDOWN_OUT = "identity long, event_id long, counted boolean, cooldown_until_us long, blocks long"
-
-
-def cooldown_stream(events: DataFrame, identity: str, ts: str, eid: str, delta_s: float) -> DataFrame:
-    """STR-5 on a stream: per identity, fold each micro-batch's blocks in (ts, id)
-    order into the state (cooldown end, counted blocks); emits every block with
-    whether it counted. A micro-batch is bounded by the trigger size, so one
-    identity's group within it is bounded as well."""
-    import pandas as pd
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def fold_cooldown(spark: SparkSession, events: DataFrame, batch: int, root: str, identity: str, ts: str, eid: str,
+                  delta_s: float) -> DataFrame:
+    """STR-5 for one micro-batch: every block (identity, event_id, us, counted), by the batch operator.
 
+    Blocks within the cooldown that earlier micro-batches left, late ones too,
+    do not count; the chain of the others starts at each identity's first. The
+    state (identity, cooldown_until_us, blocks) is written per micro-batch and
+    read from the one before, so a replay rewrites the same files.
+    """
     d = int(delta_s * 1_000_000)
+    rows = events.select(F.col(identity).cast("string").alias("identity"), F.col(ts).alias("ts"), F.col(eid).alias("event_id"),
+                         F.timestamp_diff("MICROSECOND", R.epoch_ntz(), F.col(ts)).alias("us"))
+    before = f"{root}/state/batch={batch - 1}"
+    state = (spark.read.parquet(before) if U.exists(spark, before)
+             else spark.createDataFrame([], "identity string, cooldown_until_us long, blocks long"))
+    free = rows.join(state, "identity", "left").where(F.coalesce(F.col("us") >= F.col("cooldown_until_us"), F.lit(True)))
+    chained = CD.chain(free.select("identity", "ts", "event_id"), "identity", "ts", "event_id", delta_s)
+    counted = chained.select("identity", "event_id", F.lit(True).alias("_counted"))
+    out = rows.join(counted, ["identity", "event_id"], "left").select(
+        "identity", "event_id", "us", F.coalesce("_counted", F.lit(False)).alias("counted"))
+    out.write.mode("overwrite").parquet(f"{root}/blocks/batch={batch}")
+    new = spark.read.parquet(f"{root}/blocks/batch={batch}").where("counted").groupBy("identity").agg(
+        (F.max("us") + d).alias("_until"), F.count(F.lit(1)).alias("_n"))
+    (state.join(new, "identity", "full").select(
+        "identity", F.coalesce("_until", "cooldown_until_us").alias("cooldown_until_us"),
+        (F.coalesce("blocks", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("blocks"))
+     .write.mode("overwrite").parquet(f"{root}/state/batch={batch}"))
+    return spark.read.parquet(f"{root}/blocks/batch={batch}")
+
+
+def start_cooldown(events: DataFrame, root: str, checkpoint: str, identity: str, ts: str, eid: str, delta_s: float,
+                   trigger: dict | None = None):
+    """STR-5 on a stream: ``fold_cooldown`` of each micro-batch."""
+    def each(df: DataFrame, batch_id: int) -> None:
+        fold_cooldown(df.sparkSession, df, int(batch_id), root.rstrip("/"), identity, ts, eid, delta_s)
 
-    def fold(key, frames, state):
-        until, blocks = (state.get if state.exists else (None, 0))
-        out = []
-        for pdf in frames:
-            pdf = pdf.sort_values(["_us", eid])
-            for us, e in zip(pdf["_us"].tolist(), pdf[eid].tolist()):
-                counted = until is None or us >= until
-                if counted:
-                    until, blocks = us + d, blocks + 1
-                out.append((key[0], e, counted, until, blocks))
-        state.update((until, blocks))
-        yield pd.DataFrame(out, columns=["identity", "event_id", "counted", "cooldown_until_us", "blocks"])
-
-    src = events.select(F.col(identity).cast("long").alias(identity), F.col(eid).cast("long").alias(eid),
-                        F.timestamp_diff("MICROSECOND", R.epoch_ntz(), F.col(ts)).alias("_us"))
-    return src.groupBy(identity).applyInPandasWithState(fold, COOLDOWN_OUT, COOLDOWN_STATE, "append",
-                                                         GroupStateTimeout.NoTimeout)
+    w = events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()

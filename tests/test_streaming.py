@@ -76,22 +76,131 @@ def test_ingest_batch_replay_is_idempotent(spark, scratch):
     assert len(log) == 1 and log[0].insert_count == 4
 
 
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "user string, ts string, event_id long").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def test_streaming_cooldown_state(spark, scratch):
     src = os.path.join(scratch, "events")
-    os.makedirs(src)
-    rows = [(1, "2024-01-01 00:00:00", 1), (1, "2024-01-01 10:00:00", 2), (1, "2024-01-02 00:00:00", 3),
-            (2, "2024-01-01 05:00:00", 4)]
-    spark.createDataFrame(rows, "user_id long, ts string, event_id long").withColumn(
-        "ts", F.col("ts").cast("timestamp_ntz")).write.parquet(src + "/part1")
-    stream = spark.readStream.schema("user_id long, ts timestamp_ntz, event_id long").parquet(src + "/part1")
-    out = P.cooldown_stream(stream, "user_id", "ts", "event_id", 86400.0)
-    q = (out.writeStream.format("memory").queryName("cooldown_out").outputMode("append")
-         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = {r.event_id: r.counted for r in spark.table("cooldown_out").collect()}
+    rows = [("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 10:00:00", 2), ("a", "2024-01-02 00:00:00", 3),
+            ("b", "2024-01-01 05:00:00", 4)]
+    _events(spark, rows).write.parquet(src)
+    stream = spark.readStream.schema("user string, ts timestamp_ntz, event_id long").parquet(src)
+    root = os.path.join(scratch, "cool")
+    P.start_cooldown(stream, root, os.path.join(scratch, "ck"), "user", "ts", "event_id", 86400.0).awaitTermination(300)
+    got = {r.event_id: r.counted for r in spark.read.parquet(root + "/blocks").collect()}
     assert got == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_cooldown_of_unordered_and_late_blocks(spark, scratch):
+    """Reversed order within a micro-batch, late blocks in the next, and a replay, against the sequential rule."""
+    first = [("k", f"2024-01-01 00:{m:02d}:00", m) for m in (50, 40, 30, 20, 10, 0)]
+    second = [("k", "2024-01-01 00:05:00", 100), ("k", "2024-01-01 01:20:00", 101), ("k", "2024-01-01 00:59:00", 102)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        P.fold_cooldown(spark, _events(spark, first), 0, scratch, "user", "ts", "event_id", 1200.0)
+        for _ in range(2):
+            out = P.fold_cooldown(spark, _events(spark, second), 1, scratch, "user", "ts", "event_id", 1200.0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counted = {r.event_id for r in spark.read.parquet(scratch + "/blocks").where("counted").collect()}
+    assert counted == {0, 20, 40, 101} and out.count() == 3
+    state = spark.read.parquet(f"{scratch}/state/batch=1").first()
+    assert (state.identity, state.blocks) == ("k", 4)
+
+
+def test_every_record_is_kept_somewhere(spark, scratch):
+    """Two files a trigger, an unknown and a disabled source, an unreadable body, a drifted batch."""
+    from dataclasses import replace
+
+    from feedlake.operators.normalise import REGISTRY
+    from feedlake.operators.upsert import current_snapshot
+
+    paths = P.Paths("file:" + os.path.join(scratch, "out"))
+    feeds = {**REGISTRY, "feed_a": replace(REGISTRY["feed_a"], stable_keys=("epoch",))}
+    slug = [_rec(i, slug=f"s{i}") for i in range(4)]
+    bare = [{k: v for k, v in _rec(i).items() if k != "epoch"} for i in range(20, 26)]
+    bad = [_rec(30), {"id": "31"}, *(_rec(i) for i in range(32, 37))]
+    cols = "source string, batch_key string, arrived timestamp, payload string"
+    from datetime import datetime
+    at = [datetime(2024, 1, 1, 0, m) for m in range(10)]
+    one = spark.createDataFrame([("feed_a", "/l/b10.json", at[0], json.dumps(slug)),
+                                 ("feed_a", "/l/b2.json", at[1], json.dumps([_rec(3, position="newest")]))], cols)
+    two = spark.createDataFrame([("feed_a", "d", at[2], json.dumps(bare)), ("feed_a", "e", at[3], json.dumps(bad)),
+                                 ("feed_a", "f", at[4], "<html>Access Denied</html>"), ("feed_x", "g", at[5], "[1]"),
+                                 ("feed_c", "h", at[6], json.dumps({"data": []})),
+                                 ("feed_a", "i", at[7], json.dumps([_rec(9)]))], cols)
+    P.ingest_batch(spark, one, 0, paths, feeds)
+    log = {r.batch_key: r for r in P.ingest_batch(spark, two, 1, paths, feeds).collect()}
+    snap = {r.external_id: r.title for r in current_snapshot(spark, paths.listings).collect()}
+    assert set(snap) == {"0", "1", "2", "3", "9"} and snap["3"] == "newest"  # by arrival, not by name; no slug is no drift
+    held = spark.read.parquet(paths.quarantine).where("batch = 1").collect()
+    assert sorted(json.loads(r.raw)["id"] for r in held if r.batch_key in "de") == sorted(
+        [str(i) for i in range(20, 26)] + [str(i) for i in range(30, 37)])
+    assert {r.batch_key: r.raw for r in held if r.batch_key in "fgh"} == {
+        "f": "<html>Access Denied</html>", "g": "[1]", "h": '{"data": []}'}
+    letters = {(r.source, r.reason.split(":")[0]): list(r.raw_sample) for r in spark.read.parquet(paths.dead_letters).collect()}
+    assert set(letters) == {("feed_a", "schema_drift"), ("feed_a", "Item 1 missing required keys"),
+                            ("feed_a", "Expected list, got str"), ("feed_x", "Unregistered source"), ("feed_c", "Source disabled")}
+    assert len(letters["feed_a", "schema_drift"]) == 3
+    assert log["d"].schema_drift and log["i"].insert_count == 1 and log["g"].error == "Unregistered source"
+
+
+def test_a_read_error_fails_the_batch(spark, scratch):
+    import pytest
+
+    paths = P.Paths(os.path.join(scratch, "out"))
+    payload = lambda i: spark.createDataFrame([("feed_a", f"k{i}", json.dumps([_rec(i)]))], "source string, batch_key string, payload string")
+    P.ingest_batch(spark, payload(1), 0, paths)
+    versions = os.path.join(paths.listings, "_versions", f"{0:012d}")
+    for f in os.listdir(versions):
+        if f.endswith(".json"):
+            with open(os.path.join(versions, f), "w") as out:
+                out.write(json.dumps({"bucket": 1, "path": os.path.join(scratch, "nowhere")}))
+            os.unlink(os.path.join(versions, f".{f}.crc"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|nowhere"):
+        P.ingest_batch(spark, payload(1).unionByName(payload(2)).unionByName(
+            spark.createDataFrame([("feed_a", "all", json.dumps([_rec(i) for i in range(400)]))], payload(1).schema)), 1, paths)
+
+
+def test_untouched_buckets_are_not_rewritten_and_old_versions_go(spark, scratch):
+    from feedlake.operators import upsert as U
+
+    root = os.path.join(scratch, "t")
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id long, v string")
+    U.publish_snapshot(spark, rows(range(500), "old"), root, 0, ["id"])
+    for version in range(1, 6):
+        batch = rows([7], f"new{version}").withColumn("o", F.lit(1))
+        touched = U.touched_buckets(batch, ["id"])
+        target = U.current_snapshot(spark, root, before=version, buckets=touched)
+        assert target.count() < 100
+        U.publish_snapshot(spark, U.merge(target, batch, ["id"], ["o"]).drop("o"), root, version, ["id"], touched)
+    snap = U.current_snapshot(spark, root)
+    assert snap.count() == 500 and snap.where("v <> 'old'").collect()[0].asDict() == {"id": 7, "v": "new5"}
+    assert [n for n in os.listdir(os.path.join(root, "v=000000000005")) if "SUCCESS" not in n] == [f"_bucket={touched[0]}"]
+    assert sorted(n for n in os.listdir(os.path.join(root, "_versions"))) == [f"{v:012d}" for v in (3, 4, 5)]
+    assert not os.path.exists(os.path.join(root, "v=000000000001", f"_bucket={touched[0]}"))
+
+
+def test_merge_keeps_fields_that_only_the_target_has(spark):
+    from feedlake.operators import upsert as U
+
+    target = spark.createDataFrame([(1, "a", "keep"), (2, "b", "too")], "id long, v string, extra string")
+    got = U.merge(target, spark.createDataFrame([(1, "n", 1), (3, "m", 1)], "id long, v string, o long"), ["id"], ["o"])
+    assert {r.id: (r.v, r.extra) for r in got.collect()} == {1: ("n", "keep"), 2: ("b", "too"), 3: ("m", None)}
+
+
+def test_a_body_beyond_the_variant_limit_passes(spark):
+    from feedlake.operators import quality as Q
+
+    n = 100_000
+    body = "[" + ",".join('{"id":"%d","z":1,"a":"%s"}' % (i, "x" * 1400) for i in range(n)) + "]"
+    df = spark.createDataFrame([("feed_a", 1, body)], "source string, batch_id long, payload string")
+    m, r = Q.scan_payloads(df)
+    assert m.first().payload_type == "list" and m.first().n_items == n
+    assert r.where("pos = 5").first().raw.startswith('{"id":"5","z":1,"a":')
+
+
 def test_run_metrics_listener(spark, scratch):
     import time
 
