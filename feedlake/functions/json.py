@@ -43,8 +43,9 @@ def stage_fields(df, raw_col: str, keys: list[str], keep: list[str]):
     whole-stage code generation. Returns ``(df, getter)``; ``getter(key)`` is
     the staged VARIANT column, which the functions of this module recognise.
     """
-    parsed = df.select(*keep, F.col(raw_col).alias("_raw"), parse(raw_col).alias("_v"))
-    vals = parsed.select(*keep, "_raw", *[field(F.col("_v"), k).alias(f"_f_{k}") for k in keys])
+    shape = ", ".join(f"`{k}` variant" for k in keys)
+    parsed = df.select(*keep, F.col(raw_col).alias("_raw"), F.from_json(raw_col, shape).alias("_v"))
+    vals = parsed.select(*keep, "_raw", *[F.col(f"_v.{k}").alias(f"_f_{k}") for k in keys])
     typed = vals.select("*", *[kind_of(F.col(f"_f_{k}")).alias(f"_t_{k}") for k in keys])
     done = typed.select("*", *[_truthy(F.col(f"_f_{k}"), F.col(f"_t_{k}")).alias(f"_b_{k}") for k in keys],
                         *[F.try_variant_get(F.col(f"_f_{k}"), "$", "string").alias(f"_s_{k}") for k in keys])

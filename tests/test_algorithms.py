@@ -48,6 +48,31 @@ def test_two_key_dedup_on_a_chain(spark):
     assert got == _sequential_two_key(rows)
 
 
+def test_two_key_with_null_keys_and_repeated_orders(spark):
+    rows = [(1, None, "u1"), (2, None, "u2"), (3, "p", None), (4, "q", None), (5, "r", "u5"), (5, "r", "u5"), (6, "s", "u6"), (6, "s", "u7")]
+    df = spark.createDataFrame(rows, "o long, p string, u string")
+    got = D.greedy_two_key(df, F.col("o"), F.col("p"), F.col("u"), max_rounds=8)
+    assert sorted((r.o, r.p, r.u) for r in got.collect() if r.p and r.u) == [(5, "r", "u5"), (6, "s", "u6")]
+    assert sorted(r.o for r in got.collect()) == [1, 3, 5, 6]
+
+
+def test_strip_of_unicode_blanks_and_json_ld_blocks(spark):
+    from feedlake.functions.text import pystrip
+    from feedlake.operators.extract import extract_listing
+
+    texts = ["\u00a0Find\u3000", "\x1c a b\x85", "\t\n x", "\ufeffy"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.t for r in df.select(pystrip(F.col("t")).alias("t")).collect()] == [t.strip() for t in texts]
+    ld = "<script type='application/LD+json'>{}</script>".format
+    pages = [ld('{"@type":"Organization","name":"Acme"}') + ld('{"@type":"JobPosting","title":"Nurse"}'),
+             ld('[{"@type":"Organization","name":"Acme"},{"@type":"JobPosting","title":"Cook"}]'),
+             ld('{"@graph":[{"@type":"WebSite","name":"W"},{"@type":"JobPosting","title":"Smith"}]}'),
+             ld("{broken") + "<title>T</title>", ld('{"name":"Only"}'), "<h1>H <b>1</b></h1>"]
+    got = extract_listing(spark.createDataFrame(list(enumerate(pages)), "i long, html string"), "html", ["i"]).orderBy("i").collect()
+    assert [(r.title, r.method) for r in got] == [("Nurse", "json-ld"), ("Cook", "json-ld"), ("Smith", "json-ld"), ("T", "title"),
+                                                  ("Only", "json-ld"), ("H 1", "h1")]
+
+
 def _sequential_cooldown(times, delta):
     until, out = None, []
     for t in sorted(times):

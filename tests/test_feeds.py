@@ -129,11 +129,11 @@ def test_block_pages(spark):
     assert flags == [True, True, True, False]
 
 
-def _drift(spark, docs, known):
+def _drift(spark, docs, known, **kw):
     recs = spark.createDataFrame([("s", 1, i, json.dumps(d)) for i, d in enumerate(docs)],
                                  "source string, batch_id bigint, pos bigint, raw string")
     snaps = spark.createDataFrame([("s", known)], "source string, fields array<string>")
-    return {r.field for r in Q.schema_drift(Q.record_keys(recs), snaps).collect()}
+    return {r.field for r in Q.schema_drift(Q.record_keys(recs), snaps, **kw).collect()}
 
 
 def test_schema_drift(spark):
@@ -142,8 +142,9 @@ def test_schema_drift(spark):
     assert _drift(spark, [{"a": 1, "b": 2}] + [{"a": 1, "b": 2, "c": 3}] * 3, known) == set()
     assert _drift(spark, [{"a": 1}], []) == set()
     assert _drift(spark, [], known) == set()
-    # only the first five documents are sampled
-    assert _drift(spark, [{"a": 1, "b": 1, "c": 1}] * 5 + [{"a": 1}] * 20, known) == set()
+    # the whole batch votes, or its first documents where a sample size is given
+    assert _drift(spark, [{"a": 1, "b": 1, "c": 1}] * 5 + [{"a": 1}] * 20, known) == {"b", "c"}
+    assert _drift(spark, [{"a": 1, "b": 1, "c": 1}] * 5 + [{"a": 1}] * 20, known, sample_size=5) == set()
 
 
 def test_dead_letter_samples_first_three(spark):
