@@ -8,10 +8,10 @@ import numpy as np
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 300,
         weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Coefficients and intercept; squared hinge, classes of equal total weight, accelerated gradient steps. y is +1 or -1."""
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
     scale = np.where(scale > 1e-12, scale, np.inf) * np.sqrt(x.shape[1])
-    z = ((x - mean) / scale).astype(np.float32)
-    z = np.hstack([z, np.ones((len(z), 1), np.float32)])
+    z = np.ones((len(x), x.shape[1] + 1), np.float32)
+    np.divide(x - mean.astype(np.float32), scale.astype(np.float32), out=z[:, :-1], casting="unsafe")
     share = np.ones(len(y)) if weight is None else weight
     share = np.where(y > 0, share / max(1, share[y > 0].sum()), share / max(1, share[y < 0].sum())).astype(np.float32) / 2
     v = np.ones(z.shape[1], np.float32)
