@@ -118,36 +118,6 @@ def string_list(x: Column) -> Column:
     return F.when(is_array(x), F.try_variant_get(x, "$", "array<string>"))
 
 
-def object_keys(raw: Column | str) -> Column:
-    """Top-level keys of a JSON object text, in document order."""
-    return F.json_object_keys(F.col(raw) if isinstance(raw, str) else raw)
-
-
-def json_object(*pairs: tuple[str, Column]) -> Column:
-    """Build JSON object text from (key, json_text) pairs; a NULL text omits the key.
-
-    ``F.lit("null")`` as the text writes an explicit JSON null, so absent and
-    null keys can both be produced.
-    """
-    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in pairs]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-
-
-def jstr(c: Column) -> Column:
-    """JSON text of a string column; NULL stays NULL (key omitted)."""
-    return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.array(c.cast("string"))), r"^\[(.*)\]$", 1))
-
-
-def jnum(c: Column) -> Column:
-    """JSON text of a numeric column; NULL stays NULL (key omitted)."""
-    return c.cast("string")
-
-
-def jarr(c: Column) -> Column:
-    """JSON text of an array column; NULL stays NULL (key omitted)."""
-    return F.when(c.isNotNull(), F.to_json(c))
-
-
 def json_record(fields: list[tuple[str, Column]], nulls: list[tuple[str, Column]] | None = None) -> Column:
     """JSON object text from typed columns in one ``to_json`` call.
 

@@ -71,14 +71,6 @@ def displayable(df: DataFrame) -> DataFrame:
     return df.where(ok)
 
 
-FILTERS = {
-    "all": lambda df: df,
-    "remote": remote_only,
-    "salary": with_salary,
-    "visa": visa,
-}
-
-
 def filter_predicate(name: str) -> Column:
     """The predicate of a named filter chip (a source name filters by source)."""
     if name == "all":

@@ -10,7 +10,7 @@ from feedlake.operators import upsert as U
 from feedlake.plans.quality import _GATE_SQL, REQUIRED, _known_snapshot, _verdicts
 from feedlake.plans.registry import query
 from feedlake.plans.sql import LISTINGS_CTE
-from feedlake.sources.tables import GATE_BATCH, listings, table
+from feedlake.sources.tables import GATE_BATCH, gate_payloads, listings, table
 
 KEYS = ["event_type", "user_id"]
 ORDER = ["ts", "event_id"]
@@ -96,31 +96,31 @@ def key_uniqueness_audit(spark, d):
 def run_logs(spark, d):
     """The run log of one cycle over all gate batches (attempts, drift, upsert).
 
-    The records of both attempts are scanned once and checkpointed (reliable
-    checkpoint in the shared folder); verdicts, acceptance, drift and counters
-    all read that copy instead of re-parsing the payloads.
+    The second attempt is built and scanned only for the batches whose first one
+    failed. Manifests and records of each attempt are parsed once and
+    checkpointed in the shared folder; all else reads those copies.
     """
     from feedlake.operators.dedup import _checkpoint
-    from feedlake.plans.quality import _scan
 
     e = table(spark, d, "events").select("event_id", "ts")
     batches = e.groupBy(F.floor(F.col("event_id") / GATE_BATCH).cast("bigint").alias("batch_id")).agg(
         F.min("ts").alias("started_at"), F.max("ts").alias("finished_at")).withColumn("source", F.lit("feed_a"))
-    ms, rs = [], []
-    for attempt in (1, 2):
-        m, r = _scan(spark, d, attempt)
-        ms.append(m.withColumn("attempt", F.lit(attempt)))
-        rs.append(r.withColumn("attempt", F.lit(attempt)))
-    manifests = ms[0].unionByName(ms[1])
-    records = _checkpoint(rs[0].unionByName(rs[1]))
     ka = Q.KEY + ["attempt"]
-    verdicts = Q.batch_verdicts(manifests, records, REQUIRED, key=ka)
+
+    def attempt(n, payloads):
+        m, r = Q.scan_payloads(payloads, key_field="id")
+        r = _checkpoint(r.withColumn("attempt", F.lit(n)))
+        return r, _checkpoint(Q.batch_verdicts(m.withColumn("attempt", F.lit(n)), r, REQUIRED, key=ka))
+
+    first, v1 = attempt(1, gate_payloads(spark, d, 1))
+    again = gate_payloads(spark, d, 2).join(v1.where(~F.col("ok")).select(*Q.KEY), Q.KEY, "left_semi")
+    second, v2 = attempt(2, again)
+    records, verdicts = first.unionByName(second), v1.unionByName(v2)
     res = Q.resolve_attempts(verdicts)
     accepted = records.join(res.select(*Q.KEY, F.col("accepted_attempt").cast("int").alias("attempt")), ka,
                             "left_semi")
     keyed = Q.record_keys(accepted)
-    first_pass = records.where(F.col("attempt") == 1).join(
-        verdicts.where((F.col("attempt") == 1) & F.col("ok")).select(*Q.KEY), Q.KEY, "left_semi")
+    first_pass = first.join(v1.where("ok").select(*Q.KEY), Q.KEY, "left_semi")
     known = _known_snapshot(Q.record_keys(first_pass))
     drift = Q.schema_drift(keyed, known)
     written = (accepted.join(drift.select(*Q.KEY).distinct(), Q.KEY, "left_anti")

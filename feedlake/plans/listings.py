@@ -101,8 +101,6 @@ select source, external_id,
   case when source = 'feed_a' then 'View on Feed A' else concat('Apply at ', company) end as apply_label
 from listings"""
 
-_REL = """(with_ms.label)"""
-
 # Relative time against the fixed as-of instant, in SQL.
 _REL_SQL = """case
   when floor(ms / 60000.0) <= 0 then 'Just now'

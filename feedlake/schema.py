@@ -1,4 +1,4 @@
-"""Fixed schemas of the canonical listing and the operations tables."""
+"""Fixed schema of the canonical listing."""
 
 from pyspark.sql import types as T
 
@@ -20,55 +20,3 @@ CANONICAL = T.StructType([
 ])
 
 CANONICAL_FIELDS = [f.name for f in CANONICAL.fields]
-SERVED_FIELDS = [f for f in CANONICAL_FIELDS if f != "raw"]
-
-# Bronze: one row per raw record of a landed batch.
-BRONZE = T.StructType([
-    T.StructField("source", T.StringType(), False),
-    T.StructField("batch_id", T.LongType(), False),
-    T.StructField("pos", T.LongType(), False),
-    T.StructField("raw", T.StringType(), True),
-])
-
-# One row per landed payload (the batch manifest): empty batches stay visible.
-PAYLOAD = T.StructType([
-    T.StructField("source", T.StringType(), False),
-    T.StructField("batch_id", T.LongType(), False),
-    T.StructField("payload", T.StringType(), True),
-])
-
-VERDICT = T.StructType([
-    T.StructField("source", T.StringType(), False),
-    T.StructField("batch_id", T.LongType(), False),
-    T.StructField("ok", T.BooleanType(), False),
-    T.StructField("reason", T.StringType(), True),
-    T.StructField("missing", T.ArrayType(T.StringType()), True),
-])
-
-RUN_LOG = T.StructType([
-    T.StructField("source", T.StringType(), False),
-    T.StructField("batch_id", T.LongType(), False),
-    T.StructField("started_at", T.TimestampNTZType(), True),
-    T.StructField("finished_at", T.TimestampNTZType(), True),
-    T.StructField("success_count", T.LongType(), False),
-    T.StructField("insert_count", T.LongType(), False),
-    T.StructField("update_count", T.LongType(), False),
-    T.StructField("block_count", T.LongType(), False),
-    T.StructField("schema_drift", T.BooleanType(), False),
-    T.StructField("error", T.StringType(), True),
-])
-
-DEAD_LETTER = T.StructType([
-    T.StructField("source", T.StringType(), False),
-    T.StructField("batch_id", T.LongType(), False),
-    T.StructField("reason", T.StringType(), True),
-    T.StructField("raw_sample", T.ArrayType(T.StringType()), True),
-    T.StructField("details", T.StringType(), True),
-    T.StructField("recorded_at", T.TimestampNTZType(), True),
-])
-
-SNAPSHOT = T.StructType([
-    T.StructField("source", T.StringType(), False),
-    T.StructField("fields", T.ArrayType(T.StringType()), True),
-    T.StructField("updated_at", T.TimestampNTZType(), True),
-])

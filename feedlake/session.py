@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,7 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = sc.getCheckpointDir()
     if not d:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir is not set: configure a shared folder for checkpoints")
         # local mode only (tests, bench): a scratch folder on this machine
         d = tempfile.mkdtemp(prefix="feedlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
