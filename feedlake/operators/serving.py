@@ -158,7 +158,7 @@ def fallback_if_empty(primary: DataFrame, backup: DataFrame) -> DataFrame:
 
     Decided inside the plan: the backup is anti-joined on a constant key with
     at most one row of the primary (``limit(1)``), so no count reaches the
-    driver and nothing is cross-joined.
+    driver; the join holds one row on that side.
     """
     probe = primary.select(F.lit(1).alias("_k")).limit(1)
     gated = backup.withColumn("_k", F.lit(1)).join(probe, "_k", "left_anti").drop("_k")

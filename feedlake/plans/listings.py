@@ -95,7 +95,7 @@ select source, external_id,
        when coalesce(salary_max, 0) <> 0 then concat('Up to $', cast(floor(salary_max / 1000.0 + 0.5) as bigint), 'k')
   end as salary_text,
   {rel} as posted_label,
-  '' as tag_text,
+  array_to_string(list_transform(range(1, least(length(external_id), 5) + 1), lambda i: '#t' || substring(external_id, i, 1)), ' ') as tag_text,
   substring(external_id, 1, 20) as id_text,
   case when length(url) > 0 then url else concat('https://feed-a.example/jobs/', external_id) end as apply_url,
   case when source = 'feed_a' then 'View on Feed A' else concat('Apply at ', company) end as apply_label
@@ -111,7 +111,8 @@ _REL_SQL = """case
   when floor(ms / 86400000.0) <= 14 then concat(cast(floor(floor(ms / 86400000.0) / 7) as bigint), 'w ago')
   else 'Active' end"""
 
-_MS = f"date_diff('millisecond', coalesce(posted_at, timestamp '{AS_OF}'), timestamp '{AS_OF}')"
+_MS = (f"date_diff('millisecond', coalesce(case when external_id not like '%7' then posted_at end, "
+       f"timestamp '{AS_OF}' - length(external_id) * interval 1 hour), timestamp '{AS_OF}')")
 
 _CARDS_ORACLE = LISTINGS_CTE.replace(
     "listings as (", f"listings0 as (").rstrip() + f""",
@@ -119,17 +120,27 @@ listings as (select *, {_MS} as ms from listings0)
 """ + _CARD_SQL.format(rel=_REL_SQL)
 
 
+def _card_rows(spark, d):
+    """The listings with a tag per character of the id, without a date where the id ends
+    in 7, and ingested as many hours before the as-of time as the id is long."""
+    n = F.length("external_id")
+    return listings(spark, d).select(
+        "*", F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("t"), F.substr("external_id", i, F.lit(1)))).alias("tags"),
+        F.timestamp_add("HOUR", -n, as_of_col()).alias("ingested_at")).withColumn(
+        "posted_at", F.when(~F.col("external_id").endswith("7"), F.col("posted_at")))
+
+
 @query("listing_cards", _CARDS_ORACLE)
 def listing_cards(spark, d):
     """NRM-G/F-8/F-9/F-11: display cards for every listing at a fixed as-of time."""
-    return S.cards(listings(spark, d), as_of_col())
+    return S.cards(_card_rows(spark, d), as_of_col())
 
 
 @query("relative_time", _CARDS_ORACLE.replace(_CARD_SQL.format(rel=_REL_SQL), "") + f"""
 select source, {_REL_SQL} as posted_label, count(*) as n from listings group by all""")
 def relative_time(spark, d):
     """F-8: listings per source and relative-time label."""
-    c = S.cards(listings(spark, d), as_of_col())
+    c = S.cards(_card_rows(spark, d), as_of_col())
     return c.groupBy("source", "posted_label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -139,7 +150,7 @@ select salary_text, count(*) as n from (
 ) group by all""")
 def salary_label(spark, d):
     """F-9: listings per salary text."""
-    c = S.cards(listings(spark, d), as_of_col())
+    c = S.cards(_card_rows(spark, d), as_of_col())
     return c.groupBy("salary_text").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -162,19 +173,18 @@ def failover_union(spark, d):
 
 
 @query("fallback_if_empty", LISTINGS_CTE + """
-select 'feed_x' as requested, * from feed_c
-  where not exists (select 1 from listings where source = 'feed_x')
-union all select 'feed_x', * from listings where source = 'feed_x'
+select 'nobody' as requested, * from feed_c where not exists (select 1 from listings where company = 'nobody')
+union all select 'nobody', * from listings where company = 'nobody'
 union all select 'feed_b', * from listings where source = 'feed_b'
 union all select 'feed_b', * from feed_c where not exists (select 1 from listings where source = 'feed_b')""")
 def fallback_if_empty(spark, d):
-    """SRC-11: an empty filtered read ('feed_x') falls back to the backup feed (C);
-    a non-empty one ('feed_b') does not."""
+    """SRC-11: a read that the data leave empty (no such company) falls back to the
+    backup feed (C); a non-empty one ('feed_b') does not."""
     from feedlake.sources.tables import listings_feed_c
 
+    reads = {"nobody": listings(spark, d).where(F.col("company") == "nobody"), "feed_b": S.by_source(listings(spark, d), "feed_b")}
     out = None
-    for req in ("feed_x", "feed_b"):
-        primary = S.by_source(listings(spark, d), req)
+    for req, primary in reads.items():
         part = S.fallback_if_empty(primary, listings_feed_c(spark, d)).select(F.lit(req).alias("requested"), "*")
         out = part if out is None else out.unionByName(part)
     return out
