@@ -46,9 +46,9 @@ def stage_fields(df, raw_col: str, keys: list[str], keep: list[str]):
     shape = ", ".join(f"`{k}` variant" for k in keys)
     parsed = df.select(*keep, F.col(raw_col).alias("_raw"), F.from_json(raw_col, shape).alias("_v"))
     vals = parsed.select(*keep, "_raw", *[F.col(f"_v.{k}").alias(f"_f_{k}") for k in keys])
-    typed = vals.select("*", *[kind_of(F.col(f"_f_{k}")).alias(f"_t_{k}") for k in keys])
-    done = typed.select("*", *[_truthy(F.col(f"_f_{k}"), F.col(f"_t_{k}")).alias(f"_b_{k}") for k in keys],
+    typed = vals.select("*", *[kind_of(F.col(f"_f_{k}")).alias(f"_t_{k}") for k in keys],
                         *[F.try_variant_get(F.col(f"_f_{k}"), "$", "string").alias(f"_s_{k}") for k in keys])
+    done = typed.select("*", *[_truthy_text(F.col(f"_f_{k}"), F.col(f"_s_{k}")).alias(f"_b_{k}") for k in keys])
     return done, (lambda k: F.col(f"_f_{k}"))
 
 
@@ -107,6 +107,13 @@ def _truthy(x: Column, t: Column) -> Column:
     )
 
 
+def _truthy_text(x: Column, s: Column) -> Column:
+    """Truthiness read off the value's text; its type is asked for only where the text leaves it open."""
+    open_ = s.isin("false", "[]", "{}") | F.substring(s, 1, 1).isin("0", "-")
+    return (F.when(s.isNull(), F.lit(False)).when(s == "", F.lit(False)).when(~open_, F.lit(True))
+            .otherwise(_truthy(x, kind_of(x))))
+
+
 def text_or(x: Column, default: Column | str) -> Column:
     """``str(d.get(k) or default)``: the value as text when truthy, else the default."""
     d = F.lit(default) if isinstance(default, str) else default

@@ -21,38 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def is_small(df: DataFrame) -> bool:
-    """Fewer planned splits than the cluster's task slots.
+def landed(records: DataFrame) -> DataFrame:
+    """Raw records as they land: dealt by batch, at every size alike.
 
-    Call it on a plain scan (no exchange below): the split count is then read
-    from the file listing and nothing is executed.
+    The exchange stands where bronze storage stands in production: records are
+    written by batch in one stage and parsed in the next.
     """
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(df: DataFrame, force: bool = False) -> DataFrame:
-    """Spread a scan over the cluster's task slots when it has fewer splits.
-
-    A large input is already read in many splits and is returned unchanged;
-    only an input with fewer splits than ``defaultParallelism`` (e.g. one
-    small file with a single row group) is round-robin repartitioned, so that
-    CPU-heavy per-row work (JSON parsing) does not run in a handful of tasks.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if force or is_small(df) else df  # is_small only on plain scans
-
-
-def landed(base: DataFrame, build, probe: DataFrame | None = None) -> DataFrame:
-    """Derive landed raw records from ``base`` with ``build`` (a DataFrame -> DataFrame).
-
-    For a small input (judged on ``probe``, the plain scan under ``base``) the
-    rows are spread before the build and again after it; the second exchange
-    stands where bronze storage stands in production (records are built in one
-    stage and parsed in the next). A large input is built where it is read.
-    """
-    if is_small(base if probe is None else probe):
-        return spread(build(spread(base, force=True)), force=True)
-    return build(base)
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return records.repartition(n, "batch_id")
 
 
 # Feed B is moved forward by this many days so that the three feeds overlap in time.
@@ -151,7 +127,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat-array feed records from ``events``: (batch_id, pos, event_id, raw)."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return landed(e, _build_a)
+    return landed(_build_a(e))
 
 
 def _build_a(e: DataFrame) -> DataFrame:
@@ -182,7 +158,7 @@ def _build_a(e: DataFrame) -> DataFrame:
 
 def raw_feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursor-feed records from orders ⋈ customer ⋈ nation ⋈ region."""
-    return landed(orders_enriched(spark, sf_dir), _build_b, probe=table(spark, sf_dir, "orders"))
+    return landed(_build_b(orders_enriched(spark, sf_dir)))
 
 
 def _build_b(j: DataFrame) -> DataFrame:
@@ -220,7 +196,7 @@ def _build_b(j: DataFrame) -> DataFrame:
 def raw_feed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-feed records from ``documents``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    return landed(d, _build_c)
+    return landed(_build_c(d))
 
 
 def _build_c(d: DataFrame) -> DataFrame:
