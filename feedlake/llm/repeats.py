@@ -43,9 +43,9 @@ from feedlake.llm.shingles import STEP, chunks, mixed, utf8
 SPAN, GRAM = 200, 32
 #: Places of a gram in a string, and stretches of strings by round.
 PLACES, STRETCHES = SPAN - GRAM + 1, (64, 16, 1)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Stretches, or ranges, up to which they are broadcast to the texts.
-SMALL = 3_000_000
+SMALL = 2_000_000
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
@@ -146,12 +146,12 @@ def split(nodes: DataFrame, bucket_of: str, kind: str, step: int, name: str) ->
     """(settled ranges, stretches that go on): buckets of one go, kinds of two or more are settled,
     and of buckets with several kinds one of each goes on."""
     sizes = nodes.groupBy(bucket_of).agg(F.count("*").alias("n"), F.min(kind).alias("k0"), F.max(kind).alias("k1")).where("n > 1")
-    shared = nodes.join(sizes, bucket_of)
+    shared = nodes.join(stash(sizes, f"{name}-sizes"), bucket_of)  # both sides plain: a hot bucket can be split
     several = F.col("k0") != F.col("k1")
     one = shared.where(~several)
     some = stash(shared.where(several), f"{name}-several")
     kinds = some.groupBy(kind).agg(F.count("*").alias("m"), F.min(F.struct("row", "p")).alias("first"))
-    some = some.join(kinds, kind)
+    some = some.join(stash(kinds, f"{name}-kinds"), kind)
     near, far = F.greatest("near", "base"), F.least(F.col("far"), F.col("base") + step - 1)
     done = lambda df: df.where(~F.col("seen")).select("row", (F.col("p") - far).alias("a"), (F.col("p") - near + SPAN).alias("b"))
     settled = done(one).union(done(some.where("m > 1")))
