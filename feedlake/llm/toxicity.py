@@ -39,7 +39,7 @@ from feedlake.llm.linear import fit, squash
 from feedlake.llm.shingles import STEP, mixed
 
 #: Most labelled documents, about, that are sampled for training, by label.
-SAMPLE = {1: 1500, 0: 6000}
+SAMPLE = {1: 1500, 0: 5000}
 LANDMARKS, ROUNDS, DECAY, THRESHOLD = 384, 3, 0.6, 0.7
 BITS = 15
 LONG, WINDOW = 24, 16
@@ -88,19 +88,20 @@ def subsequences(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray],
 def sums(table: np.ndarray, words: list[str]) -> np.ndarray:
     """For each word the normed sum of the table's values (or rows) of its subsequences."""
     out = []
-    for c in range(0, len(words), 50_000 if table.ndim == 1 else 2_000):
-        part = words[c:c + (50_000 if table.ndim == 1 else 2_000)]
+    step = 10_000 if table.ndim == 1 else 500
+    for c in range(0, len(words), step):
+        part = words[c:c + step]
         with np.errstate(over="ignore"):
             ids, owners, weights, norm = subsequences(part)
-        total = np.zeros((len(part), *table.shape[1:]))
+        total = np.zeros((len(part), *table.shape[1:]), np.float64 if table.ndim == 1 else np.float32)
         for i, o, w in zip(ids, owners, weights):
             if table.ndim == 1:
                 total += np.bincount(o, table[i] * w, minlength=len(part))
             elif len(o):
                 first = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
                 total[o[first]] += np.add.reduceat(table[i] * w[:, None], first, axis=0)
-        out.append(total / (norm if table.ndim == 1 else norm[:, None]))
-    return np.concatenate([np.zeros((0, *table.shape[1:])), *out])
+        out.append(total / (norm if table.ndim == 1 else norm[:, None].astype(np.float32)))
+    return np.concatenate(out) if out else np.zeros((0, *table.shape[1:]), np.float32)
 
 
 def landmark_table(words: list[str]) -> np.ndarray:
@@ -125,20 +126,23 @@ class Model:
     """``values``: one per hashed subsequence; ``bias``; ``steep`` and ``middle`` of the logistic curve."""
 
     def __init__(self, texts: list[str], toxic: list[int]):
-        own: dict[str, list[str]] = {}
-        bags = [[p for t in tokens(x) for p in own.get(t) or own.setdefault(t, pieces(t))] for x in texts]
         toxic, apart = np.array(toxic), np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % 4 == 3 for x in map(str, texts)])
         if set(toxic[~apart]) != {0, 1} or set(toxic[apart]) != {0, 1}:
             apart[:] = False
-        seen = {c: Counter(w for b, y in {tuple(b): y for b, y in zip(bags, np.where(apart, -1, toxic))}.items() if y == c for w in set(b)) for c in (0, 1)}
+        cut_on = apart if apart.any() else ~apart
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        met = set()
+        for x, y, c in zip(texts, toxic.tolist(), apart):
+            words = frozenset() if c else frozenset(tokens(x))
+            if words and hash(words) not in met:  # copies of a text count once
+                met.add(hash(words))
+                seen[y].update({p for w in words for p in pieces(w)})
         n1, n0 = (toxic[~apart] == 1).sum(), (toxic[~apart] == 0).sum()
         telling = sorted(seen[1], key=lambda w: (-(seen[1][w] / n1 - 2 * seen[0][w] / n0) * (1 + (seen[0][w] == 0)), w))
-        common = sorted(seen[0], key=lambda w: (-seen[0][w], w))
         clean = sorted(seen[0], key=lambda w: (-seen[0][w], w))
         against = clean[:1000] + clean[1000::max(1, len(clean) // 3000)]
         only = [w for w in telling if seen[1][w] >= max(2, SURE / 3 * n1) and not seen[0][w]]
         witnesses = [w for w in only if seen[1][w] >= max(FEW, SURE * n1)] or only[:10] or telling[:1]
-        both = [*seen[0], *(w for w in seen[1] if w not in seen[0])]
         hard: list[str] = []
         for _ in range(ROUNDS):
             marks = list(dict.fromkeys([*witnesses[:LANDMARKS // 2], *hard[:LANDMARKS // 4], *clean]))[:LANDMARKS]
@@ -149,15 +153,12 @@ class Model:
             weight = np.array([seen[1][v] for v in witnesses] + [1 + np.log(seen[0][v]) for v in against])
             w, self.bias = fit(sums(table, names) @ root, np.where(np.arange(len(names)) < len(witnesses), 1, -1), penalty=1e-4, weight=weight)
             self.values = (table @ (root @ w)).astype(np.float32)
-            margin = dict(zip(both, self.margins(both).tolist()))
-            hard = sorted(seen[0], key=lambda v: (-margin[v], v))[:1500]
+            hard = [clean[i] for i in np.argsort(-self.margins(clean), kind="stable")[:1500]]
             against = list(dict.fromkeys(against + hard))
-            witnesses = list(dict.fromkeys(witnesses + [v for v in only if margin[v] > 0.5]))
-        check = np.flatnonzero(apart) if apart.any() else np.arange(len(toxic))
-        more = list({w for i in check for w in bags[i]} - margin.keys())
-        margin.update(zip(more, self.margins(more).tolist()))
-        top = np.array([self.top([margin[v] for v in bags[i]]) for i in check])
-        self.steep, self.middle = 4.0, cut(top[toxic[check] == 0], top[toxic[check] == 1]) - np.log(THRESHOLD / (1 - THRESHOLD)) / 4
+            witnesses = list(dict.fromkeys(witnesses + [v for v, m in zip(only, self.margins(only)) if m > 0.5]))
+        top = np.array([self.top(self.margins([p for w in tokens(x) for p in pieces(w)])) for x, c in zip(texts, cut_on) if c])
+        y = toxic[cut_on]
+        self.steep, self.middle = 4.0, cut(top[y == 0], top[y == 1]) - np.log(THRESHOLD / (1 - THRESHOLD)) / 4
 
     def margins(self, words: list[str]) -> np.ndarray:
         return sums(self.values, words) + self.bias
@@ -165,7 +166,7 @@ class Model:
     @staticmethod
     def top(margins: list[float]) -> float:
         """The mean of the two highest margins, each within -1.5 and 1.5."""
-        best = sorted(margins)[-2:] if len(margins) < 64 else np.partition(np.array(margins), -2)[-2:].tolist()
+        best = np.partition(np.asarray(margins), -2)[-2:].tolist() if len(margins) > 2 else list(margins)
         return float(np.mean(np.clip([-1.5] * (2 - len(best)) + best, -1.5, 1.5)))
 
     def score(self, top: float) -> float:
