@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from feedlake.llm.common import ship
 
 #: Bytes of text that are hashed at a time; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 PLACES = 64
 TABLE = np.random.default_rng(7).integers(0, 1 << 64, size=PLACES * 256, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
