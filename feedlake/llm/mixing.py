@@ -60,7 +60,7 @@ def pattern(share: Mapping[str, int]) -> list[tuple[str, int, int]]:
 
 
 def numbered(docs: DataFrame, source: str, doc_id: str) -> DataFrame:
-    """row, source, at: each row's number within its source in id order, from 0.
+    """row, doc_id, source, at: each row's number within its source in id order, from 0.
 
     Rows are dealt by ranges of (source, id), so a large source fills many
     ranges; a number is the rank in the range after the counts of the earlier ones.
@@ -74,12 +74,12 @@ def numbered(docs: DataFrame, source: str, doc_id: str) -> DataFrame:
                .select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
     rank = F.row_number().over(Window.partitionBy("source", "range").orderBy(*order[1:]))
     return (ranged.withColumn("rank", rank).join(offsets, ["source", "range"])
-            .select("row", "source", (F.col("offset") + F.col("rank") - 1).alias("at")))
+            .select("row", "doc_id", "source", (F.col("offset") + F.col("rank") - 1).alias("at")))
 
 
 def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id",
              block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """row (its number in ``docs``), mix_slot, the slot of its block, and mix_at, its place in the block.
+    """row (its number in ``docs``), doc_id, source, mix_slot, the slot of its block, and mix_at, its place in the block.
 
     Without ``weights`` the targets are the square roots of the sources' document counts.
     """
@@ -96,7 +96,7 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     own = rows.join(F.broadcast(period.select("source", "share").distinct()), "source")
     own = own.withColumns({"of": F.floor(F.col("at") / block)}).withColumns({"period": F.floor(F.col("of") / F.col("share")), "block": F.pmod("of", "share")})
     return own.join(F.broadcast(period.drop("share")), ["source", "block"]).select(
-        "row", (F.col("period") * sum(share.values()) + F.col("slot")).alias("mix_slot"), F.pmod(F.col("at"), F.lit(block)).alias("mix_at"))
+        "row", "doc_id", F.nullif("source", F.lit(NO_SOURCE)).alias("source"), (F.col("period") * sum(share.values()) + F.col("slot")).alias("mix_slot"), F.pmod(F.col("at"), F.lit(block)).alias("mix_at"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id",
@@ -104,5 +104,5 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     """``docs`` in mixed order, columns unchanged; written out, its files in name order hold the mix."""
     docs = scanned(docs)
     row, slot, at = (fresh(docs, n) for n in ("_row", "_slot", "_at"))
-    plan = stash(schedule(docs, weights, source, doc_id, block, slots).toDF(row, slot, at), "mix-plan")
+    plan = stash(schedule(docs, weights, source, doc_id, block, slots).select("row", "mix_slot", "mix_at").toDF(row, slot, at), "mix-plan")
     return docs.withColumn(row, F.monotonically_increasing_id()).join(sized(plan), row).orderBy(slot, at).select(*docs.columns)

@@ -94,10 +94,10 @@ def _pack(capacity: int, share: int):
                 bins.full_sources.append(0)
                 bins.clusters.append(0)
                 bins.held.append({})
-                out.append((row.pool, row.at, row.doc_id, row.source_name, row.cluster, i, b, offset, capacity))
+                out.append((row.pool, row.at, row.doc_id, row.source_name, row.cluster, row.bit, i, b, offset, capacity))
             b, offset = bins.place(last, row.source, row.bit)
-            out.append((row.pool, row.at, row.doc_id, row.source_name, row.cluster, whole, b, offset, last))
-        return pd.DataFrame(out, columns=["pool", "at", "doc_id", "source", "cluster", "piece", "bin", "offset", "size"])
+            out.append((row.pool, row.at, row.doc_id, row.source_name, row.cluster, row.bit, whole, b, offset, last))
+        return pd.DataFrame(out, columns=["pool", "at", "doc_id", "source", "cluster", "bit", "piece", "bin", "offset", "size"])
     return run
 
 
@@ -123,11 +123,12 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
                        F.col(text).alias("text"))
     items = rows.mapInArrow(_items, f"pool string, at long, doc_id {kind}, source string, size long, cluster long")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)).cast("int")
-    items = items.select("pool", "at", "doc_id", F.col("source").alias("source_name"), "cluster", "size", bit("source").alias("source"),
+    # no nulls among the clusters that go to pandas, which would make floats of them
+    items = items.select("pool", "at", "doc_id", F.col("source").alias("source_name"), F.coalesce("cluster", F.lit(0)).alias("cluster"), "size", bit("source").alias("source"),
                          F.when(F.col("cluster").isNull(), -1).otherwise(bit("cluster")).alias("bit"))
     packed = items.groupBy("pool").applyInPandas(_pack(capacity, share), f"pool string, at long, doc_id {kind}, source string, "
-                                                 "cluster long, piece int, bin int, offset long, size long")
-    return packed.select("doc_id", "source", "cluster", "piece", F.concat_ws("#", "pool", "bin").alias("bin_id"),
+                                                 "cluster long, bit int, piece int, bin int, offset long, size long")
+    return packed.select("doc_id", "source", F.when(F.col("bit") >= 0, F.col("cluster")).alias("cluster"), "piece", F.concat_ws("#", "pool", "bin").alias("bin_id"),
                          F.col("offset").alias("bin_offset"), F.col("size").alias("piece_bytes"))
 
 

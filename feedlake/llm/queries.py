@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedlake.llm import language, toxicity
-from feedlake.llm.common import table
+from feedlake.llm import language, mixing, packing, toxicity
+from feedlake.llm.common import scanned, table
 from feedlake.llm.exact_dedup import OP3_SQL, exact_dedup
 from feedlake.llm.ngram_join import ngram_join
 from feedlake.llm.repeats import without_repeats
@@ -31,6 +31,14 @@ def op4_toxicity(spark, d):
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, d, "labels")))
 
 
+def op5_mixing(spark, d):
+    return mixing.schedule(scanned(table(spark, d, "documents"))).drop("row")
+
+
+def op6_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"))
+
+
 def op7_ngram_join(spark, d):
     return ngram_join(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
@@ -48,5 +56,6 @@ def op10_secrets(spark, d):
     return secrets(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_toxicity, op7_ngram_join, op8_language, op9_sharding, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_packing, op7_ngram_join,
+                                   op8_language, op9_sharding, op10_secrets)}
 ORACLE = {"op1_topk": OP1_SQL, "op3_exact_dedup": OP3_SQL}
