@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import uuid
+from collections.abc import Iterable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_parts(spark: SparkSession, parts: Iterable, schema: str, name: str) -> DataFrame:
+    """Write tables that the driver makes one by one to one folder of the shared checkpoint folder, and read it back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
