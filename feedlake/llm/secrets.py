@@ -5,10 +5,11 @@ always. Weak ones (user names and short access keys, short or unquoted secrets,
 endpoints) are reported only if a complementary part lies within SCOPE code
 points of them in the same text: an identifier needs a secret or an endpoint with
 one, a secret needs an identifier or an endpoint, an endpoint an identifier or a
-secret. The parts are intervals; they meet by an equi-join on text and stretch of
-SCOPE code points (each weak part in its own and both neighbouring stretches),
-then by distance, so a text of many parts is spread and no stretch holds more
-parts than its length allows.
+secret. The parts are intervals, and what lies between them counts: nothing if they
+overlap. They meet by an equi-join on text and stretch of SCOPE code points (each
+part in all stretches that it covers, a weak one also in the two beside them), then
+by distance, so a text of many parts is spread and no stretch holds more parts than
+its length allows.
 
 Positions are code points: a text is split at a pattern's matches, and the
 lengths of gaps and matches are summed up in order.
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 
 from feedlake.llm.common import scanned, stash, text_or_empty
 
-#: Code points between the starts of parts that belong to one credential.
+#: Code points between the end of a part and the start of the next that belong to one credential.
 SCOPE = 256
 # The three strong patterns; an access key or hex run too short for them is no match.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -62,11 +63,12 @@ def _matches(text: str):
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts (row, kind, start, end) that have a complementary part within ``scope`` code points."""
     roles = F.array(*(F.lit(k[3]) for k in KINDS.values()))
-    parts = parts.withColumn("role", F.element_at(roles, F.col("kind") + 1)).withColumn("stretch", F.floor(F.col("start") / scope))
-    weak = parts.where(F.col("kind") >= len(STRONG)).withColumn("stretch", F.explode(F.array(*(F.col("stretch") + i for i in (-1, 0, 1)))))
-    w, o = weak.alias("w"), parts.alias("o")
+    covered = lambda beside: F.explode(F.sequence(F.floor(F.col("start") / scope) - beside, F.floor(F.col("end") / scope) + beside))
+    parts = parts.withColumn("role", F.element_at(roles, F.col("kind") + 1))
+    w = parts.where(F.col("kind") >= len(STRONG)).withColumn("stretch", covered(1)).alias("w")
+    o = parts.withColumn("stretch", covered(0)).alias("o")
     near = (F.col("w.row") == F.col("o.row")) & (F.col("w.stretch") == F.col("o.stretch")) & (F.col("w.role") != F.col("o.role")) & (
-        F.abs(F.col("w.start") - F.col("o.start")) <= scope)
+        F.greatest("w.start", "o.start") - F.least("w.end", "o.end") <= scope)
     return w.join(o, near, "left_semi").select("row", "kind", "start", "end").distinct()
 
 
