@@ -3,10 +3,11 @@
 Words, with marks at both ends, are compared by their common subsequences of
 three characters within a span of five, a gap costing DECAY per skipped
 character; so insults with inserted or left-out characters and inflected stems
-stay alike. LANDMARKS words, witnesses of toxic sentences and common or easily
+stay alike. LANDMARKS words, witnesses of toxic documents and common or easily
 mistaken words of clean ones, span the Nystrom space. The machine is trained on
-labelled sentences: a toxic document's sentences are a bag, whose witnesses are
-the words of several toxic and of no clean document (found anew in ROUNDS rounds); words of clean sentences that
+words in place of sentences: a toxic document is a bag of words, whose witnesses
+are those that stand in several toxic documents and ABOVE times as often as in
+clean ones (found anew in ROUNDS rounds); other words of clean documents that
 look most toxic are added as hard negatives. A document's score is a logistic
 curve of the mean of its two highest word margins; THRESHOLD lies where it best
 parts clean and toxic documents of a quarter of the sample that the machine never saw.
@@ -45,8 +46,9 @@ BITS = 15
 LONG, WINDOW = 24, 16
 #: Words whose margins a task keeps.
 KEPT = 500_000
-#: Share and least number of the toxic texts that have a word which starts as a witness, if no clean one has it.
-SURE, FEW = 0.015, 3
+#: Share and least number of the toxic texts that have a word which starts as a witness; by what its share of the toxic texts
+#: exceeds that of the clean ones, some of which quote it or have a wrong label.
+SURE, FEW, ABOVE = 0.015, 3, 20
 #: Places of the further characters of a subsequence: three or four within a span of five.
 GAPS = [p for n in (2, 3) for p in combinations(range(1, 5), n)]
 EDGES = " \t\n\r\v\f.,;:!?\"'()[]{}<>|*#$%&@/\\-_=+~`^"
@@ -139,9 +141,9 @@ class Model:
                 seen[y].update({p for w in words for p in pieces(w)})
         n1, n0 = (toxic[~apart] == 1).sum(), (toxic[~apart] == 0).sum()
         telling = sorted(seen[1], key=lambda w: (-(seen[1][w] / n1 - 2 * seen[0][w] / n0) * (1 + (seen[0][w] == 0)), w))
-        clean = sorted(seen[0], key=lambda w: (-seen[0][w], w))
+        only = [w for w in telling if seen[1][w] >= max(2, SURE / 3 * n1) and seen[1][w] / n1 >= ABOVE * seen[0][w] / n0]
+        clean = sorted(seen[0].keys() - set(only), key=lambda w: (-seen[0][w], w))
         against = clean[:1000] + clean[1000::max(1, len(clean) // 3000)]
-        only = [w for w in telling if seen[1][w] >= max(2, SURE / 3 * n1) and not seen[0][w]]
         witnesses = [w for w in only if seen[1][w] >= max(FEW, SURE * n1)] or only[:10] or telling[:1]
         hard: list[str] = []
         for _ in range(ROUNDS):
