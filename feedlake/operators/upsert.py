@@ -18,10 +18,18 @@ from pyspark.sql import functions as F
 BUCKETS, KEEP = 64, 3
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``left`` joined with ``right`` on keys of which nulls are equal, without the right keys."""
+    own = {k: f"_right_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()]
+    return left.join(right.withColumnsRenamed(own), on, how).drop(*own.values())
+
+
 def latest_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """WIN-7 / UPS-1: last write wins per key in arrival order (``order`` must be unique)."""
+    """WIN-7 / UPS-1: last write wins per key in arrival order; one row of those equal in key and ``order``. Null is a key."""
     last = batch.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
-    return batch.join(last, keys).where(F.struct(*order).eqNullSafe(F.col("_last"))).select(*batch.columns)
+    latest = _joined(batch, last, keys, "inner").where(F.struct(*order).eqNullSafe(F.col("_last")))
+    return latest.select(*batch.columns).dropDuplicates(keys)
 
 
 def merge(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str],
@@ -35,9 +43,9 @@ def merge(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]
     if ingested_at is not None:
         new = new.withColumn("ingested_at", ingested_at)
     extra = [c for c in target.columns if c not in new.columns]
-    kept = target.join(new.select(*keys), keys, "left_anti")
+    kept = _joined(target, new.select(*keys), keys, "left_anti")
     if extra:
-        new = new.join(target.select(*keys, *extra), keys, "left")
+        new = _joined(new, target.select(*keys, *extra), keys, "left")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
