@@ -7,9 +7,11 @@ import sys
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from feedlake.session import ensure_checkpoint_dir
 
@@ -98,9 +100,9 @@ def sized(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` if it reads files as they lie, else a written copy: row numbers must come out alike each time."""
+    """``docs`` if it reads Parquet files as they lie, else a written copy: rows are numbered by file and place."""
     plan = docs._jdf.queryExecution().sparkPlan().toString()
-    plain = "FileScan" in plan and not re.search(r"Exchange|Join|Aggregate|Window|Sample|Limit|Union|Generate|Python|Pandas|Arrow", plan)
+    plain = "FileScan parquet" in plan and not re.search(r"Exchange|Join|Aggregate|Window|Sample|Limit|Union|Generate|Python|Pandas|Arrow", plan)
     return docs if plain else stash(docs, "input")
 
 
@@ -112,7 +114,44 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bits of a row's place in its file; the file's number stands above them.
+PLACE = 40
+#: The slashes behind the scheme of a path, which Spark writes as one or as three.
+SLASHES = r":/+"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` (scanned) with a column ``name`` that numbers its rows by file, in name order, and place in the file.
+
+    The numbers depend on the files alone, not on how a run splits them, so they
+    are alike in every job, whatever executors come and go. A file that is not
+    listed, or a place that is not known, is an error and never a wrong number.
+    """
+    files = sorted(re.sub(SLASHES, ":/", f) for f in docs.inputFiles())
+    spot, path, no = docs.metadataColumn("_metadata"), fresh(docs, "_file"), fresh(docs, "_file_no")
+    listed = docs.sparkSession.createDataFrame(pa.table({path: pa.array(files, pa.string()), no: pa.array(range(len(files)), pa.int64())}))
+    out = docs.withColumns({path: F.regexp_replace(spot["file_path"], SLASHES, ":/"), name: spot["row_index"]})
+    out = out.join(F.broadcast(listed) if len(files) <= SMALL_ROWS else listed, path, "left")
+    number = F.coalesce(F.shiftleft(no, PLACE) + F.col(name), F.raise_error(F.lit("a row of an unlisted file")).cast("long"))
+    return out.withColumn(name, number).select(*docs.columns, name)
+
+
+def rows_of(docs: DataFrame, **columns: str) -> DataFrame:
+    """``row``, the number of each row of ``docs`` (scanned), and the columns by their new names."""
+    n = fresh(docs, "_row")
+    return numbered(docs, n).select(F.col(n).alias("row"), *(F.col(c).alias(new) for new, c in columns.items()))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` (scanned) less the rows whose numbers ``gone(row)``, a written table, lists."""
     n = fresh(docs, "_row")
-    return docs.withColumn(n, F.monotonically_increasing_id()).join(sized(gone.withColumnRenamed("row", n)), n, "left_anti").drop(n)
+    return numbered(docs, n).join(sized(gone.withColumnRenamed("row", n)), n, "left_anti").drop(n)
+
+
+def merged(ranges: DataFrame) -> DataFrame:
+    """``ranges(row, a, b)`` of each row, from a up to b, merged where they touch or overlap."""
+    w = Window.partitionBy("row").orderBy("a", "b")
+    upto = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("a") <= F.col("upto"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return (ranges.withColumn("upto", upto).withColumn("island", island)
+            .groupBy("row", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("row", "a", "b"))

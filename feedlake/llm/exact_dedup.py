@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedlake.llm.common import BLANKS, scanned, ship, stash, without
+from feedlake.llm.common import BLANKS, rows_of, scanned, ship, stash, without
 
 #: Counters of a Misra-Gries summary, and so the most rows that are broadcast.
 COUNTERS = 1024
@@ -31,8 +31,7 @@ def normalised(text: str) -> Column:
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
-                       F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
+    return rows_of(docs, doc_id=doc_id, text=text).select("row", "doc_id", F.unhex(F.sha2(normalised("text"), 256)).alias("digest"))
 
 
 def summarise(counts: pd.Series, k: int) -> pd.Series:

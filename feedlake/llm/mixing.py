@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedlake.llm.common import fresh, scanned, sized, stash, stash_parts
+from feedlake.llm.common import fresh, numbered as row_numbers, rows_of, scanned, sized, stash, stash_parts
 
 #: Slots of a plan of whole shares, documents of a block, and blocks that are planned and written at a time.
 SLOTS, BLOCK, PLANNED = 1000, 16, 200_000
@@ -114,8 +114,7 @@ def numbered(docs: DataFrame, source: str, doc_id: str) -> DataFrame:
     ranges; a number is the rank in the range after the counts of the earlier ones.
     """
     order = [F.col("source"), F.col("doc_id").asc_nulls_last(), F.col("row")]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
-                       F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("source"))
+    rows = rows_of(docs, doc_id=doc_id, source=source).withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
     ranged = stash(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (ranged.groupBy("source", "range").agg(F.count("*").alias("n"))
@@ -153,4 +152,4 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     docs = scanned(docs)
     row, slot, at = (fresh(docs, n) for n in ("_row", "_slot", "_at"))
     plan = stash(schedule(docs, weights, source, doc_id, block, slots).select("row", "mix_slot", "mix_at").toDF(row, slot, at), "mix-plan")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(sized(plan), row).orderBy(slot, at).select(*docs.columns)
+    return row_numbers(docs, row).join(sized(plan), row).orderBy(slot, at).select(*docs.columns)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedlake.llm import language, mixing, packing, toxicity
+from feedlake.llm import language, mixing, packing, periodic, toxicity
+from feedlake.llm.anchors import without_passages
 from feedlake.llm.common import scanned, table
 from feedlake.llm.exact_dedup import OP3_SQL, exact_dedup
 from feedlake.llm.ngram_join import ngram_join
 from feedlake.llm.repeats import without_repeats
+from feedlake.llm.search import OP12_SQL, search
 from feedlake.llm.secrets import secrets
 from feedlake.llm.sharding import shard
 from feedlake.llm.topk import OP1_SQL, top_k
@@ -56,6 +58,19 @@ def op10_secrets(spark, d):
     return secrets(table(spark, d, "documents"))
 
 
+def op11_passages(spark, d):
+    return without_passages(table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_search(spark, d):
+    return search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13_periodic(spark, d):
+    docs = table(spark, d, "documents")
+    return periodic.digests(periodic.periodic_runs(docs.select("doc_id", periodic.looped(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_topk, op2_suffix_dedup, op3_exact_dedup, op4_toxicity, op5_mixing, op6_packing, op7_ngram_join,
-                                   op8_language, op9_sharding, op10_secrets)}
-ORACLE = {"op1_topk": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+                                   op8_language, op9_sharding, op10_secrets, op11_passages, op12_search, op13_periodic)}
+ORACLE = {"op1_topk": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op12_search": OP12_SQL}

@@ -35,9 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from feedlake.llm.common import scanned, ship, stash
+from feedlake.llm.common import merged, rows_of, scanned, ship, stash
 from feedlake.llm.shingles import STEP, chunks, mixed, utf8
 
 SPAN, GRAM = 200, 32
@@ -170,11 +169,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         nodes = stash(beside(todo, onward, docs).select("row", "text", "todo").mapInArrow(_stretches(step), NODE), f"repeat-{step}")
         more, onward = split(nodes, "common", "whole", step, f"repeat-{step}")
         settled = settled.union(more)
-    w = Window.partitionBy("row").orderBy("a", "b")
-    upto = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("a") <= F.col("upto"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return (settled.withColumn("upto", upto).withColumn("island", island)
-            .groupBy("row", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("row", "a", "b"))
+    return merged(settled)
 
 
 def _remove(kind: str):
@@ -200,7 +195,7 @@ def _remove(kind: str):
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kind: str = "digest") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or, of kind "bytes", kept)."""
-    rows = scanned(docs).select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = rows_of(scanned(docs), doc_id=doc_id, text=text)
     ranges = stash(repeated(rows.select("row", "text")), "repeat-ranges")
     cuts = ranges.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     id_type = rows.schema["doc_id"].dataType.simpleString()

@@ -51,12 +51,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each row the index of its first word (one more at the end)."""
+def words(data: np.ndarray, at: np.ndarray, lower: np.ndarray | None = LOWER, between: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each row the index of its first word (one more at the end).
+
+    Words are what lies between the bytes that ``between`` marks; ``lower`` maps their bytes (None: as they are).
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    low = LOWER[data]
-    blank = BLANK[low]
+    low = data if lower is None else lower[data]
+    blank = between[low]
     start = ~blank
     start[1:] &= blank[:-1]
     first = at[:-1][at[:-1] < at[1:]]
