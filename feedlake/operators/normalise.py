@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedlake.functions import json as J
@@ -32,23 +32,26 @@ def _fields(df: DataFrame, raw_col: str, keys: list[str], keep: list[str]):
     return J.stage_fields(df, raw_col, keys, keep)
 
 
-def _finish(df: DataFrame, cols: dict[str, Column], keep: list[str]) -> DataFrame:
-    """Project the canonical columns and drop records without an id (FLT-1).
+def has_id() -> Column:
+    return F.coalesce(F.length("external_id") > 0, F.lit(False))
+
+
+def _finish(df: DataFrame, cols: dict[str, Column], keep: list[str], drop: bool) -> DataFrame:
+    """Project the canonical columns and drop records without an id (FLT-1), or keep them (``drop`` unset).
 
     The drop is a generator of zero or one row per record rather than a
     filter: the optimizer would push a filter on ``external_id`` below the
-    staged projections and evaluate the JSON parse a second time (and, for a
-    spread input, before the shuffle in the scan stage).
+    staged projections and evaluate the JSON parse a second time.
     """
     out = df.select(*keep, *[cols[n].cast(CANONICAL[n].dataType).alias(n) for n in CANONICAL_FIELDS])
-    names = keep + CANONICAL_FIELDS
-    has_id = F.coalesce(F.length("external_id") > 0, F.lit(False))
-    row = F.struct(*[F.col(c) for c in names])
-    return out.select(F.inline(F.filter(F.array(row), lambda _: has_id)))
+    if not drop:
+        return out
+    row = F.struct(*[F.col(c) for c in keep + CANONICAL_FIELDS])
+    return out.select(F.inline(F.filter(F.array(row), lambda _: has_id())))
 
 
 def normalise_flat(df: DataFrame, source: str = "feed_a", raw_col: str = "raw",
-                   keep: list[str] | None = None) -> DataFrame:
+                   keep: list[str] | None = None, drop: bool = True) -> DataFrame:
     """NRM-A: flat-array feed (id, position, company, url, slug, epoch/date, salaries, tags)."""
     keep = keep or []
     df, g = _fields(df, raw_col, ["id", "position", "company", "location", "slug", "url", "apply_url", "tags",
@@ -71,11 +74,11 @@ def normalise_flat(df: DataFrame, source: str = "feed_a", raw_col: str = "raw",
         "posted_at": R.posted_from_epoch(g("epoch"), g("date")),
         "raw": F.col("_raw"),
     }
-    return _finish(df, cols, keep)
+    return _finish(df, cols, keep, drop)
 
 
 def normalise_cursor(df: DataFrame, source: str = "feed_b", raw_col: str = "raw",
-                     keep: list[str] | None = None) -> DataFrame:
+                     keep: list[str] | None = None, drop: bool = True) -> DataFrame:
     """NRM-B: cursor-paged search feed (job_* keys)."""
     keep = keep or []
     df, g = _fields(df, raw_col, ["job_id", "job_title", "employer_name", "job_location", "job_city", "job_state",
@@ -100,11 +103,11 @@ def normalise_cursor(df: DataFrame, source: str = "feed_b", raw_col: str = "raw"
         "posted_at": R.posted_iso_first(g("job_posted_at_datetime_utc"), g("job_posted_at_timestamp")),
         "raw": F.col("_raw"),
     }
-    return _finish(df, cols, keep)
+    return _finish(df, cols, keep, drop)
 
 
 def normalise_paged(df: DataFrame, source: str = "feed_c", raw_col: str = "raw",
-                    keep: list[str] | None = None) -> DataFrame:
+                    keep: list[str] | None = None, drop: bool = True) -> DataFrame:
     """NRM-C: page-numbered board feed (slug, title, company_name, booleans, created_at)."""
     keep = keep or []
     df, g = _fields(df, raw_col, ["slug", "title", "company_name", "location", "url", "tags", "visa_sponsorship",
@@ -125,7 +128,7 @@ def normalise_paged(df: DataFrame, source: str = "feed_c", raw_col: str = "raw",
         "posted_at": R.posted_from_epoch(g("created_at")),
         "raw": F.col("_raw"),
     }
-    return _finish(df, cols, keep)
+    return _finish(df, cols, keep, drop)
 
 
 def parse_counts(raw: DataFrame, normalised: DataFrame, by: list[str]) -> DataFrame:
@@ -138,6 +141,17 @@ def parse_counts(raw: DataFrame, normalised: DataFrame, by: list[str]) -> DataFr
                     (F.col("received") - F.coalesce("parsed", F.lit(0))).cast("bigint").alias("skipped")))
 
 
+def counted(raw: DataFrame, spec: FeedSpec, name: str | Observation, raw_col: str = "raw", keep: list[str] | None = None) -> DataFrame:
+    """AGG-5 in the pass that writes: normalised records, observed under ``name`` as received, parsed and skipped.
+
+    Each received record is one row until it has been counted; the counters add no scan and no shuffle.
+    """
+    keep = keep or []
+    whole = spec.normaliser(raw, source=spec.source_id, raw_col=raw_col, keep=keep, drop=False)
+    ok = F.count_if(has_id())
+    return whole.observe(name, F.count(F.lit(1)).alias("received"), ok.alias("parsed"), F.count_if(~has_id()).alias("skipped")).where(has_id())
+
+
 @dataclass(frozen=True)
 class FeedSpec:
     """A registered feed: identity, batch rules and its normaliser."""

@@ -8,7 +8,7 @@ spread over many tasks; only one row per (key, bucket) crosses buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.functions import rules as R
@@ -86,16 +86,19 @@ def run_report(logs: DataFrame, width: int = 80) -> DataFrame:
         F.substring(F.coalesce(F.col("error"), F.lit("—")), 1, width).alias("detail_text"))
 
 
+def health_metrics() -> list[Column]:
+    """Runs, success rate, block rate, drift count and latency of a group of run logs."""
+    lat = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / F.lit(1e6)
+    return [F.count(F.lit(1)).cast("bigint").alias("runs"),
+            F.round(F.avg(F.col("error").isNull().cast("double")), 4).alias("success_rate"),
+            F.round(F.avg((F.col("block_count") > 0).cast("double")), 4).alias("block_rate"),
+            F.count_if("schema_drift").cast("bigint").alias("drift_count"),
+            F.round(F.avg(lat), 3).alias("avg_latency_s")]
+
+
 def source_health(logs: DataFrame, period: str = "day") -> DataFrame:
     """AGG-10: per source and period: runs, success rate, block rate, drift count, latency."""
-    lat = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / F.lit(1e6)
-    return (logs.withColumn("period", F.date_trunc(period, "started_at"))
-            .groupBy("source", "period").agg(
-                F.count(F.lit(1)).cast("bigint").alias("runs"),
-                F.round(F.avg(F.col("error").isNull().cast("double")), 4).alias("success_rate"),
-                F.round(F.avg((F.col("block_count") > 0).cast("double")), 4).alias("block_rate"),
-                F.count_if("schema_drift").cast("bigint").alias("drift_count"),
-                F.round(F.avg(lat), 3).alias("avg_latency_s")))
+    return logs.withColumn("period", F.date_trunc(period, "started_at")).groupBy("source", "period").agg(*health_metrics())
 
 
 def registry_frame(spark: SparkSession) -> DataFrame:

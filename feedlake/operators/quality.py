@@ -238,3 +238,32 @@ def redirect_check(df: DataFrame, requested_col: str, final_col: str) -> DataFra
     a = F.lower(F.parse_url(F.col(requested_col), F.lit("HOST")))
     b = F.lower(F.parse_url(F.col(final_col), F.lit("HOST")))
     return df.withColumn("unexpected_redirect", F.coalesce(a != b, F.lit(True)))
+
+
+#: Items of a quantile sketch's top level; counts up to it are kept exactly, beyond it the rank error is under 0.1 %.
+SKETCH = 4096
+
+
+def size_sketches(sizes: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """VAL-9: a quantile sketch of each measure per group; sketches of parts merge (``merge_sketches``)."""
+    return sizes.groupBy(*by).agg(*[F.kll_sketch_agg_bigint(m, SKETCH).alias(m) for m in measures])
+
+
+def merge_sketches(sketches: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """One sketch per group and measure from those of several batches."""
+    return sketches.groupBy(*by).agg(*[F.kll_merge_agg_bigint(m, SKETCH).alias(m) for m in measures])
+
+
+def learned_range_check(sizes: DataFrame, sketches: DataFrame, by: list[str], measures: list[str], low: float = 0.01,
+                        high: float = 0.99, slack: float = 2.0) -> DataFrame:
+    """VAL-9: each response's measures against the range that its group's history has shown.
+
+    The range runs from the ``low`` quantile divided by ``slack`` to the ``high`` one times ``slack``. A group without
+    history has status ``unknown``. Only sketches, a row for each group, are joined to the responses.
+    """
+    at = lambda m, q: F.kll_sketch_get_quantile_bigint(F.col(f"_{m}"), F.lit(q))
+    learned = sketches.select(*by, *[F.col(m).alias(f"_{m}") for m in measures]).select(
+        *by, *[c for m in measures for c in ((at(m, low) / slack).alias(f"_{m}_low"), (at(m, high) * slack).alias(f"_{m}_high"))])
+    status = lambda m: (F.when(F.col(f"_{m}_low").isNull(), "unknown").when(F.col(m) < F.col(f"_{m}_low"), "too_few")
+                        .when(F.col(m) > F.col(f"_{m}_high"), "too_many").otherwise("ok"))
+    return sizes.join(learned, by, "left").select(*sizes.columns, *[status(m).alias(f"{m}_status") for m in measures])

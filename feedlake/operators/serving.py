@@ -7,8 +7,9 @@ a per-partition top-k followed by a merge of k rows per partition
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from feedlake.functions import rules as R
 
@@ -107,6 +108,39 @@ def page_slice(df: DataFrame, page: int, total_items: int, per_page: int = ITEMS
             .withColumn("page", F.lit(p).cast("bigint")))
 
 
+def store_ranked(df: DataFrame, path: str, ranges: int, order: list[Column] | None = None) -> None:
+    """WIN-1 for deep pages: ``df`` written in ranges of the serving order, and an index of their counts (a row for each range).
+
+    One range sort; a range is one partition folder, so a page reads only the folders that hold it.
+    """
+    order = order or newest_first()
+    (df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).sortWithinPartitions(*order)
+     .write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows"))
+    df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
+    counts = _ranked_rows(df.sparkSession, path).groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts.withColumn("before", before).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def _ranked_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(spark.read.parquet(f"{path}/schema").schema.add("_range", IntegerType())).parquet(f"{path}/rows")
+
+
+def stored_page(spark: SparkSession, path: str, page: int, per_page: int = ITEMS_PER_PAGE, order: list[Column] | None = None) -> DataFrame:
+    """WIN-1: a page of a ``store_ranked`` table, clamped like ``page_slice``; only the ranges that hold it are read.
+
+    The index names them: at most as many as a page has rows come to the driver, and the total.
+    """
+    index = spark.read.parquet(f"{path}/index")
+    total = index.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    p = min(max(page, 1), max(1, -(-total // per_page)))
+    lo, hi = (p - 1) * per_page, p * per_page
+    holds = sorted((r["_range"], r["before"]) for r in index.where((F.col("before") < hi) & (F.col("before") + F.col("n") > lo)).collect())
+    rows = _ranked_rows(spark, path).where(F.col("_range").isin([r for r, _ in holds])).drop("_range")
+    skipped = holds[0][1] if holds else 0
+    return (rows.orderBy(*(order or newest_first())).limit(hi - skipped).offset(lo - skipped).withColumn("page", F.lit(p).cast("bigint")))
+
+
 # ------------------------------------------------------------ cards
 
 def cards(df: DataFrame, as_of: Column, primary_source: str = "feed_a", primary_label: str = "Feed A",

@@ -1,24 +1,22 @@
 """Idempotent keyed upsert of a batch into a snapshot table, and its counters.
 
-No merge-capable table format is assumed. A snapshot is a set of key-hash
-buckets; a merge reads and rewrites only the buckets that the batch touches and
-commits a manifest that names the folder of every bucket.
-
-Scale notes: the newest row of a key is found by an aggregation of keys and
-order alone, which combines map-side; the winners then pick their full rows.
-After that both join sides hold unique keys, so the anti join has no skew.
+Here are the merge of two tables and its counters; ``snapshots`` keeps a stored
+snapshot, batch by batch.
+
+Scale notes: the newest order of a key is found by an aggregation of keys and
+order alone, which combines map-side. The winners' full rows are picked by a join
+on keys and order together, so the rows of a hot key spread over all tasks; only
+rows that are equal in both meet again. After that both join sides hold unique
+keys, so the anti join has no skew.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of a snapshot, and committed versions that are kept for replays.
-BUCKETS, KEEP = 64, 3
-
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """``left`` joined with ``right`` on keys of which nulls are equal, without the right keys."""
     own = {k: f"_right_{k}" for k in keys}
     on = [F.col(k).eqNullSafe(F.col(n)) for k, n in own.items()]
@@ -27,25 +25,46 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
 
 def latest_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """WIN-7 / UPS-1: last write wins per key in arrival order; one row of those equal in key and ``order``. Null is a key."""
-    last = batch.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
-    latest = _joined(batch, last, keys, "inner").where(F.struct(*order).eqNullSafe(F.col("_last")))
-    return latest.select(*batch.columns).dropDuplicates(keys)
+    newest = F.max(order[0]).alias("_last") if len(order) == 1 else F.max(F.struct(*order)).alias("_last")
+    last = batch.groupBy(*keys).agg(newest)
+    last = last.select(*keys, *([F.col("_last").alias(order[0])] if len(order) == 1 else [F.col("_last")[c].alias(c) for c in order if c not in keys]))
+    on = list(dict.fromkeys(keys + order))
+    return joined(batch, last, on, "left_semi").dropDuplicates(keys)
+
+
+def only_newer(rows: DataFrame, target: DataFrame, keys: list[str], event_time: str) -> DataFrame:
+    """The rows that may replace the target's: those of keys it has not, and those that are no older than its row by ``event_time``.
+
+    A row without event time is older than any with one, and replaces one without.
+    """
+    theirs = target.select(*keys, F.col(event_time).alias("_theirs"), F.lit(True).alias("_held"))
+    own = joined(rows, theirs, keys, "left")
+    older = F.col("_held") & F.col("_theirs").isNotNull() & (F.col(event_time).isNull() | (F.col(event_time) < F.col("_theirs")))
+    return own.where(~F.coalesce(older, F.lit(False))).select(*rows.columns)
+
+
+def stamped(order: list[str], event_time: str | None) -> list[str]:
+    """The order in which rows of a key win: by event time first where one is given."""
+    return ([event_time] if event_time else []) + order
 
 
 def merge(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str],
-          ingested_at: Column | None = None) -> DataFrame:
+          ingested_at: Column | None = None, event_time: str | None = None) -> DataFrame:
     """UPS-1/UPS-2: the snapshot after upserting ``batch`` into ``target``.
 
     Every field that the batch has is replaced on a matched key; fields that
     only the target has survive. ``ingested_at`` is stamped on written rows.
+    With ``event_time`` the newest row by it wins, and one that is older than
+    the target's changes nothing.
     """
-    new = latest_per_key(batch, keys, order)
+    new = latest_per_key(batch, keys, stamped(order, event_time))
+    new = only_newer(new, target, keys, event_time) if event_time else new
     if ingested_at is not None:
         new = new.withColumn("ingested_at", ingested_at)
     extra = [c for c in target.columns if c not in new.columns]
-    kept = _joined(target, new.select(*keys), keys, "left_anti")
+    kept = joined(target, new.select(*keys), keys, "left_anti")
     if extra:
-        new = _joined(new, target.select(*keys, *extra), keys, "left")
+        new = joined(new, target.select(*keys, *extra), keys, "left")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
@@ -67,88 +86,3 @@ def upsert_counts(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataF
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """UPS-5: keys held by more than one row (empty for a valid snapshot)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-
-
-# ------------------------------------------------------------ versioned snapshots
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path's own file system has it; any other error is raised."""
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _committed(spark: SparkSession, root: str) -> list[int]:
-    if not exists(spark, f"{root}/_versions"):
-        return []
-    fs, p = _fs(spark, f"{root}/_versions")
-    names = [f.getPath().getName() for f in fs.listStatus(p)]
-    return sorted(int(n) for n in names if n.isdigit() and exists(spark, f"{root}/_versions/{n}/_SUCCESS"))
-
-
-def _manifest(spark: SparkSession, root: str, version: int) -> dict[int, str]:
-    """Folder of each bucket (BUCKETS rows at most)."""
-    rows = spark.read.schema("bucket int, path string").json(f"{root}/_versions/{version:012d}").collect()
-    return {r["bucket"]: r["path"] for r in rows}
-
-
-def _before(spark: SparkSession, root: str, before: int | None) -> dict[int, str]:
-    versions = [v for v in _committed(spark, root) if before is None or v < before]
-    return _manifest(spark, root, versions[-1]) if versions else {}
-
-
-def current_snapshot(spark: SparkSession, root: str, before: int | None = None,
-                     buckets: list[int] | None = None) -> DataFrame | None:
-    """The newest committed version under ``root`` (older than ``before`` if given), or some of its buckets.
-
-    A replayed batch ``n`` passes ``before=n`` so it reads the state it was
-    first applied to, never the version it is about to rewrite.
-    """
-    held = _before(spark, root.rstrip("/"), before)
-    paths = sorted(p for b, p in held.items() if buckets is None or b in buckets)
-    return spark.read.parquet(*paths) if paths else None
-
-
-def bucket_of(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-
-
-def touched_buckets(batch: DataFrame, keys: list[str]) -> list[int]:
-    return sorted(r[0] for r in batch.select(bucket_of(keys)).distinct().collect())
-
-
-def publish_snapshot(spark: SparkSession, df: DataFrame, root: str, version: int, keys: list[str],
-                     touched: list[int] | None = None) -> None:
-    """Write the touched buckets of ``df`` (all by default) as version ``version``, then commit the manifest.
-
-    Untouched buckets keep the folders of the version before. The manifest is
-    written last, so a half-written version is never read; running the same
-    version again rewrites it. Versions older than the newest KEEP are retired.
-    """
-    root = root.rstrip("/")
-    touched = list(range(BUCKETS)) if touched is None else touched
-    held = {b: p for b, p in _before(spark, root, version).items() if b not in touched}
-    path = f"{root}/v={version:012d}"
-    (df.withColumn("_bucket", bucket_of(keys)).repartition(max(1, len(touched)), "_bucket")
-     .write.mode("overwrite").partitionBy("_bucket").parquet(path))
-    held |= {b: f"{path}/_bucket={b}" for b in touched if exists(spark, f"{path}/_bucket={b}")}
-    spark.createDataFrame(sorted(held.items()), "bucket int, path string").coalesce(1).write.mode(
-        "overwrite").json(f"{root}/_versions/{version:012d}")
-    _retire(spark, root)
-
-
-def _retire(spark: SparkSession, root: str) -> None:
-    """Drop old manifests, then bucket folders that no kept manifest names."""
-    versions = _committed(spark, root)
-    named = {p for v in versions[-KEEP:] for p in _manifest(spark, root, v).values()}
-    for v in versions[:-KEEP]:
-        old = _manifest(spark, root, v)
-        fs, p = _fs(spark, f"{root}/_versions/{v:012d}")
-        fs.delete(p, True)
-        for path in set(old.values()) - named:
-            fs, p = _fs(spark, path)
-            fs.delete(p, True)

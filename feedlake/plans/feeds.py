@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from feedlake.operators import normalise as N
-from feedlake.plans.registry import query
+from feedlake.plans.registry import ORACLE, query
 from feedlake.plans.sql import FEED_C_TS
 from feedlake.sources.tables import raw_feed_a, raw_feed_b, raw_feed_c
 
@@ -95,6 +96,17 @@ def parse_skip_counts(spark, d):
     return out
 
 
+@query("parse_observed_counts", ORACLE["parse_skip_counts"])
+def parse_observed_counts(spark, d):
+    """AGG-5/STR-8: the same counts, taken by observation in the pass that writes each feed's normalised records."""
+    rows = []
+    for src, raw in (("feed_a", raw_feed_a), ("feed_b", raw_feed_b), ("feed_c", raw_feed_c)):
+        seen = Observation()
+        N.counted(raw(spark, d), N.REGISTRY[src], seen).write.format("noop").mode("overwrite").save()
+        rows.append((src, seen.get["received"], seen.get["parsed"], seen.get["skipped"]))
+    return spark.createDataFrame(rows, "source string, received long, parsed long, skipped long")
+
+
 _KEYS_A = ["id", "position", "company", "url", "slug", "apply_url", "epoch", "date", "location", "tags",
            "salary_min", "salary_max"]
 _KEYS_C = ["slug", "title", "company_name", "url", "location", "tags", "visa_sponsorship", "four_day_week",

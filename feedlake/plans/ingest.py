@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedlake.operators import ops as O
 from feedlake.operators import quality as Q
+from feedlake.operators import snapshots as S
 from feedlake.operators import upsert as U
 from feedlake.plans.quality import _GATE_SQL, REQUIRED, _known_snapshot, _verdicts
 from feedlake.plans.registry import query
 from feedlake.plans.sql import LISTINGS_CTE
+from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources.tables import GATE_BATCH, gate_payloads, listings, table
 
 KEYS = ["event_type", "user_id"]
@@ -51,6 +55,36 @@ def upsert_snapshot(spark, d):
     return U.merge(old, new, KEYS, ORDER)
 
 
+LATE = "event_id % 5 = 0"
+
+
+@query("upsert_event_time", f"""
+with e as (select event_type, user_id, event_id, value, ts >= timestamp '{SPLIT}' as is_new,
+             case when ts >= timestamp '{SPLIT}' and {LATE} then ts - interval 12 days else ts end as ts from events),
+old as (select * from e where not is_new qualify row_number() over (partition by event_type, user_id order by ts desc, event_id desc) = 1),
+new as (select * from e where is_new qualify row_number() over (partition by event_type, user_id order by ts desc, event_id desc) = 1)
+select event_type, user_id, event_id, ts, value, case when is_new then 'new' else 'old' end as batch
+from (select * from old union all select * from new)
+qualify row_number() over (partition by event_type, user_id order by ts desc, is_new desc) = 1""")
+def upsert_event_time(spark, d):
+    """UPS-1 with the event-time flag: every fifth record of days 16-30 comes 12 days late and loses to newer stored ones."""
+    old, new = _old_new(spark, d)
+    late = F.when(F.expr(LATE), F.timestamp_add("DAY", F.lit(-12), F.col("ts"))).otherwise(F.col("ts"))
+    return U.merge(old, new.withColumn("ts", late), KEYS, ["event_id"], event_time="ts")
+
+
+@query("snapshot_deltas", """
+select event_type, user_id, event_id, ts, value from events
+qualify row_number() over (partition by event_type, user_id order by event_id % 6 desc, ts desc, event_id desc) = 1""")
+def snapshot_deltas(spark, d):
+    """UPS-1/STR-3: six batches upserted one by one into a stored snapshot, read back by merging deltas with split buckets."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshots/{uuid.uuid4().hex}"
+    e = _events(spark, d)
+    for n in range(6):
+        S.upsert(spark, e.where(F.col("event_id") % 6 == n), root, n, KEYS, ORDER, policy=S.Policy(limit=20_000, least=500, share=0.5))
+    return S.read(spark, root, KEYS).select("event_type", "user_id", "event_id", "ts", "value")
+
+
 @query("upsert_counts", _UPS_SQL + """
 select cast(success_count as bigint) as success_count, cast(insert_count as bigint) as insert_count,
   cast(success_count - insert_count as bigint) as update_count from counts""")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedlake.operators import serving as S
 from feedlake.plans.registry import query
 from feedlake.plans.sql import LISTINGS_CTE, NEWEST_FIRST
+from feedlake.session import ensure_checkpoint_dir
 from feedlake.sources.tables import listings
 
 # Fixed "now" for every time-relative view, so results are reproducible.
@@ -83,6 +86,18 @@ def page_slice(spark, d):
     return S.page_slice(df, PAGE, total)
 
 
+@query("page_deep", LISTINGS_CTE + f"""
+select * exclude (i, n), cast(ceil(n / 16.0) as bigint) as page
+from (select *, row_number() over (order by {NEWEST_FIRST}) - 1 as i, count(*) over () as n from listings where remote = true)
+where i >= (ceil(n / 16.0) - 1) * 8 and i < ceil(n / 16.0) * 8""")
+def page_deep(spark, d):
+    """WIN-1: the middle page of the remote filter, read from the two or three ranges of the stored order that hold it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pages/{uuid.uuid4().hex}"
+    S.store_ranked(S.remote_only(listings(spark, d)), path, 64)
+    total = spark.read.parquet(f"{path}/index").agg(F.sum("n")).first()[0]
+    return S.stored_page(spark, path, -(-total // 16))
+
+
 _CARD_SQL = """
 select source, external_id,
   case when source = 'feed_a' then 'Feed A' else 'Feed B' end as source_label,

@@ -236,6 +236,30 @@ def length_range_check(spark, d):
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), "length_status")
 
 
+_SIZED_TEXT = "case when doc_id % 74 = 1 then '' when doc_id % 82 = 3 then repeat(text, 50) else text end"
+
+
+@query("learned_size_check", f"""
+with sizes as (select doc_id, source, cast(length(t) as bigint) as n_chars, cast(len(string_split(t, ' ')) as bigint) as n_elements
+               from (select doc_id, source, {_SIZED_TEXT} as t from documents)),
+learned as (select source, quantile_disc(n_chars, 0.01) / 2.0 as c0, quantile_disc(n_chars, 0.99) * 2.0 as c1,
+              quantile_disc(n_elements, 0.01) / 2.0 as e0, quantile_disc(n_elements, 0.99) * 2.0 as e1
+            from sizes where doc_id % 2 = 0 group by source)
+select doc_id, source, n_chars, n_elements,
+  case when c0 is null then 'unknown' when n_chars < c0 then 'too_few' when n_chars > c1 then 'too_many' else 'ok' end as n_chars_status,
+  case when e0 is null then 'unknown' when n_elements < e0 then 'too_few' when n_elements > e1 then 'too_many' else 'ok' end as n_elements_status
+from sizes left join learned using (source) where doc_id % 2 = 1""")
+def learned_size_check(spark, d):
+    """VAL-9: lengths and element counts of odd documents against ranges learned from even ones, in two merged parts per
+    source; some odd ones are planted empty or fiftyfold."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.expr(_SIZED_TEXT).alias("t"))
+    sizes = docs.select("doc_id", "source", F.length("t").cast("bigint").alias("n_chars"), F.size(F.split("t", " ")).cast("bigint").alias("n_elements"))
+    by, measures = ["source"], ["n_chars", "n_elements"]
+    parts = [Q.size_sketches(sizes.where(f"doc_id % 4 = {r}"), by, measures) for r in (0, 2)]
+    history = Q.merge_sketches(parts[0].unionByName(parts[1]), by, measures)
+    return Q.learned_range_check(sizes.where("doc_id % 2 = 1"), history, by, measures)
+
+
 _FINAL_URL = "case when page_id % 9 = 4 then regexp_replace(url, '://[^/?#]+', '://redirect.example') else url end"
 
 

@@ -25,12 +25,16 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from feedlake.functions import rules as R
 from feedlake.operators import cooldown as CD
+from feedlake.operators import normalise as N
+from feedlake.operators import ops as O
 from feedlake.operators import quality as Q
-from feedlake.operators import upsert as U
+from feedlake.operators import snapshots as S
 from feedlake.operators.normalise import REGISTRY, FeedSpec
 
 KEY = ["source", "external_id"]
 KEY_OF_BATCH = Q.KEY
+LOG_SCHEMA = ("source string, batch_id long, batch_key string, started_at timestamp_ntz, finished_at timestamp_ntz, success_count long, "
+              "insert_count long, update_count long, block_count long, schema_drift boolean, error string")
 
 
 @dataclass
@@ -69,10 +73,23 @@ def landing_stream(spark: SparkSession, landing: str, max_files_per_trigger: int
                      F.col("_metadata.file_modification_time").alias("arrived"), F.col("value").alias("payload"))
 
 
+def first_arrivals(landed: DataFrame, delay: str) -> DataFrame:
+    """Of equal payloads of a source that land within ``delay`` of each other the first; state is kept as long, no longer.
+
+    For feeds that land a body more than once. A body that comes again later is a
+    new one as soon as a micro-batch has closed with the watermark behind the
+    first. Bodies that arrive later than the watermark, ``delay``
+    behind the newest arrival, cannot be judged and do not pass; ``RunMetrics``
+    counts them as ``late``.
+    """
+    return (landed.withColumn("_digest", F.sha2("payload", 256)).withWatermark("arrived", delay)
+            .dropDuplicatesWithinWatermark(["source", "_digest"]).drop("_digest"))
+
+
 def _latest_snapshot_fields(spark: SparkSession, paths: Paths, before: int) -> DataFrame:
     """Newest saved field set per source from micro-batches before ``before``
     (a replayed batch never reads what it is about to rewrite)."""
-    if not U.exists(spark, paths.snapshots):
+    if not S.exists(spark, paths.snapshots):
         return spark.createDataFrame([], "source string, fields array<string>")
     snaps = spark.read.parquet(paths.snapshots).where(F.col("batch") < before)
     return Q.latest_snapshot(snaps.withColumnRenamed("batch", "batch_id"), F.lit(None)).select("source", "fields")
@@ -83,7 +100,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Paths,
-                 feeds: dict[str, FeedSpec] | None = None, now=None) -> DataFrame:
+                 feeds: dict[str, FeedSpec] | None = None, now=None, event_time: str | None = None) -> DataFrame:
     """STR-2: one cycle over the payloads of a micro-batch; returns its run log.
 
     ``payloads``: (source, batch_key, payload[, arrived]); each payload is one
@@ -98,6 +115,8 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Pa
     Drift compares the fields that a feed's spec declares stable (its required
     keys and ``stable_keys``) with the last good snapshot, by a vote of the
     whole batch; other keys may come and go.
+
+    With ``event_time`` (``posted_at``) a record that is older than the stored one does not replace it.
     """
     feeds = feeds or REGISTRY
     now = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
@@ -144,20 +163,15 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Pa
     sample = held.select(*KEY_OF_BATCH, F.coalesce("pos", F.lit(0).cast("bigint")).alias("pos"), "raw")
     Q.dead_letters(sample, rejected, now).write.mode("overwrite").parquet(f"{paths.dead_letters}/batch={batch}")
 
-    # upsert into the touched buckets of the listing snapshot, published as version `batch` (UPS-1, STR-3)
-    order = ["arrived", "batch_key", "pos"]
+    # upsert into the listing snapshot as version `batch`: the batch's own rows, merged on read (UPS-1, STR-3)
     rows = good.drop("batch_id")
-    touched = U.touched_buckets(rows, KEY)
-    target = U.current_snapshot(spark, paths.listings, before=batch, buckets=touched)
-    if target is None:
-        target = spark.createDataFrame([], rows.drop(*order).schema).withColumn(
-            "ingested_at", F.lit(None).cast("timestamp_ntz"))
-    merged = U.merge(target, rows, KEY, order, ingested_at=now).drop(*order)
+    target = S.read(spark, paths.listings, KEY, before=batch, of=rows)
     first = good.groupBy(*KEY).agg(F.min(F.struct("arrived", "batch_key", "batch_id")).alias("_f"))
-    new_keys = first.join(target.select(*KEY), KEY, "left_anti").groupBy(
-        F.col("_f.batch_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("insert_count"))
+    first = first if target is None else first.join(target.select(*KEY), KEY, "left_anti")
+    new_keys = first.groupBy(F.col("_f.batch_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("insert_count"))
     written = good.groupBy(*KEY_OF_BATCH).agg(F.count(F.lit(1)).alias("success_count"))
-    U.publish_snapshot(spark, merged, paths.listings, batch, KEY, touched)
+    order = ["arrived", "batch_key", "pos"]
+    S.upsert(spark, rows, paths.listings, batch, KEY, order, ingested_at=now, event_time=event_time, transient=order)
 
     # schema snapshot: the newest passing, drift-free batch's fields per source (SNK-3)
     fields = Q.snapshot_fields(docs.join(drifted.select(*KEY_OF_BATCH), KEY_OF_BATCH, "left_anti")).join(ids, KEY_OF_BATCH)
@@ -183,15 +197,24 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Pa
     return spark.read.parquet(f"{paths.run_logs}/batch={batch}").withColumn("batch", F.lit(batch).cast("bigint"))
 
 
-def start_ingest(spark: SparkSession, landing: str, out_root: str, checkpoint: str,
-                 trigger: dict | None = None, max_files_per_trigger: int | None = None):
+def start_ingest(spark: SparkSession, landing: str, out_root: str, checkpoint: str, trigger: dict | None = None,
+                 max_files_per_trigger: int | None = None, repeats_within: str | None = None, event_time: str | None = None):
     """STR-1/STR-3: start the recurring ingestion (``trigger`` e.g.
-    ``{"processingTime": "300 seconds"}``; default ``{"availableNow": True}``)."""
+    ``{"processingTime": "300 seconds"}``; default ``{"availableNow": True}``).
+
+    With ``repeats_within`` (e.g. ``"1 hour"``) a body that lands again within that time is applied once (see
+    ``first_arrivals``); with ``event_time`` (``posted_at``) records older than the stored ones change nothing.
+    """
     paths = Paths(out_root.rstrip("/"))
     stream = landing_stream(spark, landing, max_files_per_trigger)
+    if repeats_within:
+        stream = first_arrivals(stream, repeats_within)
 
     def each(df: DataFrame, batch_id: int) -> None:
-        ingest_batch(df.sparkSession, df, int(batch_id), paths)
+        df = df.persist() if repeats_within else df  # the state is read and written once
+        if not (repeats_within and df.isEmpty()):  # else only the watermark moved
+            ingest_batch(df.sparkSession, df, int(batch_id), paths, event_time=event_time)
+        df.unpersist()
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
@@ -199,7 +222,7 @@ def start_ingest(spark: SparkSession, landing: str, out_root: str, checkpoint: s
 
 
 class RunMetrics(StreamingQueryListener):
-    """STR-8: the last ``keep`` micro-batches' progress (id, input rows, duration) on the driver."""
+    """STR-8: the last ``keep`` micro-batches' progress (id, input rows, duration, late rows, observed counters) on the driver."""
 
     def __init__(self, keep: int = 1000):
         self.rows: deque[dict] = deque(maxlen=keep)
@@ -210,7 +233,20 @@ class RunMetrics(StreamingQueryListener):
     def onQueryProgress(self, event):  # noqa: N802
         p = event.progress
         self.rows.append({"batch": p.batchId, "input_rows": p.numInputRows,
-                          "duration_ms": (p.durationMs or {}).get("triggerExecution")})
+                          "duration_ms": (p.durationMs or {}).get("triggerExecution"),
+                          "late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+                          "observed": {k: r.asDict() for k, r in (p.observedMetrics or {}).items()}})
+
+    def parsed(self) -> dict[str, dict[str, int]]:
+        """AGG-5 of the micro-batches so far: received, parsed and skipped records by source, from ``parse_stream``'s counters."""
+        out: dict[str, dict[str, int]] = {}
+        for r in self.rows:
+            for name, counts in r["observed"].items():
+                if name.startswith(PARSE):
+                    own = out.setdefault(name.removeprefix(PARSE), {"received": 0, "parsed": 0, "skipped": 0})
+                    for k in own:
+                        own[k] += counts[k]
+        return out
 
     def onQueryIdle(self, event):  # noqa: N802
         pass
@@ -219,6 +255,39 @@ class RunMetrics(StreamingQueryListener):
         pass
 
 
+# ------------------------------------------------------------ parsing and health on streams (AGG-5, AGG-10)
+
+#: Prefix of the names under which ``parse_stream`` observes a source's counters.
+PARSE = "parse."
+
+
+def parse_stream(records: DataFrame, spec: FeedSpec, raw_col: str = "raw", keep: list[str] | None = None) -> DataFrame:
+    """Normalised records of a stream of raw ones; received, parsed and skipped are counted in the pass that writes them."""
+    return N.counted(records, spec, PARSE + spec.source_id, raw_col, keep)
+
+
+def health_stream(logs: DataFrame, period: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """AGG-10 on a stream of run logs: ``source_health`` by event-time windows, each given out once the watermark has passed it.
+
+    A run log that is written again by a replayed micro-batch counts once.
+    """
+    at = F.timestamp_micros(F.timestamp_diff("MICROSECOND", R.epoch_ntz(), F.col("started_at")))  # zone-less times as UTC
+    once = logs.withColumn("_at", at).withWatermark("_at", delay).dropDuplicatesWithinWatermark(["source", "batch_id"])
+    start = F.timestamp_add("MICROSECOND", F.unix_micros(F.col("_w.start")), R.epoch_ntz())
+    return (once.groupBy("source", F.window("_at", period).alias("_w")).agg(*O.health_metrics())
+            .select("source", start.alias("period"), "runs", "success_rate", "block_rate", "drift_count", "avg_latency_s"))
+
+
+def start_health(spark: SparkSession, run_logs: str, out: str, checkpoint: str, period: str = "1 day", delay: str = "1 hour",
+                 trigger: dict | None = None, max_files_per_trigger: int | None = None):
+    """AGG-10 over the run logs that ``start_ingest`` writes, as files of closed windows."""
+    r = spark.readStream.schema(LOG_SCHEMA)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    w = health_stream(r.parquet(f"{run_logs.rstrip('/')}/batch=*"), period, delay).writeStream.outputMode("append").format("parquet")
+    return w.option("path", out).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 # ------------------------------------------------------------ streaming cooldown (STR-5)
 
 def fold_cooldown(spark: SparkSession, events: DataFrame, batch: int, root: str, identity: str, ts: str, eid: str,
@@ -234,7 +303,7 @@ def fold_cooldown(spark: SparkSession, events: DataFrame, batch: int, root: str,
     rows = events.select(F.col(identity).cast("string").alias("identity"), F.col(ts).alias("ts"), F.col(eid).alias("event_id"),
                          F.timestamp_diff("MICROSECOND", R.epoch_ntz(), F.col(ts)).alias("us"))
     before = f"{root}/state/batch={batch - 1}"
-    state = (spark.read.parquet(before) if U.exists(spark, before)
+    state = (spark.read.parquet(before) if S.exists(spark, before)
              else spark.createDataFrame([], "identity string, cooldown_until_us long, blocks long"))
     free = rows.join(state, "identity", "left").where(F.coalesce(F.col("us") >= F.col("cooldown_until_us"), F.lit(True)))
     chained = CD.chain(free.select("identity", "ts", "event_id"), "identity", "ts", "event_id", delta_s)

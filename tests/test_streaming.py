@@ -41,9 +41,9 @@ def test_stream_ingest_and_replay(spark, scratch):
     assert [r.insert_count for r in logs] == [5, 3, 0]
     assert [r.update_count for r in logs] == [0, 2, 0]
     assert logs[2].block_count == 1 and logs[2].error.startswith("Item 0 missing required keys")
-    from feedlake.operators.upsert import current_snapshot
+    from feedlake.operators.snapshots import read
 
-    snap = current_snapshot(spark, os.path.join(out, "listings"))
+    snap = read(spark, os.path.join(out, "listings"), P.KEY)
     assert snap.count() == 8
     assert snap.groupBy("source", "external_id").count().where("count > 1").count() == 0
     dl = spark.read.parquet(os.path.join(out, "dead_letters"))
@@ -58,7 +58,7 @@ def test_stream_ingest_and_replay(spark, scratch):
     _land(landing, "feed_a", "b4.json", [_rec(0, position="changed")])
     q = P.start_ingest(spark, landing, out, ck)
     q.awaitTermination(300)
-    snap = current_snapshot(spark, os.path.join(out, "listings"))
+    snap = read(spark, os.path.join(out, "listings"), P.KEY)
     assert snap.count() == 8
     assert snap.where(F.col("external_id") == "0").first().title == "changed"
 
@@ -69,9 +69,9 @@ def test_ingest_batch_replay_is_idempotent(spark, scratch):
         [("feed_a", "k1", json.dumps([_rec(i) for i in range(4)]))], "source string, batch_key string, payload string")
     P.ingest_batch(spark, payloads, 0, paths)
     P.ingest_batch(spark, payloads, 0, paths)   # replay of the same micro-batch
-    from feedlake.operators.upsert import current_snapshot
+    from feedlake.operators.snapshots import read
 
-    assert current_snapshot(spark, paths.listings).count() == 4
+    assert read(spark, paths.listings, P.KEY).count() == 4
     log = spark.read.parquet(paths.run_logs).collect()
     assert len(log) == 1 and log[0].insert_count == 4
 
@@ -114,7 +114,7 @@ def test_every_record_is_kept_somewhere(spark, scratch):
     from dataclasses import replace
 
     from feedlake.operators.normalise import REGISTRY
-    from feedlake.operators.upsert import current_snapshot
+    from feedlake.operators.snapshots import read
 
     paths = P.Paths("file:" + os.path.join(scratch, "out"))
     feeds = {**REGISTRY, "feed_a": replace(REGISTRY["feed_a"], stable_keys=("epoch",))}
@@ -132,7 +132,7 @@ def test_every_record_is_kept_somewhere(spark, scratch):
                                  ("feed_a", "i", at[7], json.dumps([_rec(9)]))], cols)
     P.ingest_batch(spark, one, 0, paths, feeds)
     log = {r.batch_key: r for r in P.ingest_batch(spark, two, 1, paths, feeds).collect()}
-    snap = {r.external_id: r.title for r in current_snapshot(spark, paths.listings).collect()}
+    snap = {r.external_id: r.title for r in read(spark, paths.listings, P.KEY).collect()}
     assert set(snap) == {"0", "1", "2", "3", "9"} and snap["3"] == "newest"  # by arrival, not by name; no slug is no drift
     held = spark.read.parquet(paths.quarantine).where("batch = 1").collect()
     assert sorted(json.loads(r.raw)["id"] for r in held if r.batch_key in "de") == sorted(
@@ -156,30 +156,10 @@ def test_a_read_error_fails_the_batch(spark, scratch):
     for f in os.listdir(versions):
         if f.endswith(".json"):
             with open(os.path.join(versions, f), "w") as out:
-                out.write(json.dumps({"bucket": 1, "path": os.path.join(scratch, "nowhere")}))
+                out.write(json.dumps({"kind": "base", "bucket": 1, "version": 0, "n": 1, "path": os.path.join(scratch, "nowhere")}))
             os.unlink(os.path.join(versions, f".{f}.crc"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND|nowhere"):
-        P.ingest_batch(spark, payload(1).unionByName(payload(2)).unionByName(
-            spark.createDataFrame([("feed_a", "all", json.dumps([_rec(i) for i in range(400)]))], payload(1).schema)), 1, paths)
-
-
-def test_untouched_buckets_are_not_rewritten_and_old_versions_go(spark, scratch):
-    from feedlake.operators import upsert as U
-
-    root = os.path.join(scratch, "t")
-    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id long, v string")
-    U.publish_snapshot(spark, rows(range(500), "old"), root, 0, ["id"])
-    for version in range(1, 6):
-        batch = rows([7], f"new{version}").withColumn("o", F.lit(1))
-        touched = U.touched_buckets(batch, ["id"])
-        target = U.current_snapshot(spark, root, before=version, buckets=touched)
-        assert target.count() < 100
-        U.publish_snapshot(spark, U.merge(target, batch, ["id"], ["o"]).drop("o"), root, version, ["id"], touched)
-    snap = U.current_snapshot(spark, root)
-    assert snap.count() == 500 and snap.where("v <> 'old'").collect()[0].asDict() == {"id": 7, "v": "new5"}
-    assert [n for n in os.listdir(os.path.join(root, "v=000000000005")) if "SUCCESS" not in n] == [f"_bucket={touched[0]}"]
-    assert sorted(n for n in os.listdir(os.path.join(root, "_versions"))) == [f"{v:012d}" for v in (3, 4, 5)]
-    assert not os.path.exists(os.path.join(root, "v=000000000001", f"_bucket={touched[0]}"))
+        P.ingest_batch(spark, payload(2), 1, paths)
 
 
 def test_merge_keeps_fields_that_only_the_target_has(spark):
@@ -225,7 +205,7 @@ def test_run_metrics_listener(spark, scratch):
 
 
 def test_duplicate_files_and_fresh_checkpoint(spark, scratch):
-    from feedlake.operators.upsert import current_snapshot
+    from feedlake.operators.snapshots import read
 
     landing, out = os.path.join(scratch, "landing"), os.path.join(scratch, "out")
     items = [_rec(i) for i in range(4)]
@@ -235,12 +215,12 @@ def test_duplicate_files_and_fresh_checkpoint(spark, scratch):
     q.awaitTermination(300)
     logs = spark.read.parquet(os.path.join(out, "run_logs")).orderBy("batch").collect()
     assert [(r.insert_count, r.update_count) for r in logs] == [(4, 0), (0, 4)]
-    assert current_snapshot(spark, os.path.join(out, "listings")).count() == 4
+    assert read(spark, os.path.join(out, "listings"), P.KEY).count() == 4
 
     # checkpoint lost: a fresh checkpoint replays every file into the same output
     q = P.start_ingest(spark, landing, out, os.path.join(scratch, "ck2"), max_files_per_trigger=1)
     q.awaitTermination(300)
-    snap = current_snapshot(spark, os.path.join(out, "listings"))
+    snap = read(spark, os.path.join(out, "listings"), P.KEY)
     assert snap.count() == 4
     assert snap.groupBy("external_id").count().where("count > 1").count() == 0
     logs = spark.read.parquet(os.path.join(out, "run_logs")).orderBy("batch").collect()
