@@ -211,6 +211,58 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, hot):
     assert {r["doc_id"] for r in ngram_join.keep_one(docs_of(spark, texts, ids)).collect()} == stay
 
 
+def test_a_quotation_of_many_near_copies_makes_no_pairs_of_them(spark, monkeypatch):
+    """Distinct near copies of one text, with short quotations of it: linked by their cores, not pair by pair."""
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 10 ** 6, 300)]
+    texts = []
+    for i in range(200):
+        w = list(base)
+        for at in rng.integers(0, 300, 2):
+            w[at] = f"x{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[10:22]), " ".join(base[100:109]), " ".join(base[10:22]) + " z"]
+    met, kept = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges, name: met.append((name, edges.count())) or kept(edges, name))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(docs_of(spark, texts)).collect()}
+    assert {got[i] for i in range(200)} == {0} and got[200] == 200 and got[201] == 201 and got[202] == 200
+    assert dict(met)["ngram-candidates"] < 64 * len(texts) and dict(met)["ngram-links"] < 64 * len(texts)
+
+
+# ------------------------------------------------------------ numbers of rows
+
+def test_results_do_not_depend_on_how_files_are_split(spark, monkeypatch):
+    """Between any two written tables the split of the scans changes, as it does where executors come and go."""
+    from feedlake.llm import anchors, common, mixing
+
+    rng = np.random.default_rng(13)
+    texts = [" ".join(str(x) for x in rng.integers(0, 40, 30)) + " z" * int(rng.integers(0, 40)) for _ in range(150)]
+    texts += [texts[int(rng.integers(0, 150))] + (" q" if i % 2 else "") for i in range(150)]
+    rows = [(int(i), t, "ab"[i % 2]) for i, t in zip(rng.permutation(len(texts)), texts)]
+    path = stash(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "test-split").inputFiles()[0].rsplit("/", 1)[0]
+    read = lambda: spark.read.parquet(path)
+    runs = [lambda: ngram_join.keep_one(read()), lambda: exact_dedup.keep_first(read()), lambda: repeats.without_repeats(read()),
+            lambda: anchors.without_passages(read(), span=12, period=7), lambda: mixing.mix(read()).select("doc_id", "text")]
+    key = "spark.sql.files.minPartitionNum"
+    one = [sorted(map(repr, r().collect())) for r in runs]
+    turn = iter(range(10 ** 6))
+
+    def flipping(df, name):
+        out = stash(df, name)
+        spark.conf.set(key, str((1, 40, 7)[next(turn) % 3]))
+        return out
+    for module in (ngram_join, exact_dedup, repeats, anchors, mixing, common):
+        monkeypatch.setattr(module, "stash", flipping)
+    try:
+        assert [sorted(map(repr, r().collect())) for r in runs] == one
+        spark.conf.set(key, "1")
+        few = {r["doc_id"]: r["n"] for r in common.numbered(read(), "n").collect()}
+        spark.conf.set(key, "40")
+        assert few == {r["doc_id"]: r["n"] for r in common.numbered(read(), "n").collect()} and len(set(few.values())) == len(rows)
+    finally:
+        spark.conf.unset(key)
+
+
 def test_near_copies_of_nothing_and_of_repeated_rows(spark):
     assert ngram_join.ngram_join(docs_of(spark, [])).count() == 0
     got = ngram_join.ngram_join(docs_of(spark, ["a b c d e", "a b c d e"], [4, 4])).collect()
