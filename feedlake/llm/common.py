@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import sys
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -41,7 +43,35 @@ def stash_parts(spark: SparkSession, parts: Iterable, schema: str, name: str) ->
     return spark.read.schema(schema).parquet(path)
 
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; after each and at the end freed memory goes back to the system, for workers outlive their stage."""
+    try:
+        for b in batches:
+            yield b
+            del b
+            _trim()
+    finally:
+        _trim()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Bytes of an Arrow batch, where the session names none: rows with long texts go to Python few at a time.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -101,6 +131,7 @@ def sized(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """``docs`` if it reads Parquet files as they lie, else a written copy: rows are numbered by file and place."""
+    small_batches(docs.sparkSession)
     plan = docs._jdf.queryExecution().sparkPlan().toString()
     plain = "FileScan parquet" in plan and not re.search(r"Exchange|Join|Aggregate|Window|Sample|Limit|Union|Generate|Python|Pandas|Arrow", plan)
     return docs if plain else stash(docs, "input")
@@ -155,3 +186,6 @@ def merged(ranges: DataFrame) -> DataFrame:
     island = F.sum(F.when(F.col("a") <= F.col("upto"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (ranges.withColumn("upto", upto).withColumn("island", island)
             .groupBy("row", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("row", "a", "b"))
+
+
+ship(__name__)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import ship, stash
+from feedlake.llm.common import ship, stash, trimmed
 from feedlake.llm.shingles import sets_of
 
 #: Bytes of a bin, documents of one source in a bin, rows of a pool.
@@ -102,7 +102,7 @@ def _pack(capacity: int, share: int):
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in trimmed(batches):
         least = [int(s[0]) if len(s) else None for s in sets_of(b.column("text"), 5)]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("pool", "at", "doc_id", "source", "size")), pa.array(least, pa.int64())],
                                          names=["pool", "at", "doc_id", "source", "size", "cluster"])
