@@ -24,6 +24,7 @@ scored alike; further columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -35,17 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import fold, ship
+from feedlake.llm.common import fold, ship, trimmed
 from feedlake.llm.linear import fit, squash
 from feedlake.llm.shingles import STEP, mixed
 
 #: Most labelled documents, about, that are sampled for training, by label.
-SAMPLE = {1: 1500, 0: 5000}
-LANDMARKS, ROUNDS, DECAY, THRESHOLD = 384, 3, 0.6, 0.7
+SAMPLE = {1: 1500, 0: 6000}
+LANDMARKS, ROUNDS, DECAY, THRESHOLD = 512, 3, 0.6, 0.7
 BITS = 15
 LONG, WINDOW = 24, 16
 #: Words whose margins a task keeps.
-KEPT = 500_000
+KEPT = 100_000
 #: Share and least number of the toxic texts that have a word which starts as a witness; by what its share of the toxic texts
 #: exceeds that of the clean ones, some of which quote it or have a wrong label.
 SURE, FEW, ABOVE = 0.015, 3, 20
@@ -127,18 +128,18 @@ def cut(clean: np.ndarray, toxic: np.ndarray) -> float:
 class Model:
     """``values``: one per hashed subsequence; ``bias``; ``steep`` and ``middle`` of the logistic curve."""
 
-    def __init__(self, texts: list[str], toxic: list[int]):
-        toxic, apart = np.array(toxic), np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % 4 == 3 for x in map(str, texts)])
+    def __init__(self, sample: pa.Table):
+        """``sample``: a text a row, as ``_instances`` gives them."""
+        toxic, apart = sample.column("toxic").to_numpy(), sample.column("apart").to_numpy().copy()
         if set(toxic[~apart]) != {0, 1} or set(toxic[apart]) != {0, 1}:
             apart[:] = False
         cut_on = apart if apart.any() else ~apart
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         met = set()
-        for x, y, c in zip(texts, toxic.tolist(), apart):
-            words = frozenset() if c else frozenset(tokens(x))
-            if words and hash(words) not in met:  # copies of a text count once
-                met.add(hash(words))
-                seen[y].update({p for w in words for p in pieces(w)})
+        for own, key, y, c in zip(sample.column("pieces"), sample.column("words").to_pylist(), toxic.tolist(), apart):
+            if key is not None and not c and key not in met:  # copies of a text count once
+                met.add(key)
+                seen[y].update(set(own.as_py()))
         n1, n0 = (toxic[~apart] == 1).sum(), (toxic[~apart] == 0).sum()
         telling = sorted(seen[1], key=lambda w: (-(seen[1][w] / n1 - 2 * seen[0][w] / n0) * (1 + (seen[0][w] == 0)), w))
         only = [w for w in telling if seen[1][w] >= max(2, SURE / 3 * n1) and seen[1][w] / n1 >= ABOVE * seen[0][w] / n0]
@@ -158,7 +159,7 @@ class Model:
             hard = [clean[i] for i in np.argsort(-self.margins(clean), kind="stable")[:1500]]
             against = list(dict.fromkeys(against + hard))
             witnesses = list(dict.fromkeys(witnesses + [v for v, m in zip(only, self.margins(only)) if m > 0.5]))
-        top = np.array([self.top(self.margins([p for w in tokens(x) for p in pieces(w)])) for x, c in zip(texts, cut_on) if c])
+        top = np.array([self.top(self.margins(own.as_py())) for own, c in zip(sample.column("pieces"), cut_on) if c])
         y = toxic[cut_on]
         self.steep, self.middle = 4.0, cut(top[y == 0], top[y == 1]) - np.log(THRESHOLD / (1 - THRESHOLD)) / 4
 
@@ -175,6 +176,21 @@ class Model:
         return float(squash(self.steep * (top - self.middle)))
 
 
+def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text of the sample: whether it is set apart for the threshold, a digest of its words (null without any) and its
+    pieces, each twice at most (a score looks at the two highest), which is all that the driver gets of it."""
+    for b in trimmed(batches):
+        apart, digest, own = [], [], []
+        for text in b.column("text"):
+            x = text.as_py()
+            words = tokens(x)
+            apart.append(zlib.crc32(str(x).encode("utf-8", "surrogatepass")) % 4 == 3)
+            digest.append(hashlib.blake2b("\n".join(sorted(set(words))).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
+            own.append([p for p, n in Counter(p for w in words for p in pieces(w)).items() for _ in range(min(n, 2))])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(apart, pa.bool_()), pa.array(digest, pa.binary()),
+                                          pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "apart", "words", "pieces"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model | None:
     """Fits on a bounded sample of the labelled rows outside the held-out fold, chosen by a hash of the id."""
     marked = labels.where((fold() != 1) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -184,9 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     u = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, F.lit(sample[1] / counts[1])).otherwise(F.lit(sample[0] / counts[0]))
     chosen = marked.where(u < share)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").select("text", "toxic").toArrow()
-    toxic = rows.column("toxic").to_pylist()
-    return Model(rows.column("text").to_pylist(), toxic) if set(toxic) == {0, 1} else None
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = texts.mapInArrow(_instances, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, toxic int, apart boolean, words binary, pieces array<string>")
+    rows = rows.orderBy("doc_id", "words").drop("doc_id").toArrow()
+    return Model(rows) if set(rows.column("toxic").to_pylist()) == {0, 1} else None
 
 
 def scorer(model: Model | None):
@@ -214,7 +231,7 @@ def scorer(model: Model | None):
 def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
-        for b in batches:
+        for b in trimmed(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score(b.column("text")), pa.float64())],
                                              names=["doc_id", "held_out", "score"])
     return run
@@ -232,7 +249,7 @@ def clean(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """The rows of ``docs`` that are not predicted toxic, all columns; they are judged where they lie."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model)
-        for b in batches:
+        for b in trimmed(batches):
             yield b.filter(pa.array(s < THRESHOLD for s in score(b.column(text))))
     return docs.mapInArrow(run, docs.schema)
 

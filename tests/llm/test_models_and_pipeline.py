@@ -70,6 +70,39 @@ def test_inserted_and_spaced_insults_odd_texts_and_no_labels(spark, judged):
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
 
 
+def test_scores_equal_a_slow_scorer(judged):
+    """Word by word and subsequence by subsequence, without tables of batches."""
+    from itertools import combinations
+
+    docs, _, model = judged
+    step, mask = int(toxicity.STEP), (1 << 64) - 1
+
+    def mixed(h):
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+        return h ^ (h >> 31)
+
+    def margin(piece):
+        total = square = 0.0
+        for n in (3, 4):
+            for places in combinations(range(5), n):
+                if places[0] == 0:
+                    k = places[-1]
+                    for i in range(len(piece) - k):
+                        h = ord(piece[i])
+                        for j in places[1:]:
+                            h = (h * step + ord(piece[i + j])) & mask
+                        weight = toxicity.DECAY ** (k - len(places) + 1)
+                        total += float(model.values[mixed(h) >> (64 - toxicity.BITS)]) * weight
+                        square += weight * weight
+        return total / max(square, 1e-9) ** 0.5 + model.bias
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, model).collect()}
+    for r in docs.where("doc_id < 40").collect():
+        own = sorted(max(margin(p) for p in toxicity.pieces(w)) for w in toxicity.tokens(r["text"]))[-2:]
+        want = model.score(float(np.mean([min(1.5, max(-1.5, m)) for m in own])))
+        assert abs(got[r["doc_id"]] - want) < 1e-4
+
+
 def test_toxicity_learns_nothing_from_the_held_out_fold(spark, judged):
     docs, labels, model = judged
     from pyspark.sql import functions as F
@@ -104,7 +137,7 @@ def test_language_of_odd_texts(spark):
 
 # ------------------------------------------------------------ secrets
 
-ASSIGN = re.compile(r"""((?:p|P)(?:a|A)(?:s|S){2}(?:(?:w|W)(?:o|O)(?:r|R)(?:d|D)|(?:w|W)(?:d|D))|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
 def brute_secrets(t):
@@ -244,7 +277,12 @@ def test_pipeline_stages_take_effect(spark):
     labels = pd.read_parquet(f"{SF}/labels.parquet")
     left = set(frames["toxicity"]["doc_id"])
     assert labels.loc[labels["toxic"] == 0, "doc_id"].isin(left).mean() > 0.97
-    assert labels.loc[labels["toxic"] == 1, "doc_id"].isin(left).mean() < 0.3
+    # 18 of the 51 toxic labels of this table stand on texts without any insult (their words are those of clean texts): no
+    # bar under 18 / 51 can be met over all labels, so it is 0 over those whose text has one
+    insults = "disgusting idiot loser moron pathetic scum stupid trash worthless clown".split()
+    bad = frames["documents"][frames["documents"]["doc_id"].isin(labels.loc[labels["toxic"] == 1, "doc_id"])]
+    held = bad[bad["text"].str.lower().map(lambda t: bool(set(re.findall("[a-z]+", t)) & set(insults)))]["doc_id"]
+    assert len(held) == 33 and len(bad) == 51 and held.isin(left).sum() == 0
     before = frames["toxicity"].sort_values("doc_id")
     plain = before["text"].map(lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t))
     assert set(frames["exact_dedup"]["doc_id"]) == set(before.loc[~plain.duplicated(), "doc_id"])
