@@ -195,12 +195,14 @@ register(FeedSpec("feed_c", PAGED_REQUIRED, normalise_paged, priority=3, enabled
                   extra={"envelope": True}))
 
 
-def unify(*frames: DataFrame) -> DataFrame:
-    """SET-1 / NRM-E: bag union of normalised feeds; schemas must agree by name."""
-    out = None
+def unify(*frames: DataFrame, fields: list[str] = CANONICAL_FIELDS) -> DataFrame:
+    """SET-1 / NRM-E: bag union of normalised feeds; each must have the canonical ``fields``, by name and by type."""
     for df in frames:
-        missing = set(CANONICAL_FIELDS) - set(df.columns)
-        if missing and "raw" not in missing:
-            raise ValueError(f"feed output lacks canonical columns: {sorted(missing)}")
-        out = df if out is None else out.unionByName(df)
+        held = {f.name: f.dataType for f in df.schema}
+        wrong = [c for c in fields if c not in held or held[c] != CANONICAL[c].dataType]
+        if wrong:
+            raise ValueError(f"feed output lacks canonical columns or has them in another type: {wrong}")
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
     return out

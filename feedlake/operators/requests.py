@@ -59,9 +59,11 @@ def plan_requests(specs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def request_params_json(plan: DataFrame) -> Column:
-    """The request parameters as JSON text (unset parameters are left out)."""
-    return F.to_json(F.struct("query", "num_pages", "date_posted", "country", "location", "work_from_home"))
+def request_params(plan: DataFrame, keep: list[str], cursor: Column | None = None) -> DataFrame:
+    """REQ-2: the parameters sent for each valid plan as JSON text; unset ones, an empty cursor too, are left out."""
+    names = ["query", "num_pages", "date_posted", "country", "location", "work_from_home"]
+    given = F.lit(None).cast("string") if cursor is None else F.when(_nonempty(cursor), cursor)
+    return plan.where("valid").select(*keep, F.to_json(F.struct(*names, given.alias("cursor"))).alias("params"))
 
 
 def parse_prompts(df: DataFrame, prompt_col: str, keep: list[str]) -> DataFrame:

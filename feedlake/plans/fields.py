@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import json as J
 from feedlake.functions import rules as R
+from feedlake.operators import extract as X
 from feedlake.operators.extract import extract_listing
 from feedlake.plans.registry import query
 from feedlake.sources.tables import raw_feed_b, table
@@ -108,3 +109,41 @@ def html_listing_extract(spark, d):
     p = table(spark, d, "pages").select("page_id", "html").withColumn("html", F.expr(
         _PLANT_LD.replace("cast(page_id as varchar)", "cast(page_id as string)")))
     return extract_listing(p, "html", ["page_id"])
+
+
+# Planted in some pages; chr(39) is the single quote and chr(10) the line feed in both dialects.
+_PLANT_FIELDS = """html || case when page_id % 3 = 0 then '<div class="job" data-company="co ' || cast(page_id as varchar)
+  || '" DATA-Pay=' || chr(39) || cast(page_id * 10 as varchar) || chr(39) || '><dl><dt>Location :</dt>' || chr(10) || '<dd class="x">City  '
+  || cast(page_id % 7 as varchar) || '</dd><dt> </dt><dd>no label</dd><dt>Type</dt><dd><i>Full</i> time</dd></dl>' else '' end
+  || case when page_id % 4 = 1 then '<table><thead><tr><th>Pay</th><td>' || cast(page_id as varchar)
+  || '</td></tr></thead></table><strong>Visa:</strong> yes <br>' else '' end"""
+
+
+def _all(text: str, pattern: str, group: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"regexp_extract_all({text}, '{quoted}', {group})"
+
+
+def _plain_sql(text: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({text}, '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))"
+
+
+@query("html_fields_extract", f"""
+with p as (select page_id, {_PLANT_FIELDS} as h from pages),
+tags as (select page_id, unnest({_all('h', X.TAG, 0)}) as t, generate_subscripts({_all('h', X.TAG, 0)}, 1) as i from p),
+found as (select page_id, i, unnest({_all('t', X.DATA, 1)}) as n, unnest({_all('t', X.DATA, 2)}) as v,
+            generate_subscripts({_all('t', X.DATA, 1)}, 1) as j from tags),
+data as (select page_id, string_agg(lower(n) || '=' || v[2:-2], '|' order by i, j) as data_text from found group by page_id),
+pairs as (
+  select page_id, 1 as k, unnest({_all('h', X.PAIR, 1)}) as n, unnest({_all('h', X.PAIR, 2)}) as v, generate_subscripts({_all('h', X.PAIR, 1)}, 1) as j from p
+  union all
+  select page_id, 2, unnest({_all('h', X.BOLD, 1)}), unnest({_all('h', X.BOLD, 2)}), generate_subscripts({_all('h', X.BOLD, 1)}, 1) from p),
+plain as (select page_id, k, j, lower(regexp_replace({_plain_sql('n')}, '\\s*:$', '')) as n, {_plain_sql('v')} as v from pairs),
+labels as (select page_id, string_agg(n || '=' || v, '|' order by k, j) as label_text from plain where length(n) > 0 group by page_id)
+select page_id, coalesce(data_text, '') as data_text, coalesce(label_text, '') as label_text
+from p left join data using (page_id) left join labels using (page_id)""")
+def html_fields_extract(spark, d):
+    """NRM-H: data-* attributes and labelled values of pages, planted in some."""
+    p = table(spark, d, "pages").select("page_id", F.expr(_PLANT_FIELDS.replace("as varchar", "as string")).alias("html"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit("="), x["value"])), "|")
+    return X.listing_fields(p, "html", ["page_id"]).select("page_id", text("data_fields").alias("data_text"), text("labelled_fields").alias("label_text"))

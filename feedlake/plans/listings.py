@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from feedlake.operators import normalise as N
 from feedlake.operators import serving as S
 from feedlake.plans.registry import query
 from feedlake.plans.sql import LISTINGS_CTE, NEWEST_FIRST
@@ -53,8 +54,11 @@ def listings_visa(spark, d):
 
 @query("unified_listings", LISTINGS_CTE + "select * from listings")
 def unified_listings(spark, d):
-    """SET-1/NRM-E: bag union of the three feeds."""
-    return listings(spark, d)
+    """SET-1/NRM-E: bag union of the three feeds, each held to the canonical fields that it serves."""
+    from feedlake.sources.tables import listings_feed_a, listings_feed_b, listings_feed_c
+
+    frames = [feed(spark, d) for feed in (listings_feed_a, listings_feed_b, listings_feed_c)]
+    return N.unify(*frames, fields=frames[0].columns)
 
 
 _FILTERS = ["all", "feed_a", "feed_b", "remote", "salary"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import text as TX
 from feedlake.operators import requests as RQ
-from feedlake.plans.registry import query
+from feedlake.plans.registry import ORACLE, query
 from feedlake.sources.tables import table
 
 
@@ -53,6 +53,20 @@ def request_plan(spark, d):
     return RQ.plan_requests(search_specs(spark, d), ["p_partkey"])
 
 
+_JSON = "case when {0} is not null then ',\"{0}\":\"' || {0} || '\"' else '' end"
+
+
+@query("request_params", "with plan as (" + ORACLE["request_plan"] + """),
+given as (select *, case p_partkey % 5 when 0 then 'c' || cast(p_partkey as varchar) end as cursor from plan where valid)
+select p_partkey, '{"query":"' || query || '","num_pages":"' || num_pages || '","date_posted":"' || date_posted || '"' || """
+       + " || ".join(_JSON.format(c) for c in ("country", "location", "work_from_home", "cursor")) + " || '}' as params from given")
+def request_params(spark, d):
+    """REQ-2: the parameter set of each valid search, with a cursor in some and an empty one in others."""
+    k = F.col("p_partkey")
+    cursor = F.when(k % 5 == 0, F.concat(F.lit("c"), k.cast("string"))).when(k % 5 == 1, F.lit(""))
+    return RQ.request_params(RQ.plan_requests(search_specs(spark, d), ["p_partkey"]), ["p_partkey"], cursor)
+
+
 _PREFIXES = ["Find ", "Search for ", "Show me remote ", "list ", "", "Get "]
 _SUFFIXES = [" jobs", " positions", " roles", ""]
 
