@@ -3,8 +3,9 @@
 Digests of the normalised texts are written once. Misra-Gries summaries of k
 counters, one a task, are merged to k candidates; an exact count verifies them.
 The verified winners, k rows at most, are broadcast, so copies of frequent
-texts are settled where they lie; only the other digests are shuffled. A digest
-of more than 2n / (k + 1) of n rows is always a winner.
+texts are settled where they lie; only the other digests are shuffled: counted
+with map-side combining, and groups joined back to their rows. A digest of more
+than 2n / (k + 1) of n rows is always a winner.
 
 Defined cases: a null text counts as empty; a null id sorts after all others;
 of repeated rows with one id exactly one is kept; an empty table gives no rows;
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from feedlake.llm.common import BLANKS, rows_of, scanned, ship, stash, without
 
@@ -70,9 +70,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     frequent = stash(winners(table, k).coalesce(1), "frequent")
     marked = table.join(F.broadcast(frequent), "digest", "left")
     here = marked.where("first IS NOT NULL")
-    w = Window.partitionBy("digest")
-    there = (marked.where("first IS NULL").select("digest", "doc_id", "row")
-             .withColumn("first", first_row().over(w)).withColumn("group_size", F.count("*").over(w)))
+    there = marked.where("first IS NULL").select("digest", "doc_id", "row")
+    groups = there.groupBy("digest").agg(first_row().alias("first"), F.count("*").alias("group_size")).where("group_size > 1")
+    alone = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")  # both sides of the join plain: a hot group can be split
+    there = there.join(stash(groups, "digest-groups"), "digest", "left").withColumns(
+        {"first": F.coalesce("first", alone), "group_size": F.coalesce("group_size", F.lit(1))})
     return here.unionByName(there.select(*here.columns)).select(
         "row", "doc_id", F.col("first.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
         (F.col("first.row") == F.col("row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
