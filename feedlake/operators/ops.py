@@ -60,7 +60,12 @@ def run_log(batches: DataFrame, resolution: DataFrame, drift: DataFrame, written
 
 
 def cycle_summary(logs: DataFrame) -> DataFrame:
-    """AGG-2: totals of a cycle; error kinds (distinct, sorted); duration to 0.1 s."""
+    """AGG-2: totals of a cycle; error kinds (distinct, sorted); duration to 0.1 s.
+
+    A kind is an error's text up to its first colon with numbers as ``#``, so that
+    messages which name an item or its keys are one kind.
+    """
+    kind = F.regexp_replace(F.substring_index("error", ":", 1), "[0-9]+", "#")
     dur = F.timestamp_diff("MICROSECOND", F.min("started_at"), F.max("finished_at")) / F.lit(1e6)
     return logs.agg(
         F.count(F.lit(1)).cast("bigint").alias("runs"),
@@ -68,7 +73,7 @@ def cycle_summary(logs: DataFrame) -> DataFrame:
         F.coalesce(F.sum("insert_count"), F.lit(0)).cast("bigint").alias("new_inserts"),
         F.coalesce(F.sum("update_count"), F.lit(0)).cast("bigint").alias("updates"),
         F.count("error").cast("bigint").alias("n_errors"),
-        F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("error_kinds"),
+        F.array_join(F.array_sort(F.collect_set(kind)), "; ").alias("error_kinds"),
         F.round(dur, 1).alias("duration_s"))
 
 

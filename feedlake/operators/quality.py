@@ -188,12 +188,12 @@ def schema_drift(records: DataFrame, snapshots: DataFrame, sample_size: int | No
     sample = records.select(*KEY, "pos", "keys")
     if sample_size is not None:
         sample = first_n(sample, sample_size)
-    known = snapshots.where(F.array_size("fields") > 0).select("source", F.explode("fields").alias("field"))
-    per_doc = sample.join(known, "source")  # |fields| rows per record, aggregated before the shuffle
-    agg = per_doc.groupBy(*KEY, "field").agg(
-        F.count_if(~F.array_contains("keys", F.col("field"))).alias("missing"),
-        F.count(F.lit(1)).alias("sample_n"))
-    return agg.where(F.col("missing") * 2 > F.col("sample_n")).select(
+    known = snapshots.where(F.array_size("fields") > 0).select("source", F.explode(F.array_distinct("fields")).alias("field"))
+    # a record gives one row for each of its own keys, counted before the shuffle; fields meet batches, not records
+    sizes = sample.groupBy(*KEY).agg(F.count(F.lit(1)).alias("sample_n"))
+    held = sample.select(*KEY, F.explode(F.array_distinct("keys")).alias("field")).groupBy(*KEY, "field").agg(F.count(F.lit(1)).alias("held"))
+    found = sizes.join(known, "source").join(held, [*KEY, "field"], "left").withColumn("missing", F.col("sample_n") - F.coalesce("held", F.lit(0)))
+    return found.where(F.col("missing") * 2 > F.col("sample_n")).select(
         *KEY, "field", F.col("missing").cast("bigint").alias("missing"),
         F.col("sample_n").cast("bigint").alias("sample_n"))
 

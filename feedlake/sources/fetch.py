@@ -49,14 +49,15 @@ def cursor_merge(records: DataFrame, fetch: str, seq: str, pos: str, job_id: str
     fetch's batches, records without an id kept as they are; the records come with
     all their columns. A request's own ``total_jobs`` keeps that many, in arrival order.
 
-    First-occurrence is a keyed aggregation of (request, position), map-side
-    combined, so a popular id is reduced before the shuffle; it then picks the rows.
+    First occurrence is one keyed aggregation that carries the record, map-side
+    combined: the records are computed once, and a popular id is reduced before
+    the shuffle.
     """
     has_id = F.coalesce(F.length(F.col(job_id)) > 0, F.lit(False))
     key = F.when(has_id, F.col(job_id)).otherwise(F.concat_ws(":", F.lit("\u0000"), F.col(seq), F.col(pos)))
-    rows = records.withColumn("_key", key)
-    first = rows.groupBy(fetch, "_key").agg(F.min(F.struct(seq, pos)).alias("_first"))
-    merged = rows.join(first, [fetch, "_key"]).where(F.struct(seq, pos) == F.col("_first")).select(*records.columns)
+    first = records.groupBy(F.col(fetch).alias("_fetch"), key.alias("_key")).agg(
+        F.min_by(F.struct(*records.columns), F.struct(seq, pos)).alias("_first"))
+    merged = first.select("_first.*")
     if total_jobs is None:
         return merged
     w = Window.partitionBy(fetch).orderBy(seq, pos)
