@@ -111,6 +111,19 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed):
     assert [tuple(r)[1:] for r in got] == brute_repeats(texts)
 
 
+def test_a_collision_of_one_identifier_removes_nothing(spark, monkeypatch):
+    """With the first identifiers of all bytes made equal for all strings the second ones still part them."""
+    plain, pair = repeats.spanned, repeats.bucket
+    monkeypatch.setattr(repeats, "spanned", lambda far, lo, p, hi, step=repeats.STEP: plain(far, lo, p, hi, step) * (step != repeats.STEP))
+    monkeypatch.setattr(repeats, "bucket", lambda data: (pair(data)[0] if data[:1].isalpha() else 0, pair(data)[1]))
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    line, passage = word(150), word(300)
+    texts = [word(120) + line + word(120) for _ in range(20)] + [word(90) + passage + word(90) for _ in range(3)] + [word(400)]
+    got = repeats.without_repeats(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_repeats(texts)
+
+
 def test_repeats_of_nothing_and_the_kept_bytes(spark):
     assert repeats.without_repeats(docs_of(spark, [])).count() == 0
     t = "x" * 10 + "".join(chr(97 + i % 26) * (i % 7 + 1) for i in range(100))
