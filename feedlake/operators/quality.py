@@ -17,6 +17,7 @@ from feedlake.functions import json as J
 from feedlake.functions import text as TX
 
 KEY = ["source", "batch_id"]
+BLOCK_PAGE = "Response looks like a CAPTCHA or block page"
 
 
 def python_type_name(payload: Column, readable: Column) -> Column:
@@ -33,7 +34,7 @@ def python_type_name(payload: Column, readable: Column) -> Column:
 # ------------------------------------------------------------ SRC-1 scan
 
 def scan_payloads(payloads: DataFrame, key_field: str | None = "id", payload_col: str = "payload",
-                  keep: list[str] | None = None, unwrap: bool = False) -> tuple[DataFrame, DataFrame]:
+                  keep: list[str] | None = None, unwrap: bool = False, pages: bool = False) -> tuple[DataFrame, DataFrame]:
     """SRC-1: JSON array payloads -> (manifest, records).
 
     The manifest has one row per payload (so empty batches stay visible) with
@@ -43,7 +44,8 @@ def scan_payloads(payloads: DataFrame, key_field: str | None = "id", payload_col
     order, so its size is not bounded by that of a VARIANT; each element is
     parsed on its own. Filtering inside the array before exploding keeps indices
     dense without a window. ``unwrap`` takes ``data`` (or ``data.jobs``) of an
-    object body first (SRC-4).
+    object body first (SRC-4). With ``pages`` the manifest says whether a text
+    response looks like a block page (VAL-5); other bodies are not searched.
     """
     keep = keep or []
 
@@ -62,10 +64,13 @@ def scan_payloads(payloads: DataFrame, key_field: str | None = "id", payload_col
     array = F.ltrim("_p").startswith("[")
     staged = staged.select(*KEY, *keep, "_p", F.when(array, F.from_json("_p", "array<string>")).alias("_all"))
     readable = F.when(array, F.col("_all").isNotNull()).otherwise(J.parse("_p").isNotNull())
-    staged = staged.select(*KEY, *keep, python_type_name(F.col("_p"), readable).alias("payload_type"),
+    kind = python_type_name(F.col("_p"), readable)
+    page = [(F.when(kind == "str", TX.looks_like_block_page(F.col("_p"))).otherwise(F.lit(False))).alias("block_page")] if pages else []
+    staged = staged.select(*KEY, *keep, kind.alias("payload_type"), *page,
                            F.filter("_all", lambda e: F.coalesce(F.ltrim(e).startswith("{") & keyed(e), F.lit(False))).alias("_items"))
     manifest = staged.select(*KEY, *keep, "payload_type",
-                             F.coalesce(F.array_size("_items"), F.lit(0)).cast("bigint").alias("n_items"))
+                             F.coalesce(F.array_size("_items"), F.lit(0)).cast("bigint").alias("n_items"),
+                             *(["block_page"] if pages else []))
     records = staged.select(*KEY, *keep, F.posexplode("_items").alias("pos", "raw")).select(
         *KEY, *keep, F.col("pos").cast("bigint").alias("pos"), "raw")
     return manifest, records
@@ -91,16 +96,19 @@ def batch_verdicts(manifest: DataFrame, records: DataFrame, required: list[str],
     ``manifest``: (source, batch_id, payload_type); ``records``: (source,
     batch_id, pos, raw). The first record (lowest pos) missing a key decides.
     ``key`` (default (source, batch_id)) may add columns, e.g. an attempt number.
+    Where the manifest has ``block_page``, the reason of a body of another type says so.
     """
     key = key or KEY
     rec = records.select(*key, "pos", missing_keys(F.col("raw"), required).alias("missing"))
     agg = rec.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.array_size("missing") > 0, F.struct("pos", "missing"))).alias("first_bad"))
-    j = manifest.select(*key, "payload_type").join(agg, key, "left")
+    page = F.col("block_page") if "block_page" in manifest.columns else F.lit(False)
+    j = manifest.select(*key, "payload_type", page.alias("_page")).join(agg, key, "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     reason = (
-        F.when(F.col("payload_type") != "list", F.concat(F.lit("Expected list, got "), F.col("payload_type")))
+        F.when(F.col("payload_type") != "list", F.concat(F.lit("Expected list, got "), F.col("payload_type"),
+                                                         F.when(F.col("_page"), f": {BLOCK_PAGE}").otherwise(F.lit(""))))
         .when(n < min_items, F.concat(F.lit("Too few items: got "), n.cast("string"),
                                       F.lit(f", expected >= {min_items}")))
         .when(F.col("first_bad").isNotNull(),

@@ -2,9 +2,11 @@
 drift -> upsert -> run log, one micro-batch per trigger (STR-1..4, STR-8).
 
 Landing layout: ``<landing>/<source_id>/<any name>.json``, one JSON payload
-per file (a response body). The file path is the batch identity. The stream
-is a file source (``wholetext``), so each micro-batch picks up new files only
-and the checkpoint records which files were processed.
+per file (a response body). The file path is the batch identity; the body of a
+second attempt lands as ``<any name>.retry.json`` and belongs to the batch of
+``<any name>.json``. The stream is a file source (``wholetext``), so each
+micro-batch picks up new files only and the checkpoint records which files were
+processed.
 
 Every output of a micro-batch is keyed by the micro-batch id: run logs,
 dead letters, quarantined records and snapshot fields are written to ``.../batch=<id>`` with
@@ -37,6 +39,11 @@ LOG_SCHEMA = ("source string, batch_id long, batch_key string, started_at timest
               "insert_count long, update_count long, block_count long, schema_drift boolean, error string")
 
 
+#: The end of the path of a second attempt's body.
+RETRY = r"\.retry(\.[^./]+)$"
+FAILED_AGAIN, NOT_NEEDED = "validation_failed_after_fallback", "Attempt not needed"
+
+
 @dataclass
 class Paths:
     root: str
@@ -63,18 +70,19 @@ class Paths:
 
 
 def landing_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """STR-1: file-source stream of landed payloads: (source, batch_key, arrived, payload)."""
+    """STR-1: file-source stream of landed payloads: (source, batch_key, attempt, arrived, payload)."""
     r = spark.readStream.format("text").option("wholetext", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = r.load(f"{landing.rstrip('/')}/*/")
     path = F.col("_metadata.file_path")
-    return df.select(F.element_at(F.split(path, "/"), -2).alias("source"), path.alias("batch_key"),
+    return df.select(F.element_at(F.split(path, "/"), -2).alias("source"), F.regexp_replace(path, RETRY, "$1").alias("batch_key"),
+                     F.when(path.rlike(RETRY), 2).otherwise(1).alias("attempt"),
                      F.col("_metadata.file_modification_time").alias("arrived"), F.col("value").alias("payload"))
 
 
 def first_arrivals(landed: DataFrame, delay: str) -> DataFrame:
-    """Of equal payloads of a source that land within ``delay`` of each other the first; state is kept as long, no longer.
+    """Of equal payloads of a source (and attempt) that land within ``delay`` of each other the first; state is kept as long, no longer.
 
     For feeds that land a body more than once. A body that comes again later is a
     new one as soon as a micro-batch has closed with the watermark behind the
@@ -82,8 +90,9 @@ def first_arrivals(landed: DataFrame, delay: str) -> DataFrame:
     behind the newest arrival, cannot be judged and do not pass; ``RunMetrics``
     counts them as ``late``.
     """
+    same = ["source", "_digest", *(c for c in ["attempt"] if c in landed.columns)]
     return (landed.withColumn("_digest", F.sha2("payload", 256)).withWatermark("arrived", delay)
-            .dropDuplicatesWithinWatermark(["source", "_digest"]).drop("_digest"))
+            .dropDuplicatesWithinWatermark(same).drop("_digest"))
 
 
 def _latest_snapshot_fields(spark: SparkSession, paths: Paths, before: int) -> DataFrame:
@@ -103,9 +112,17 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Pa
                  feeds: dict[str, FeedSpec] | None = None, now=None, event_time: str | None = None) -> DataFrame:
     """STR-2: one cycle over the payloads of a micro-batch; returns its run log.
 
-    ``payloads``: (source, batch_key, payload[, arrived]); each payload is one
-    batch of one feed (``source`` = feed id), a flat array or, where the feed's
-    spec says so, an envelope. Batches apply in order of arrival, then key.
+    ``payloads``: (source, batch_key, payload[, arrived][, attempt]); each payload
+    is one attempt (1, if not given, or 2) at one batch of one feed (``source`` =
+    feed id), a flat array or, where the feed's spec says so, an envelope. Batches
+    apply in order of arrival, then key.
+
+    VAL-8: a batch is taken from its first attempt that passes. A failed first
+    attempt counts one block and has a dead letter, recovered or not; a failed
+    second one has none and the run's error is ``validation_failed_after_fallback``.
+    A second attempt whose first one passed beside it is quarantined as not needed;
+    one that comes in a later micro-batch than its first is judged alone. The
+    reason of a text response says if it looks like a block page (VAL-5).
 
     Nothing is dropped: a record ends in the listings (or is superseded there)
     or in the quarantine table, with the reason of its batch. Bodies without
@@ -122,21 +139,30 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Pa
     now = now if now is not None else F.current_timestamp().cast("timestamp_ntz")
     if "arrived" not in payloads.columns:
         payloads = payloads.withColumn("arrived", F.lit(None).cast("timestamp"))
-    p = payloads.withColumn("batch_id", F.xxhash64("source", "batch_key"))
-    ids = p.select("source", "batch_id", "batch_key", "arrived")
+    if "attempt" not in payloads.columns:
+        payloads = payloads.withColumn("attempt", F.lit(1))
+    number = F.when(F.col("attempt").isin(1, 2), F.col("attempt").cast("int")).otherwise(F.raise_error(F.lit("an attempt is 1 or 2")).cast("int"))
+    p = payloads.withColumns({"batch_id": F.xxhash64("source", "batch_key"), "attempt": number})
+    ids = p.groupBy("source", "batch_id", "batch_key").agg(F.max("arrived").alias("arrived"))
+    each = [*KEY_OF_BATCH, "attempt"]
     active = {k: v for k, v in feeds.items() if v.enabled}
     scans = {src: Q.scan_payloads(p.where(F.col("source") == src), key_field=spec.extra.get("scan_key"),
-                                  keep=["batch_key", "arrived"], unwrap=spec.extra.get("envelope", False))
+                                  keep=["batch_key", "arrived", "attempt"], unwrap=spec.extra.get("envelope", False), pages=True)
              for src, spec in active.items()}
     records = _union([r for _, r in scans.values()]).persist()
     unknown = p.where(~F.col("source").isin(*active)).select(
-        "source", "batch_id", F.lit(False).alias("ok"),
+        *each, F.lit(False).alias("ok"),
         F.when(F.col("source").isin(*feeds), F.lit("Source disabled")).otherwise(F.lit("Unregistered source")).alias("reason"),
         F.lit(None).cast("array<string>").alias("missing"), F.lit(0).cast("bigint").alias("n_items"))
     of = lambda src: records.where(F.col("source") == src)
-    verdicts = _union([unknown, *(Q.batch_verdicts(m, of(src), list(active[src].required_keys), active[src].min_items)
-                                  for src, (m, _) in scans.items())]).persist()
-    passed = Q.gate_pass(records, verdicts)
+    judged = _union([unknown, *(Q.batch_verdicts(m, of(src), list(active[src].required_keys), active[src].min_items, key=each)
+                                for src, (m, _) in scans.items())]).persist()
+    first_failed = F.coalesce(F.bool_or(~F.col("ok") & (F.col("attempt") == 1)), F.lit(False)).alias("blocked")
+    verdicts = Q.resolve_attempts(judged).join(judged.groupBy(*KEY_OF_BATCH).agg(first_failed, F.max("attempt").alias("last")), KEY_OF_BATCH).select(
+        *KEY_OF_BATCH, F.col("accepted_attempt").cast("int").alias("attempt"), F.col("accepted_attempt").isNotNull().alias("ok"), "blocked",
+        F.when(F.col("last") == 2, F.lit(FAILED_AGAIN)).otherwise(F.col("first_reason")).alias("reason")).persist()
+    taken = verdicts.where("ok").select(*each)
+    passed = records.join(taken, each, "left_semi")
     normalised = _union([spec.normalise(passed.where(F.col("source") == src), keep=["batch_id", "batch_key", "arrived", "pos"])
                          for src, spec in active.items()]).persist()
 
@@ -148,20 +174,23 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Pa
              .join(declared, ["source", "field"], "left_semi").groupBy("source").agg(F.collect_list("field").alias("fields")))
     drifted = (Q.schema_drift(docs, known).groupBy(*KEY_OF_BATCH)
                .agg(F.sort_array(F.collect_list("field")).alias("missing")).persist())
-    rejected = (verdicts.where(~F.col("ok")).select(*KEY_OF_BATCH, "ok", "reason", "missing", "n_items")
-                .unionByName(drifted.select(*KEY_OF_BATCH, F.lit(False).alias("ok"), F.lit("schema_drift").alias("reason"), "missing",
-                                            F.lit(None).cast("bigint").alias("n_items"))))
+    moved = drifted.join(taken, KEY_OF_BATCH).select(*each, F.lit(False).alias("ok"), F.lit("schema_drift").alias("reason"), "missing")
+    failed = judged.where(~F.col("ok")).select(*each, "ok", "reason", "missing")
+    spare = judged.where("ok").join(taken, each, "left_anti").select(*each, F.lit(False).alias("ok"), F.lit(NOT_NEEDED).alias("reason"), "missing")
+    rejected = _union([failed, spare, moved]).persist()
     good = normalised.join(drifted.select(*KEY_OF_BATCH), KEY_OF_BATCH, "left_anti")
 
-    # all rejected records and unreadable bodies, and a dead letter with a sample for each rejected batch
-    body = (p.select("source", "batch_id", "batch_key", F.col("payload").alias("raw"))
-            .join(rejected.select(*KEY_OF_BATCH, "reason"), KEY_OF_BATCH)
-            .join(records.select(*KEY_OF_BATCH).distinct(), KEY_OF_BATCH, "left_anti").withColumn("pos", F.lit(None).cast("bigint")))
-    held = records.join(rejected.select(*KEY_OF_BATCH, "reason"), KEY_OF_BATCH).select(*KEY_OF_BATCH, "batch_key", "pos", "raw", "reason")
+    # all rejected records and unreadable bodies, and a dead letter with a sample for each failed first attempt and each drifted batch
+    body = (p.select(*each, "batch_key", F.col("payload").alias("raw"))
+            .join(rejected.select(*each, "reason"), each)
+            .join(records.select(*each).distinct(), each, "left_anti").withColumn("pos", F.lit(None).cast("bigint")))
+    held = records.join(rejected.select(*each, "reason"), each).select(*each, "batch_key", "pos", "raw", "reason")
     held = held.unionByName(body.select(*held.columns)).withColumn("recorded_at", now)
     held.write.mode("overwrite").parquet(f"{paths.quarantine}/batch={batch}")
-    sample = held.select(*KEY_OF_BATCH, F.coalesce("pos", F.lit(0).cast("bigint")).alias("pos"), "raw")
-    Q.dead_letters(sample, rejected, now).write.mode("overwrite").parquet(f"{paths.dead_letters}/batch={batch}")
+    sample = held.select(*each, F.coalesce("pos", F.lit(0).cast("bigint")).alias("pos"), "raw", "reason")
+    blocked = Q.dead_letters(sample.where("attempt = 1"), failed.where("attempt = 1"), now)
+    changed = Q.dead_letters(sample.where("reason = 'schema_drift'"), moved, now)
+    blocked.unionByName(changed).write.mode("overwrite").parquet(f"{paths.dead_letters}/batch={batch}")
 
     # upsert into the listing snapshot as version `batch`: the batch's own rows, merged on read (UPS-1, STR-3)
     rows = good.drop("batch_id")
@@ -181,18 +210,18 @@ def ingest_batch(spark: SparkSession, payloads: DataFrame, batch: int, paths: Pa
     # run log (AGG-1, SNK-1, STR-8)
     succ = F.coalesce("success_count", F.lit(0))
     ins = F.coalesce("insert_count", F.lit(0))
-    log = (verdicts.select(*KEY_OF_BATCH, "ok", "reason").join(ids, KEY_OF_BATCH)
+    log = (verdicts.select(*KEY_OF_BATCH, "ok", "blocked", "reason").join(ids, KEY_OF_BATCH)
            .join(drifted.select(*KEY_OF_BATCH, F.lit(True).alias("_drift")), KEY_OF_BATCH, "left")
            .join(written, KEY_OF_BATCH, "left").join(new_keys, "batch_id", "left")
            .select("source", "batch_id", "batch_key", now.alias("started_at"), now.alias("finished_at"),
                    succ.cast("bigint").alias("success_count"), ins.cast("bigint").alias("insert_count"),
                    (succ - ins).cast("bigint").alias("update_count"),
-                   F.when(F.col("ok"), 0).otherwise(1).cast("bigint").alias("block_count"),
+                   F.col("blocked").cast("bigint").alias("block_count"),
                    F.coalesce("_drift", F.lit(False)).alias("schema_drift"),
                    F.when(~F.col("ok"), F.col("reason")).when(F.col("_drift"), F.lit("schema_drift"))
                    .alias("error")))
     log.write.mode("overwrite").parquet(f"{paths.run_logs}/batch={batch}")
-    for df in (records, verdicts, normalised, drifted):
+    for df in (records, judged, verdicts, normalised, drifted, rejected):
         df.unpersist()
     return spark.read.parquet(f"{paths.run_logs}/batch={batch}").withColumn("batch", F.lit(batch).cast("bigint"))
 
