@@ -13,6 +13,11 @@ follows the batch and the buckets that are due, never the table, and no task
 writes more than a bucket. Delta and base files are sorted by hash, so a read of
 some buckets prunes the others' row groups.
 
+A key has a base row and a row of each waiting delta at most, so a merge is one
+shuffle and one sort: of the rows by key for a reader, by their new buckets for a
+compaction, whose count takes keys alone. The directory of buckets, which the
+driver has from the manifest, is broadcast.
+
 A version is visible once its manifest is written. The manifest of version n
 names base files and deltas; a replay of n reads n - 1 (``before=n``) and
 rewrites the same folders. A write of n makes later versions, of a former run
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedlake.operators.upsert import joined, latest_per_key, only_newer, stamped
@@ -110,7 +115,7 @@ def placed(spark: SparkSession, df: DataFrame, held: Manifest) -> DataFrame:
     slots = spark.createDataFrame(rows, "_bucket long, _upto long, lo long, hi long").select(
         "_bucket", "_upto", F.explode(F.sequence("lo", "hi")).alias("_slot"))
     slot = F.shiftrightunsigned(HASH, 64 - depth) if depth else F.lit(0).cast("long")
-    return df.withColumn("_slot", slot).join(slots, "_slot").drop("_slot")
+    return df.withColumn("_slot", slot).join(F.broadcast(slots), "_slot").drop("_slot")
 
 
 def _waiting(spark: SparkSession, held: Manifest) -> DataFrame | None:
@@ -121,18 +126,29 @@ def _waiting(spark: SparkSession, held: Manifest) -> DataFrame | None:
     return placed(spark, rows, held).where(F.col(VERSION) > F.col("_upto")).drop("_upto")
 
 
-def _merged(spark: SparkSession, held: Manifest, keys: list[str], numbers: list[int] | None) -> DataFrame | None:
-    """Rows of the snapshot, or of some of its buckets, with hash and version of the delta (null: base)."""
-    some = [b for b in held.buckets if numbers is None or b.number in set(numbers)]
-    paths = [b.path for b in some if b.path]
-    base = spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
+def _rows(spark: SparkSession, held: Manifest, numbers: list[int] | None) -> DataFrame | None:
+    """Base rows and waiting delta rows of the snapshot, or of some of its buckets, with hash and version of the delta (null: base)."""
+    paths = [b.path for b in held.buckets if b.path and (numbers is None or b.number in set(numbers))]
+    base = spark.read.option("mergeSchema", "true").parquet(*paths).withColumn(VERSION, F.lit(None).cast("long")) if paths else None
     new = _waiting(spark, held)
-    if new is not None and numbers is not None:
-        new = new.where(F.col("_bucket").isin(numbers))
     if new is None:
         return base
-    new = latest_per_key(new.drop("_bucket"), keys, [VERSION]).drop(VERSION)
-    return new if base is None else joined(base, new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    new = (new if numbers is None else new.where(F.col("_bucket").isin(numbers))).drop("_bucket")
+    return new if base is None else base.unionByName(new, allowMissingColumns=True)
+
+
+def _newest(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The newest row of each key among base and delta rows; a key has few: one of the base and one of each delta."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(VERSION).desc_nulls_last()))
+    return rows.withColumn("_place", place).where(F.col("_place") == 1).drop("_place", VERSION)
+
+
+def _merged(spark: SparkSession, held: Manifest, keys: list[str], numbers: list[int] | None) -> DataFrame | None:
+    """Rows of the snapshot, or of some of its buckets, with hash."""
+    rows = _rows(spark, held, numbers)
+    if rows is None:
+        return None
+    return _newest(rows, keys) if held.deltas else rows.drop(VERSION)
 
 
 def _numbers(spark: SparkSession, held: Manifest, of: DataFrame, keys: list[str]) -> list[int]:
@@ -160,19 +176,23 @@ def _due(held: Manifest, waiting: dict[tuple[int, int], int], policy: Policy) ->
     return [b for b in held.buckets if b.number in late or count.get(b.number, 0) >= max(policy.least, policy.share * b.rows)]
 
 
+def _dealt(spark: SparkSession, rows: DataFrame, held: Manifest, n: int, keys: list[str]) -> DataFrame:
+    """The newest rows, dealt by bucket and sorted by hash: the merge and the files share the shuffle and the sort."""
+    dealt = placed(spark, rows, held).drop("_upto").repartition(n, "_bucket")
+    return _newest(dealt, ["_bucket", HASH, *keys]).sortWithinPartitions("_bucket", HASH)
+
+
 def _compact(spark: SparkSession, root: str, held: Manifest, due: list[Bucket], version: int, keys: list[str], limit: int) -> Manifest:
     """``held`` with the due buckets rewritten; a bucket with more than ``limit`` rows is split to the depth that its count asks for."""
-    rows = _merged(spark, held, keys, [b.number for b in due])
-    sizes = {r[0]: r[1] for r in placed(spark, rows, held).groupBy("_bucket").count().collect()}
+    rows = _rows(spark, held, [b.number for b in due])
+    sizes = {r[0]: r[1] for r in placed(spark, rows.select(HASH, *keys).distinct(), held).groupBy("_bucket").count().collect()}
     parts = []
     for b in due:
         more = max(0, (-(-sizes.get(b.number, 0) // limit) - 1).bit_length())
         parts += [Bucket((b.number << more) + i, upto=version) for i in range(1 << more)]
     rest = [b for b in held.buckets if b not in due]
-    dealt = placed(spark, rows, Manifest(tuple(rest + parts))).drop("_upto")
     path = f"{root}/base/v={version:012d}"
-    (dealt.repartition(max(1, len(parts)), "_bucket").sortWithinPartitions("_bucket", HASH)
-     .write.mode("overwrite").partitionBy("_bucket").parquet(path))
+    _dealt(spark, rows, Manifest(tuple(rest + parts)), max(1, len(parts)), keys).write.mode("overwrite").partitionBy("_bucket").parquet(path)
     written = {r[0]: r[1] for r in spark.read.parquet(path).groupBy("_bucket").count().collect()} if sizes else {}
     done = [Bucket(b.number, f"{path}/_bucket={b.number}" if b.number in written else None, written.get(b.number, 0), version) for b in parts]
     return Manifest(tuple(sorted(rest + done, key=lambda b: b.number)), held.deltas)

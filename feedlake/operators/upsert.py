@@ -28,7 +28,7 @@ def latest_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataF
     newest = F.max(order[0]).alias("_last") if len(order) == 1 else F.max(F.struct(*order)).alias("_last")
     last = batch.groupBy(*keys).agg(newest)
     last = last.select(*keys, *([F.col("_last").alias(order[0])] if len(order) == 1 else [F.col("_last")[c].alias(c) for c in order if c not in keys]))
-    on = list(dict.fromkeys(keys + order))
+    on = list(dict.fromkeys(order + keys))  # the order first: it tells rows apart at once when they are sorted
     return joined(batch, last, on, "left_semi").dropDuplicates(keys)
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,37 @@ def test_old_files_go_and_fields_that_only_the_snapshot_has_stay(spark, scratch)
     assert S.read(spark, os.path.join(scratch, "none"), ["k"]) is None
 
 
+def shuffles(df):
+    return re.findall(r"\bExchange \w+|SortMergeJoin", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_a_merge_shuffles_its_rows_once(spark, scratch):
+    late = S.Policy(limit=40, least=10 ** 6, deltas=10 ** 6)
+    parts, root, keys = batches(5, 4), os.path.join(scratch, "t"), ["k", "s"]
+    parts[1] += [(None, "a", 1, 0, 10 ** 6), (1, None, 2, 0, 10 ** 6), (None, None, 3, 0, 10 ** 6)]
+    parts[3] += [(None, None, 4, 0, 10 ** 6)]
+    for n, rows in enumerate(parts):
+        held = S.upsert(spark, frame(spark, rows), root, n, keys, ["seq"], policy=late if n else S.Policy(limit=20, least=1))
+    assert len(held.deltas) == 3 and len(held.buckets) > 1  # a base and three deltas wait to be merged
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # as in a table of any size: the bucket of a row needs no shuffle, a merge one, by key or by bucket
+        assert shuffles(S.placed(spark, frame(spark, parts[1]).select(F.xxhash64(*keys).alias(S.HASH)), held)) == []
+        read = S.read(spark, root, keys)
+        assert shuffles(read) == ["Exchange hashpartitioning"]
+        dealt = S._dealt(spark, S._rows(spark, held, None), S.Manifest((S.Bucket(2), S.Bucket(3))), 2, keys)
+        assert shuffles(dealt) == ["Exchange hashpartitioning"]
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"\bSort \[", plan)) == 1
+        by_null = lambda rows: sorted(rows, key=repr)
+        held_by_walk = {r[:2]: r[:4] for rows in parts for r in sorted(rows, key=lambda r: r[4])}
+        assert by_null(tuple(r) for r in read.select("k", "s", "v", "at").collect()) == by_null(held_by_walk.values())
+        assert by_null(tuple(r) for r in dealt.select("k", "s", "v", "at").collect()) == by_null(held_by_walk.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_a_hot_key_is_spread_over_the_tasks(spark):
     rows = spark.range(20_000).select((F.col("id") % 3).alias("zero"), F.lit(7).alias("k"), (F.col("id") * 17 % 20_011).alias("seq"), F.col("id").alias("v"))
     got = U.latest_per_key(rows, ["k"], ["seq"])
