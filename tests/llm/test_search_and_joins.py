@@ -242,6 +242,22 @@ def test_a_quotation_of_many_near_copies_makes_no_pairs_of_them(spark, monkeypat
     assert dict(met)["ngram-candidates"] < 64 * len(texts) and dict(met)["ngram-links"] < 64 * len(texts)
 
 
+def test_groups_of_near_copies_are_multiplied_once(spark, monkeypatch):
+    """Many groups of 20 near copies: the product meets each group once, groups that lie close to each other too."""
+    rng, texts = np.random.default_rng(17), []
+    shared = [f"s{x}" for x in rng.integers(0, 10 ** 6, 40)]
+    for _ in range(12):
+        base = shared + [f"w{x}" for x in rng.integers(0, 10 ** 6, 80)]
+        texts += [" ".join([*base, f"v{i}", f"v{i + 1}"]) for i in range(20)]
+    near = [f"n{x}" for x in rng.integers(0, 10 ** 6, 100)]
+    texts += [" ".join(near[:100 - i]) for i in range(30)]  # a chain: its ends are linked by what lies between
+    met, kept = [], ngram_join.stash
+    monkeypatch.setattr(ngram_join, "stash", lambda df, name: met.append((name, out := kept(df, name))) or out)
+    got = ngram_join.ngram_join(docs_of(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_near(range(len(texts)), texts))
+    assert dict(met)["ngram-pairs"].count() < len(texts)  # row by row there are 190 in each group
+
+
 # ------------------------------------------------------------ numbers of rows
 
 def test_results_do_not_depend_on_how_files_are_split(spark, monkeypatch):
